@@ -5,16 +5,18 @@ from __future__ import annotations
 from .decontamination import OP2_SQL, op2_decontamination
 from .language import op6_language
 from .mixing import OP8_SQL, op8_mixing
+from .packing import op1_packing
 from .sharding import op7_sharding
 from .simhash import op9_simhash
+from .topk import OP5_SQL, op5_topk
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op2_decontamination, op6_language, op7_sharding, op8_mixing, op9_simhash]
+    found = [op1_packing, op2_decontamination, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}
