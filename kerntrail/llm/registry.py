@@ -9,12 +9,13 @@ from .packing import op1_packing
 from .sharding import op7_sharding
 from .simhash import op9_simhash
 from .topk import OP5_SQL, op5_topk
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op1_packing, op2_decontamination, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash]
+    found = [op1_packing, op2_decontamination, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash, op10_toxicity]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
