@@ -134,13 +134,13 @@ class Network:
         self.e[(self.e == fresh).all(axis=1)] = 0  # words that no gradient reached say nothing
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap between logits that gives the greatest sum of both labels' accuracies (the widest such gap)."""
-    order = np.argsort(logits)
-    z, y = logits[order], labels[order]
-    right = np.cumsum(y == 0) / max((y == 0).sum(), 1) + 1 - np.cumsum(y == 1) / max((y == 1).sum(), 1)
-    gap = np.diff(z, append=z[-1])
-    k = max(range(len(z)), key=lambda i: (round(right[i], 9), gap[i]))
+def best_threshold(logits: np.ndarray, labels: np.ndarray, clean: float) -> float:
+    """The middle of the gap between logits with the fewest errors (the widest such gap); a clean text counts `clean` times."""
+    order = np.argsort(logits, kind="stable")
+    z, toxic = np.append(logits[order][:1] - 1, logits[order]), labels[order] == 1
+    errors = np.append(0, np.cumsum(toxic)) + clean * (np.sum(~toxic) - np.append(0, np.cumsum(~toxic)))
+    gap = np.diff(z, append=z[-1] + 1)
+    k = max(range(len(z)), key=lambda i: (-round(float(errors[i]), 6), gap[i]))
     return float(z[k] + gap[k] / 2)
 
 
@@ -170,11 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int,
     predictor = language.Predictor(langs)
     z = np.concatenate([net.logits([texts[i] for i in spared[k : k + 50]]) for k in range(0, len(spared), 50)])
     own = np.array([predictor(texts[i])[0] for i in spared])
-    common, thresholds = best_threshold(z, y[spared]), {}
+    clean = min(1.0, train_rows[1] / found[1]) / min(1.0, train_rows[0] / found[0])  # as many as in all rows
+    common, thresholds = best_threshold(z, y[spared], clean), {}
     for lang in set(own):
         here = own == lang
         if min((y[spared][here] == v).sum() for v in (0, 1)) >= 10:
-            thresholds[lang] = best_threshold(z[here], y[spared][here])
+            thresholds[lang] = best_threshold(z[here], y[spared][here], clean)
     return {"net": net, "langs": langs, "common": common, "thresholds": thresholds}
 
 
