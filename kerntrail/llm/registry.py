@@ -6,6 +6,7 @@ from .decontamination import OP2_SQL, op2_decontamination
 from .language import op6_language
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op1_packing
+from .repeats import op3_repeats
 from .scoring import op4_scoring
 from .sharding import op7_sharding
 from .simhash import op9_simhash
@@ -16,7 +17,7 @@ from .toxicity import op10_toxicity
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op1_packing, op2_decontamination, op4_scoring, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash, op10_toxicity]
+    found = [op1_packing, op2_decontamination, op3_repeats, op4_scoring, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash, op10_toxicity]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
