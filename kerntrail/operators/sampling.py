@@ -1,0 +1,82 @@
+"""A Monte-Carlo sampler over chains of elements: a run is a row, its log are ordinary rows."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+ELEMENTS = (6, 7, 8)
+LOG = "run long, replica int, step long, kind string, key string, f double, valid boolean, accepted boolean"
+
+
+def moves(state: tuple[int, ...], most: int) -> list[tuple[str, tuple[int, ...]]]:
+    """Every neighbour: an element replaced, one added at the end, the last removed."""
+    out = [("replace", (*state[:k], z, *state[k + 1 :])) for k, old in enumerate(state) for z in ELEMENTS if z != old]
+    if len(state) < most:
+        out += [("add", (*state, z)) for z in ELEMENTS]
+    if len(state) > 1:
+        out.append(("remove", state[:-1]))
+    return out
+
+
+def sample(starts: DataFrame, objective: Callable[[tuple[int, ...]], float | None], betas: tuple[float | None, ...], steps: int, most: int = 8, seed: int = 1) -> DataFrame:
+    """starts(run, chain array<int>), a row for each run -> the log of each run: a row for each step of each replica (one for each beta).
+
+    A step draws one of the state's neighbours; the balance of the numbers of neighbours keeps the Boltzmann
+    distribution. NULL objectives are rejected, replicas without beta only go down. After each round two neighbouring
+    replicas with betas may swap states. Draws depend on seed, run and nothing else, so a lost task gives the same log again.
+    """
+
+    def run(name: int, chain: list[int]) -> list[tuple]:
+        rng = np.random.default_rng([seed, name & 0x7FFFFFFF])
+        first = tuple(int(z) for z in chain)[:most] or (ELEMENTS[0],)
+        at, value, log = [first] * len(betas), [objective(first)] * len(betas), []
+        warm = [r for r, b in enumerate(betas) if b is not None]
+        for step in range(1, steps + 1):
+            for r, beta in enumerate(betas):
+                options = moves(at[r], most)
+                pick, u = rng.random(2).tolist()
+                kind, new = options[int(pick * len(options))]
+                f = objective(new)
+                if f is None or value[r] is None:
+                    ok = f is not None
+                elif beta is None:
+                    ok = f < value[r]
+                else:
+                    change = beta * (f - value[r]) + math.log(len(moves(new, most)) / len(options))
+                    ok = change <= 0 or u < math.exp(-change)
+                if ok:
+                    at[r], value[r] = new, f
+                log.append((name, r, step, kind, "-".join(map(str, at[r])), value[r], f is not None, ok))
+            if len(warm) > 1:
+                pick, u = rng.random(2).tolist()
+                k = int(pick * (len(warm) - 1))
+                a, b = warm[k], warm[k + 1]
+                if None not in (value[a], value[b]) and u < math.exp(min(0.0, (betas[a] - betas[b]) * (value[a] - value[b]))):
+                    at[a], at[b], value[a], value[b] = at[b], at[a], value[b], value[a]
+        return log
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                rows = [r for name, chain in zip(part["run"].tolist(), part["chain"], strict=True) for r in run(name, chain)]
+                yield pd.DataFrame(rows, columns=["run", "replica", "step", "kind", "key", "f", "valid", "accepted"])
+
+    return starts.select("run", "chain").mapInPandas(work, LOG)
+
+
+def charge_sum(state: tuple[int, ...]) -> float:
+    """The mean nuclear charge: a simple objective for runs and tests."""
+    return sum(state) / len(state)
+
+
+def order_slide(state: tuple[int, ...]) -> float | None:
+    """Steps down along the chain; NULL where two oxygens are neighbours."""
+    if any(a == b == 8 for a, b in zip(state, state[1:], strict=False)):
+        return None
+    return float(sum(abs(a - b) for a, b in zip(state, state[1:], strict=False)) - len(state))
