@@ -31,6 +31,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+def of_length(vectors: list, n: int) -> np.ndarray:
+    own = [v for v in vectors if len(v) == n]
+    return np.array(own, float).reshape(len(own), n)
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Euclidean distances to the pivots, and to the origin in the last column."""
     square = (x * x).sum(axis=1)
@@ -98,8 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             length = np.diff(batch["x"].offsets.to_numpy())
             for n in np.unique(length):
                 part = batch.filter(pa.array(length == n))
-                own = np.array([p for p in chosen if len(p) == n], float).reshape(-1, n)
-                d = distances(matrix(part["x"]), own)
+                d = distances(matrix(part["x"]), of_length(chosen, n))
                 yield pa.record_batch([part["vec_id"], part["x"], pa.array(list(d), pa.list_(pa.float64()))], ["vec_id", "x", "d"])
 
     candidates = staged(vectors.mapInArrow(table, "vec_id long, x array<double>, d array<double>"), "pivot-table")
@@ -118,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
                 for n in np.intersect1d(sizes, length):
                     own = np.flatnonzero(length == n)
                     if n not in open_:
-                        open_[n] = Search(ids[own], np.array([xs[i] for i in own], float).reshape(-1, n), np.array([p for p in chosen if len(p) == n], float).reshape(-1, n), k)
+                        open_[n] = Search(ids[own], of_length(xs, n), of_length(chosen, n), k)
                     part = batch.filter(pa.array(sizes == n))
                     for i in range(0, part.num_rows, ROWS):
                         some = part.slice(i, ROWS)
