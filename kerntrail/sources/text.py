@@ -15,7 +15,7 @@ def number(text: Column) -> Column:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.xyz") -> DataFrame:
     """(path, text): whole files of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
