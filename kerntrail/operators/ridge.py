@@ -145,3 +145,21 @@ def learning_curve(train: DataFrame, test: DataFrame, sigma: float, ridge: float
     found = predict(test, model, ["y"])
     errors = found.select(F.posexplode("prediction").alias("k", "p"), "y").select(F.element_at(F.array(*[F.lit(n) for n, _ in ready]), F.col("k") + 1).alias("parts"), F.abs(F.col("p")[0] - F.col("y")[0]).alias("e"))
     return errors.groupBy("parts").agg(F.avg("e").alias("mae"))
+
+
+def refine(train: DataFrame, fold: Column, sigma: float, low: float, high: float, rounds: int = 3, name: str = "gaussian", most: int = LANDMARKS) -> DataFrame:
+    """(round, ridge, mse, slope): in each round five ridges with equal ratios are tried in one pass, then the range narrows around the best.
+
+    slope is the central difference of the error by the ridge's logarithm, one-sided at an end of the range.
+    """
+    out = []
+    for n in range(rounds):
+        tried = [low * (high / low) ** (k / 4) for k in range(5)]
+        found = {r["ridge"]: r["mse"] for r in fold_errors(train, fold, sigma, tried, name, most).collect()}
+        errors = [found[r] for r in tried]
+        best = min(range(5), key=lambda k: (errors[k], k))
+        a, b = max(0, best - 1), min(4, best + 1)
+        slope = (errors[b] - errors[a]) / float(np.log(tried[b] / tried[a]))
+        out.append((n, tried[best], errors[best], slope))
+        low, high = tried[a], tried[b]
+    return train.sparkSession.createDataFrame(out, "round int, ridge double, mse double, slope double")
