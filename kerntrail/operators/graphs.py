@@ -110,6 +110,17 @@ def descriptor(entries: DataFrame, size: int) -> DataFrame:
     return square.select("graph", keyed.alias("k")).select("graph", V.upper_triangle(matrix).alias("x"))
 
 
+def averaged_bonds(structures: DataFrame, lengths: dict[int, float]) -> DataFrame:
+    """structures(graph, structure, a, b, order), the same bonds in each structure of a graph -> (graph, a, b, order, length).
+
+    Orders are means over structures; lengths are interpolated between those of the whole orders around them.
+    """
+    mean = structures.groupBy("graph", "a", "b").agg(F.avg("order").alias("order"))
+    low, high = F.floor("order").cast("int"), F.ceil("order").cast("int")
+    at = lambda k: V.lookup(lengths, k)
+    return mean.withColumn("length", at(low) + (F.col("order") - low) * (at(high) - at(low)))
+
+
 def admissible(atoms: DataFrame, bonds: DataFrame, forbidden: DataFrame, size: tuple[int, int], allowed: list[int]) -> DataFrame:
     """Graphs with allowed elements, a size in the range and no bond between a forbidden(z1, z2) pair of elements."""
     sized = atoms.groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("z").isin(allowed)).alias("known"))

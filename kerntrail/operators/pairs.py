@@ -85,7 +85,3 @@ def extreme_distance(vectors: DataFrame, blocks: int, distance: Callable[[Column
     """The greatest distance of any two rows, as one row (d)."""
     return symmetric_pairs(vectors, blocks).agg(F.max(distance(F.col("a"), F.col("b"))).alias("d"))
 
-
-def norm_blocks(vectors: DataFrame, width: float) -> DataFrame:
-    """id and the band of norms that the row is in (floor of norm / width)."""
-    return vectors.select("id", F.floor(V.norm(F.col("x")) / width).alias("band"))

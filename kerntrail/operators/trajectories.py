@@ -135,3 +135,21 @@ def two_tier(rows: DataFrame, first_tier: Column, key: str, order: list[str]) ->
     marked = rows.withColumn("tier", F.when(first_tier, 0).otherwise(1))
     by_key = Window.partitionBy(key).orderBy("tier", *order)
     return marked.withColumn("n", F.row_number().over(by_key)).filter("n = 1").drop("n")
+
+
+def spill(states: DataFrame, portion: float, path: str, dump_id: int) -> DataFrame:
+    """Appends the states older than the cut to a table by dump_id, and gives the others."""
+    old = spill_cut(states, portion)
+    old.withColumn("dump_id", F.lit(dump_id)).write.mode("append").partitionBy("dump_id").parquet(path)
+    return states.join(old.select("key"), "key", "left_anti")
+
+
+def save(log: DataFrame, path: str) -> None:
+    """A run's log by run: what a later job needs to go on or to analyse it."""
+    log.write.mode("overwrite").partitionBy("replica").parquet(path)
+
+
+def last_states(log: DataFrame) -> DataFrame:
+    """Where each replica of each run stands: the state of its last step."""
+    last = log.groupBy("run", "replica").agg(F.max(F.struct("step", "key", "f")).alias("m"))
+    return last.select("run", "replica", F.col("m.step").alias("step"), F.col("m.key").alias("key"), F.col("m.f").alias("f"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,30 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.xyz") -> DataFr
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_archives(spark: SparkSession, path: str, pattern: str = "*.tar*") -> DataFrame:
+    """(path, member, text): the files in tar archives, an archive at a time in a task."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as archive:
+                    for member in archive:
+                        if member.isfile():
+                            text = archive.extractfile(member).read().decode("utf-8", "replace")
+                            yield pa.record_batch([pa.array([name]), pa.array([member.name]), pa.array([text])], ["path", "member", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInArrow(members, "path string, member string, text string")
+
+
+def bond_orders(text: Column, least: float = 0.5) -> Column:
+    """Bonds array<struct<a, b, order>> with a < b from lines `a b order`: rounded orders, those under `least` left out."""
+    words = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), r"\s+"))
+    one = F.transform(words, lambda w: F.struct(F.get(w, F.lit(0)).try_cast("int").alias("i"), F.get(w, F.lit(1)).try_cast("int").alias("j"), number(F.get(w, F.lit(2))).alias("o")))
+    kept = F.filter(one, lambda x: x["i"].isNotNull() & x["j"].isNotNull() & (x["o"] >= least))
+    return F.array_distinct(F.transform(kept, lambda x: F.struct(F.least(x["i"], x["j"]).alias("a"), F.greatest(x["i"], x["j"]).alias("b"), F.greatest(F.round(x["o"]), F.lit(1.0)).cast("int").alias("order"))))
+
+
 def parse_xyz(text: Column) -> Column:
     """natoms, comment, atoms and the lines behind, of an xyz text; NULL numbers where a line is broken."""
     lines = F.split(F.regexp_replace(text, "\r", ""), "\n")

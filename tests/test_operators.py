@@ -190,3 +190,28 @@ def test_stream_counts_late_rows_only_within_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "t"))
     got = visits.run_once(spark, visits.windowed_counts(stream, "ts", "1 hour", "10 minutes"), "w", "complete").collect()
     assert len(got) == 2 and all(r.visits == 1 for r in got)
+
+
+def test_archives_and_bond_orders(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "w.txt").write_text("1 2 1.4\n2 1 1.4\n3 1 0.2\n2 3 1.9\nbad line\n")
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        archive.add(tmp_path / "w.txt", "in/w.txt")
+    row = X.read_archives(spark, str(tmp_path)).select("member", X.bond_orders(F.col("text")).alias("b")).first()
+    assert row.member == "in/w.txt" and [tuple(b) for b in row.b] == [(1, 2, 1), (2, 3, 2)]
+
+
+def test_averaged_bonds(spark):
+    rows = spark.createDataFrame([(1, 0, 1, 2, 1), (1, 1, 1, 2, 2), (1, 0, 2, 3, 1), (1, 1, 2, 3, 1)], "graph long, structure int, a int, b int, `order` int")
+    got = {(r.a, r.b): (r.order, r.length) for r in graphs.averaged_bonds(rows, {1: 1.5, 2: 1.3}).collect()}
+    assert got == {(1, 2): (1.5, pytest.approx(1.4)), (2, 3): (1.0, 1.5)}
+
+
+def test_spill_and_last_states(spark, tmp_path):
+    states = spark.createDataFrame([(f"s{k}", k) for k in range(10)], "key string, last_used int")
+    rest = trajectories.spill(states, 0.4, str(tmp_path / "h"), 3)
+    old = spark.read.parquet(str(tmp_path / "h"))
+    assert old.count() + rest.count() == 10 and old.agg(F.max("last_used")).first()[0] < rest.agg(F.min("last_used")).first()[0]
+    log = spark.createDataFrame([(1, 0, 1, "a", 2.0), (1, 0, 2, "b", 1.0)], "run long, replica int, step long, key string, f double")
+    assert [tuple(r) for r in trajectories.last_states(log).collect()] == [(1, 0, 2, "b", 1.0)]
