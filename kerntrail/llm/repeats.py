@@ -20,8 +20,10 @@ GRAM = 24
 HASHED, SORTED = 2 << 20, 1 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHOLE, ALONE, WITNESS = 0, 1, 2
-#: Segments of one key up to which they are compared in one suffix array.
-HOT = 50_000
+#: Bytes of one key's segments up to which they are compared in one suffix array (which takes about 60 times as much memory).
+HOT = 4 << 20
+#: Windows that are hashed at once where a key has more.
+WINDOWS = 1 << 16
 
 
 def loads(text: np.ndarray, order: str, n: int) -> np.ndarray:
@@ -291,10 +293,11 @@ def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents -> each of their windows as a segment whose key is a hash of all its bytes."""
     for batch in batches:
         for row, start, content in zip(batch["row_key"].to_pylist(), batch["start"].to_pylist(), batch["content"].to_pylist(), strict=True):
-            n = len(content) - LENGTH + 1
-            key = np.fromiter((xxhash.xxh3_64_intdigest(content[k : k + LENGTH]) for k in range(n)), np.uint64, n).view(np.int64)
-            place = (np.arange(start, start + n) << 32) | (LENGTH << 1)
-            yield pa.record_batch([pa.array(x) for x in (np.full(n, row), place, key, key)], ["row_key", "place", "key", "digest"])
+            for a in range(0, len(content) - LENGTH + 1, WINDOWS):
+                b = min(a + WINDOWS, len(content) - LENGTH + 1)
+                key = np.fromiter((xxhash.xxh3_64_intdigest(content[k : k + LENGTH]) for k in range(a, b)), np.uint64, b - a).view(np.int64)
+                place = (np.arange(start + a, start + b) << 32) | (LENGTH << 1)
+                yield pa.record_batch([pa.array(x) for x in (np.full(b - a, row), place, key, key)], ["row_key", "place", "key", "digest"])
 
 
 SEGMENT, MARKED = "row_key long, place long, key long, digest long", "kind int, row_key long, start int, size int, key long"
@@ -305,7 +308,7 @@ def spans_of(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     Windows meet by their key. A segment with a copy is covered whole; of segments that share a key but aren't equal,
     one of each kind is compared byte by byte in a suffix array of its key. Only segments' hashes are shuffled for all
-    documents, and bytes for those that must be compared. Where over `hot` different segments share a key, as around a
+    documents, and bytes for those that must be compared. Where segments of over `hot` bytes share a key, as around a
     passage that very many documents have, their windows are dealt out by a hash of all their bytes instead.
     """
 
@@ -318,7 +321,7 @@ def spans_of(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     marked = staged(classes(docs.mapInArrow(cut, SEGMENT)), "segments")
     asked = marked.filter(F.col("kind") != WHOLE)
-    common = staged(asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
+    common = staged(asked.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
     raw = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("size")).alias("content")
     cold = asked.join(common, "key", "left_anti").join(docs, "row_key").select("key", "row_key", "start", "kind", raw)
     found = spans(marked).unionAll(cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "row_key long, span long"))
