@@ -152,14 +152,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int,
     with few calibrating rows of either label takes the common threshold.
     """
     train_rows = train_rows or TRAIN_ROWS
-    known = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(learn & F.col("text").isNotNull()).join(known, F.col("doc_id") == F.col("labelled"))
-    found = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.filter(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found.get(0) or not found.get(1):
         return {"constant": 1.0 if found.get(1) else 0.0}
     rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(train_rows[k] / found[k])) for k in (0, 1)])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) < rate * float(1 << 30)
-    sample = rows.filter(drawn).select("text", "toxic", F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5)).alias("part"), "doc_id").toArrow()
+    drawn = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) < rate * float(1 << 30))
+    # ids are drawn before texts are met: as many as train_rows says go to every task, and no text is shuffled
+    chosen = F.broadcast(drawn.select(F.col("doc_id").alias("labelled"), "toxic"))
+    rows = docs.filter(F.col("text").isNotNull()).join(chosen, F.col("doc_id") == F.col("labelled"))
+    sample = rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5)).alias("part"), "doc_id").toArrow()
+    if len(set(sample["toxic"].to_pylist())) < 2:
+        return {"constant": 1.0 if 1 in sample["toxic"].to_pylist() else 0.0}
     order = np.lexsort((sample["doc_id"].to_numpy(), sample["part"].to_numpy()))  # in whatever order the rows came
     texts, y, part = [sample["text"][int(i)].as_py() for i in order], sample["toxic"].to_numpy()[order].astype(np.float32), sample["part"].to_numpy()[order]
     learned, spared = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
