@@ -37,7 +37,8 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     """(lang, size, gram, n) over the words, a space at either end; each word counts once."""
     framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(framed, i, F.lit(k))) for k in range(1, LONGEST + 1)]
-    return counts.select("lang", F.explode(F.concat(*grams)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism)  # the words fit one file, but not one core
+    return spread.select("lang", F.explode(F.concat(*grams)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_frequent(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
