@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
     named = kinds.join(roots, kinds["fp"] == roots["node"]).select("fp", "root", "first")
     names = named.groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(names, "root").select(F.col("fp").alias("f"), "least")
-    classes = kinds.join(named, kinds["fp"] == named["f"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    classes = staged(kinds.join(named, kinds["fp"] == named["f"], "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
