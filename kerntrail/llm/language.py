@@ -75,6 +75,18 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS) -> dict:
     return {"langs": langs, "table": table, "scores": np.concatenate(parts)}
 
 
+class Memo(dict):
+    """Words to rows of scores; works out rows for words that the model doesn't have."""
+
+    def __init__(self, owner: Predictor):
+        super().__init__(owner.table)
+        self.owner = owner
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = self.owner.unseen(word)
+        return row
+
+
 class Predictor:
     """Scores texts by a model; remembers what it worked out for words that the model doesn't have."""
 
@@ -85,14 +97,14 @@ class Predictor:
         self.clear()
 
     def clear(self) -> None:
-        self.memo = dict(self.table)
+        self.memo = Memo(self)
         self.rows = np.vstack([self.scores, np.zeros((1024, len(self.langs)), np.float32)]) if self.langs else None
         self.used = len(self.scores)
 
     def unseen(self, word: bytes) -> int:
         framed = f" {word.decode('utf-8', 'replace')} "
         row = 0.0
-        for k in range(LONGEST, 0, -1):
+        for k in range(LONGEST, 0, -1) if word else ():
             known = [g for i in range(len(framed) - k + 1) if (g := self.table.get(b"\0" + framed[i : i + k].encode())) is not None]
             if known:
                 row = self.scores[known].mean(axis=0)
@@ -100,18 +112,20 @@ class Predictor:
         if self.used == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         self.rows[self.used] = row
-        self.memo[word] = self.used
         self.used += 1
         return self.used - 1
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The words' rows of scores by language."""
+        if self.used > len(self.scores) + self.MEMO:
+            self.clear()
+        at = list(map(self.memo.__getitem__, words))
+        return self.rows[at]
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not LETTER.search(text):
             return UNDETERMINED, 0.0
-        if self.used > len(self.scores) + self.MEMO:
-            self.clear()
-        get, unseen = self.memo.get, self.unseen
-        at = [k if (k := get(w)) is not None else unseen(w) for w in letters(text)]
-        total = self.rows[at].sum(axis=0, dtype=np.float64)
+        total = self.of(letters(text)).sum(axis=0, dtype=np.float64)
         best = int(total.argmax())  # a tie goes to the first language
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
