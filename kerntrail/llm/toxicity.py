@@ -21,17 +21,21 @@ EPOCHS, BATCH, RATE, ACC = 6, 32, 0.08, 1e-3
 CHUNK = 60_000
 
 
-def ids_of(texts: list[str | None], seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def ids_of(texts: list[str | None], seen: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words in a row, and where each text starts; a text gets pads in front and behind, seen is filled."""
-    pad, out, starts = [seen.setdefault(b"", len(seen))] * (max(WIDTHS) - 1), [], []
+    pad, out, starts = [seen[b""]] * (max(WIDTHS) - 1), [], []
     for text in texts:
         starts.append(len(out))
         out += pad
-        for word in language.letters(text or ""):
-            k = seen.get(word)
-            if k is None:
-                k = seen[word] = len(seen)
-            out.append(k)
+        out.extend(map(seen.__getitem__, language.letters(text or "")))
         out += pad
     return np.array(out, np.int64), np.array(starts, np.int64)
 
@@ -69,10 +73,9 @@ class Network:
                 z += (x @ w[k])[at[k : k + n]]
             yield z + b
 
-    def logits(self, texts: list[str | None]) -> np.ndarray:
-        seen: dict[bytes, int] = {}
-        at, starts = ids_of(texts, seen)
-        x = self.e[buckets(list(seen))].sum(axis=1)
+    def logits(self, words: list[bytes], at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of texts as ids_of numbers their words."""
+        x = self.e[buckets(words)].sum(axis=1)
         edge = np.append(starts[1:], len(at))
         pooled = []
         for w, z in zip(WIDTHS, self.filtered(x, at), strict=True):
@@ -84,7 +87,7 @@ class Network:
 
     def train(self, texts: list[str], labels: np.ndarray, seed: int = 11) -> None:
         """Adagrad on the logistic loss, both labels weighing the same; only the positions of maxima get gradients."""
-        rng, seen = np.random.default_rng(seed), {}
+        rng, seen = np.random.default_rng(seed), Numbers()
         docs = [ids_of([t], seen)[0] for t in texts]
         table = buckets(list(seen))
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9)).astype(np.float32)
@@ -134,6 +137,18 @@ class Network:
         self.e[(self.e == fresh).all(axis=1)] = 0  # words that no gradient reached say nothing
 
 
+def logits_and_languages(net: Network, predictor: language.Predictor, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+    """Both from one division into words; a text without words or, with no language learned, any is undetermined."""
+    seen = Numbers()
+    at, starts = ids_of(texts, seen)
+    words = list(seen)
+    if not predictor.langs:
+        return net.logits(words, at, starts), [language.UNDETERMINED] * len(texts)
+    total = np.add.reduceat(predictor.of(words)[at], starts, axis=0, dtype=np.float64)
+    bare = np.diff(np.append(starts, len(at))) == 2 * (max(WIDTHS) - 1)
+    return net.logits(words, at, starts), [language.UNDETERMINED if b else predictor.langs[k] for b, k in zip(bare, total.argmax(axis=1), strict=True)]
+
+
 def best_threshold(logits: np.ndarray, labels: np.ndarray, clean: float) -> float:
     """The middle of the gap between logits with the fewest errors (the widest such gap); a clean text counts `clean` times."""
     order = np.argsort(logits, kind="stable")
@@ -172,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int,
     spared = spared if 0 < y[spared].sum() < len(spared) else np.arange(len(y))
     langs = language.fit(docs, learn)
     predictor = language.Predictor(langs)
-    z = np.concatenate([net.logits([texts[i] for i in spared[k : k + 50]]) for k in range(0, len(spared), 50)])
-    own = np.array([predictor(texts[i])[0] for i in spared])
+    parts = [logits_and_languages(net, predictor, [texts[i] for i in spared[k : k + 50]]) for k in range(0, len(spared), 50)]
+    z, own = np.concatenate([f[0] for f in parts]), np.array([lang for f in parts for lang in f[1]])
     clean = min(1.0, train_rows[1] / found[1]) / min(1.0, train_rows[0] / found[0])  # as many as in all rows
     common, thresholds = best_threshold(z, y[spared], clean), {}
     for lang in set(own):
@@ -213,8 +228,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 if predictor is None:
                     out.append(np.full(len(texts), own["constant"]))
                     continue
-                level = np.array([own["thresholds"].get(predictor(t)[0], own["common"]) for t in texts])
-                out.append(1 / (1 + np.exp(-np.clip(own["net"].logits(texts).astype(float) - level, -40, 40))))
+                z, langs = logits_and_languages(own["net"], predictor, texts)
+                level = np.array([own["thresholds"].get(x, own["common"]) for x in langs])
+                out.append(1 / (1 + np.exp(-np.clip(z.astype(float) - level, -40, 40))))
             yield pa.record_batch([batch["doc_id"], pa.array(np.concatenate(out))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double")

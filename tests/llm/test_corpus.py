@@ -474,7 +474,9 @@ def test_toxicity_held_out_accuracy(spark):
 def test_network_scores_texts_alone_as_in_a_batch():
     net = toxicity.Network()
     texts = ["", None, "one", "one two", "a b c d e f " * 50, "...", "é è"]
-    together, alone = net.logits(texts), np.concatenate([net.logits([t]) for t in texts])
+    predictor = language.Predictor({"langs": [], "table": {}, "scores": np.zeros((0, 0))})
+    one = lambda some: toxicity.logits_and_languages(net, predictor, some)[0]
+    together, alone = one(texts), np.concatenate([one([t]) for t in texts])
     assert np.allclose(together, alone, atol=1e-5)
 
 
