@@ -212,8 +212,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component: the one with the smallest id (rows that repeat it: one)."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    named = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = staged(named.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # texts are only compared by id once more where an id is repeated
+    return one.dropDuplicates(["doc_id"]) if kept.filter("rows > 1").limit(1).count() else one
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
