@@ -90,7 +90,7 @@ class Memo(dict):
 class Predictor:
     """Scores texts by a model; remembers what it worked out for words that the model doesn't have."""
 
-    MEMO = 400_000
+    MEMO = 100_000
 
     def __init__(self, model: dict):
         self.langs, self.table, self.scores = model["langs"], model["table"], model["scores"]
