@@ -40,15 +40,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (64 bits as a long)."""
+def fingerprints(docs: DataFrame, width: int = 4, **beside: Column) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp (64 bits as a long), and the longs beside."""
+    names = ["doc_id", *beside]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), width) for x in batch["text"]], np.uint64)
-            yield pa.record_batch([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([*[batch[c] for c in names], pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long"), *[v.alias(k) for k, v in beside.items()], "text")
+    return own.mapInArrow(work, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def signed(bits: int) -> int:
@@ -211,12 +213,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, for each component: the one with the smallest id (rows that repeat it: one)."""
-    named = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = staged(named.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    # texts are only compared by id once more where an id is repeated
-    return one.dropDuplicates(["doc_id"]) if kept.filter("rows > 1").limit(1).count() else one
+    """One row of docs, with all its columns, for each component: the one with the smallest id, null ids last.
+
+    A row is known by its id and a 64-bit hash of its text, so rows of other texts that share an id (or have none) are
+    judged apart; a component is known by its root, so that one without any id keeps a row too. Rows equal in id and
+    text are one.
+    """
+    text_key = F.xxhash64(F.col("text"))
+    rows = fingerprints(docs, text_key=text_key).groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "rows")
+    kinds = staged(rows.groupBy("fp").agg(F.min(first).alias("first")), "kinds")
+    roots = components(staged(links(kinds.select("fp"), kinds.count()), "edges"))
+    named = kinds.join(roots, kinds["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = staged(named.agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_text"), F.col("first.rows").alias("rows")), "kept")
+    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_text"]), "left_semi")
+    # texts are only shuffled once more where a row is repeated
+    return one.dropDuplicates(["doc_id", "text"]) if kept.filter("rows > 1").limit(1).count() else one
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

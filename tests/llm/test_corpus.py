@@ -420,6 +420,15 @@ def test_near_duplicates(edge_docs, edge_rows, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == len({str(r.component_id) for r in got})
 
 
+def test_deduplicate_judges_rows_not_ids(spark):
+    """Null ids and one id on different texts: each component keeps one row, and only rows equal in id and text are one."""
+    rng = random.Random(12)
+    a, b, c, d, e = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (8, e), (None, e), (None, None)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(None, a), (None, b), (7, c), (3, d), (8, e), (None, None)]))
+
+
 @pytest.mark.parametrize("n", [8, 10_000_000])
 def test_links_join_chains_and_dense_groups(spark, n):
     """Chains of steps of four bits, dense groups, and fingerprints at five bits, under few and many grid projections."""
