@@ -8,14 +8,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
 
 WINDOW = 13
-#: Most bytes of item text in one automaton; what is beyond goes to further automata, each with a scan of its own.
+#: Most bytes of item text in one automaton; what is beyond goes to further automata, which a task builds one at a time.
 AUTOMATON_BYTES = 16 << 20
+#: Bytes of rows that a task holds while each of several automata scans them in turn.
+BLOCK_BYTES = 64 << 20
 #: Every byte of a text: letters in lower case, digits and bytes of other scripts as they are, all else a space.
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 SPAN = re.compile(rb"[^ ]+")
@@ -75,50 +78,62 @@ def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(len(raw[:k].decode()) for k in (at[a][0], at[b - 1][1])) for a, b in runs]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in lists of about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], width: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], set[str]]]]]:
+    """Each batch with its rows' numbers of words, runs of hit words and items, by the automata of all chunks of items.
+
+    A row's findings are united here, so that rows need no key. One automaton serves all batches; several are built in
+    turn for each block.
+    """
+    only = Scanner(shared[0].value, width) if len(shared) == 1 else None
+    for block in blocks(batches, 0 if only else BLOCK_BYTES):
+        rows = [[(0, [], set()) for _ in range(batch.num_rows)] for batch in block]
+        for chunk in shared:
+            scanner = None  # the one before makes room
+            scanner = only or Scanner(chunk.value, width)
+            for batch, own in zip(block, rows, strict=True):
+                for i, text in enumerate(batch["text"]):
+                    n, found = scanner.scan(text.as_py())
+                    _, runs, owners = own[i]
+                    if found:
+                        runs = covered([*runs, *((a, b) for a, b, _ in found)])
+                        owners.update(*(scanner.values[v][1] for _, _, v in found))
+                    own[i] = n, runs, owners
+        yield from zip(block, rows, strict=True)
+
+
 def contains(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, runs of hit words (first, behind), spans in the text (characters), items.
 
     A word is hit if it stands inside any occurrence of a window of `width` consecutive item words (an item of fewer words,
     but not none, is one window). Null and empty texts have no words; null ids of items count for hits and aren't listed;
-    repeated items count once; without items nothing is hit. Other columns of docs are left out.
+    repeated items count once; without items nothing is hit. Each row is judged by its own text, however many automata
+    the items need. Other columns of docs are left out.
     """
     schema = "doc_id long, n_words long, runs array<struct<first:int,behind:int>>, spans array<struct<first:int,behind:int>>, items array<string>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("behind", pa.int32())]))
-    out = None
-    for chunk in item_chunks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(chunk)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(shared.value, width)
-            for batch in batches:
-                n, runs, spans, owners = [], [], [], []
-                for text in batch["text"]:
-                    text = text.as_py()
-                    count, found = scanner.scan(text)
-                    joined = covered([(a, b) for a, b, _ in found])
-                    n.append(count)
-                    runs.append(joined)
-                    spans.append(original(text, joined) if joined else [])
-                    owners.append(sorted(set().union(*(scanner.values[v][1] for _, _, v in found))) if found else [])
-                pairs = [pa.array([[{"first": a, "behind": b} for a, b in x] for x in xs], kind) for xs in (runs, spans)]
-                yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), *pairs, pa.array(owners, pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "spans", "items"])
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
-        out = part if out is None else merged(out, part)
-    return out
-
-
-def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two automata's findings in the same documents; rows that repeat an id are one document here."""
-    both = a.unionByName(b).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "spans")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    shared = broadcast_chunks(items)
 
-    def joined(runs):
-        last = lambda acc: F.element_at(acc, -1)
-        pair = lambda x, y: F.struct(x.alias("first"), y.alias("behind"))
-        step = lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= last(acc)["behind"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(pair(last(acc)["first"], F.greatest(last(acc)["behind"], x["behind"]))))).otherwise(F.concat(acc, F.array(x)))
-        return F.aggregate(F.array_sort(runs), F.slice(runs, 1, 0), step)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in scanned(batches, shared, width):
+            n, runs, owners = [x[0] for x in rows], [x[1] for x in rows], [sorted(x[2]) for x in rows]
+            spans = [original(text.as_py(), x) if x else [] for text, x in zip(batch["text"], runs, strict=True)]
+            pairs = [pa.array([[{"first": a, "behind": b} for a, b in x] for x in xs], kind) for xs in (runs, spans)]
+            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), *pairs, pa.array(owners, pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "spans", "items"])
 
-    return both.withColumn("runs", joined(F.col("runs"))).withColumn("spans", joined(F.col("spans")))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
 
 
 def item_chunks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -130,6 +145,10 @@ def item_chunks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]
         yield sorted({(r["item_id"], r["text"]) for r in rows.toLocalIterator()}, key=lambda r: (r[0] or "", r[1] or ""))
 
 
+def broadcast_chunks(items: DataFrame) -> list[Broadcast]:
+    return [items.sparkSession.sparkContext.broadcast(chunk) for chunk in item_chunks(items)]
+
+
 def contaminated(n_words, n_hit):
     """The rule: any hit, and hits in a twentieth of the words at least."""
     return (n_hit > 0) & (n_hit * 20 >= n_words)
@@ -144,22 +163,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
     Null ids, repeated rows and clashing columns stay as they are: each row is judged by its own text.
     """
-    chunks = list(item_chunks(items))
-    if len(chunks) > 1:
-        found = contains(docs, items, width)
-        bad = found.filter(contaminated(F.col("n_words"), hit_words(F.col("runs")))).select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(chunks[0])
+    shared = broadcast_chunks(items)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, width)
-        for batch in batches:
-            good = []
-            for text in batch["text"]:
-                n, found = scanner.scan(text.as_py())
-                hit = sum(b - a for a, b in covered([(a, b) for a, b, _ in found]))
-                good.append(not (hit and 20 * hit >= n))
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for batch, rows in scanned(batches, shared, width):
+            hits = [(n, sum(b - a for a, b in runs)) for n, runs, _ in rows]
+            yield batch.filter(pa.array([not (hit and 20 * hit >= n) for n, hit in hits], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

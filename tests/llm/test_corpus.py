@@ -114,6 +114,23 @@ def test_decontaminate_keeps_clean_rows_and_columns(spark, edge_docs):
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 1 and kept.filter("doc_id = 7").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, decontamination.BLOCK_BYTES])
+def test_several_automata_judge_rows_alone(spark, edge_docs, edge_rows, monkeypatch, block):
+    """Null and repeated ids stay rows of their own; contaminated and clean rows of one id go and stay alone."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    more = [(5, "fi go al be co du en"), (None, "fi go"), (None, "q q q"), (None, "日本語のテキスト")]
+    rows = [(r[0], r[1]) for r in edge_rows] + more
+    docs = edge_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    assert len(list(decontamination.item_chunks(items))) > 1
+    judged = [(d, t, *brute_contamination(t, ITEMS)) for d, t in rows]
+    got = decontamination.contains(docs, items).withColumn("n_hit", decontamination.hit_words(F.col("runs"))).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"])) for r in got) == sorted(str((d, *x)) for d, _, *x in judged)
+    kept = decontamination.decontaminate(docs, items).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str((d, t)) for d, t, n, hit, _ in judged if not (hit and 20 * hit >= n))
+
+
 # 3: repeats
 
 
