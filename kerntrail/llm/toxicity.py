@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import fold, load
+from .common import fold, load, staged
 
 #: Labelled rows that the classifier is fitted on, for each label (expected; a hash of the id draws them).
 TRAIN_ROWS = {1: 2_500, 0: 5_000}
@@ -19,6 +19,10 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 12, 12, (1, 2, 3)
 PARTS = (3, 4, 5)
 EPOCHS, BATCH, RATE, ACC = 6, 32, 0.08, 1e-3
 CHUNK = 60_000
+#: Bins of a logit's unit in which labelled rows are counted for thresholds; logits beyond LOGITS count as that.
+BINS, LOGITS = 256, 64
+#: Labelled rows of either label that a language needs for a threshold of its own.
+LEAST = 10
 
 
 class Numbers(dict):
@@ -149,53 +153,75 @@ def logits_and_languages(net: Network, predictor: language.Predictor, texts: lis
     return net.logits(words, at, starts), [language.UNDETERMINED if b else predictor.langs[k] for b, k in zip(bare, total.argmax(axis=1), strict=True)]
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray, clean: float) -> float:
-    """The middle of the gap between logits with the fewest errors (the widest such gap); a clean text counts `clean` times."""
-    order = np.argsort(logits, kind="stable")
-    z, toxic = np.append(logits[order][:1] - 1, logits[order]), labels[order] == 1
-    errors = np.append(0, np.cumsum(toxic)) + clean * (np.sum(~toxic) - np.append(0, np.cumsum(~toxic)))
-    gap = np.diff(z, append=z[-1] + 1)
-    k = max(range(len(z)), key=lambda i: (-round(float(errors[i]), 6), gap[i]))
-    return float(z[k] + gap[k] / 2)
+def best_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the gap between bins of logits with the fewest errors (the widest such gap).
 
+    bins: their numbers, rising; toxic, clean: what rows of either label count in each.
+    """
+    below, above = np.append(bins[0] - BINS, bins + 1), np.append(bins, bins[-1] + 1 + BINS)
+    errors = np.append(0, np.cumsum(toxic)) + np.sum(clean) - np.append(0, np.cumsum(clean))
+    k = np.lexsort((below - above, np.round(errors, 6)))[0]
+    return float(below[k] + above[k]) / 2 / BINS
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int, int] | None = None) -> dict:
-    """The model, from docs(doc_id, text, lang) whose label is known and for which learn holds.
 
-    A classifier may be fitted on a bounded sample: for each label a hash of the id draws so many rows, or all. A fifth of
-    them calibrates thresholds by language, as the language model (from the same fold) finds it in the text; a language
-    with few calibrating rows of either label takes the common threshold.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int, int] | None = None) -> tuple[dict, DataFrame]:
+    """The model without thresholds, and (labelled, toxic, trained): the labelled ids of the fold, and whether it was trained on each.
+
+    The network may be fitted on a bounded sample: for each label a hash of the id draws so many rows, or all, and a fifth
+    of them is spared, so that some are left for thresholds where all are drawn.
     """
     train_rows = train_rows or TRAIN_ROWS
     known = labels.filter(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     found = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(train_rows[k] / found[k])) for k in (0, 1) if found.get(k)], F.lit(0.0))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) < rate * float(1 << 30)
+    trained = drawn & (F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5)) != 0)
+    known = known.select(F.col("doc_id").alias("labelled"), "toxic", trained.alias("trained"))
     if not found.get(0) or not found.get(1):
-        return {"constant": 1.0 if found.get(1) else 0.0}
-    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(train_rows[k] / found[k])) for k in (0, 1)])
-    drawn = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) < rate * float(1 << 30))
+        return {"constant": 1.0 if found.get(1) else 0.0}, known
     # ids are drawn before texts are met: as many as train_rows says go to every task, and no text is shuffled
-    chosen = F.broadcast(drawn.select(F.col("doc_id").alias("labelled"), "toxic"))
-    rows = docs.filter(F.col("text").isNotNull()).join(chosen, F.col("doc_id") == F.col("labelled"))
-    sample = rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5)).alias("part"), "doc_id").toArrow()
+    chosen = F.broadcast(known.filter("trained"))
+    sample = docs.filter(F.col("text").isNotNull()).join(chosen, F.col("doc_id") == F.col("labelled")).select("text", "toxic", "doc_id").toArrow()
     if len(set(sample["toxic"].to_pylist())) < 2:
-        return {"constant": 1.0 if 1 in sample["toxic"].to_pylist() else 0.0}
-    order = np.lexsort((sample["doc_id"].to_numpy(), sample["part"].to_numpy()))  # in whatever order the rows came
-    texts, y, part = [sample["text"][int(i)].as_py() for i in order], sample["toxic"].to_numpy()[order].astype(np.float32), sample["part"].to_numpy()[order]
-    learned, spared = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
+        return {"constant": 1.0 if 1 in sample["toxic"].to_pylist() else 0.0}, known
+    order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")  # in whatever order the rows came
     net = Network()
-    net.train([texts[i] for i in learned], y[learned])
-    spared = spared if 0 < y[spared].sum() < len(spared) else np.arange(len(y))
-    langs = language.fit(docs, learn)
-    predictor = language.Predictor(langs)
-    parts = [logits_and_languages(net, predictor, [texts[i] for i in spared[k : k + 50]]) for k in range(0, len(spared), 50)]
-    z, own = np.concatenate([f[0] for f in parts]), np.array([lang for f in parts for lang in f[1]])
-    clean = min(1.0, train_rows[1] / found[1]) / min(1.0, train_rows[0] / found[0])  # as many as in all rows
-    common, thresholds = best_threshold(z, y[spared], clean), {}
-    for lang in set(own):
-        here = own == lang
-        if min((y[spared][here] == v).sum() for v in (0, 1)) >= 10:
-            thresholds[lang] = best_threshold(z[here], y[spared][here], clean)
-    return {"net": net, "langs": langs, "common": common, "thresholds": thresholds}
+    net.train([sample["text"][int(i)].as_py() for i in order], sample["toxic"].to_numpy()[order].astype(np.float32))
+    spared = {k: 1 - 0.8 * min(1.0, train_rows[k] / found[k]) for k in (0, 1)}
+    return {"net": net, "langs": language.fit(docs, learn), "clean": spared[1] / spared[0]}, known
+
+
+def calibrated(model: dict, found: DataFrame, known: DataFrame) -> dict:
+    """The model with thresholds by language, from logits(...) of all labelled rows that the network wasn't trained on.
+
+    Rows are counted by language, bin and label in Spark, so that no row is left out; a clean row counts `clean` times, since
+    training takes other shares of the labels. A language with under LEAST rows of either label takes the common threshold.
+    Where one label has no row that is left, all rows count.
+    """
+    if "constant" in model:
+        return model
+    place = F.floor(F.greatest(F.least(F.col("z"), F.lit(float(LOGITS))), F.lit(-float(LOGITS))) * BINS).alias("bin")
+    rows = found.filter("given").select("doc_id", "lang", place).join(known, F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("lang", "bin", "toxic", "trained").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    left, clean = rows[~rows["trained"].astype(bool)], model["clean"]
+    if set(left["toxic"]) != {0, 1}:
+        left, clean = rows, 1.0
+
+    def counts(some) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bins, at = np.unique(some["bin"].to_numpy(np.int64), return_inverse=True)
+        return bins, *[np.bincount(at, some["n"].to_numpy() * (some["toxic"].to_numpy() == k), len(bins)) for k in (1, 0)]
+
+    def level(bins: np.ndarray, toxic: np.ndarray, others: np.ndarray) -> float:
+        return best_threshold(bins, toxic, clean * others)
+
+    own = {lang: counts(some) for lang, some in left.groupby("lang")}
+    return model | {"common": level(*counts(left)), "thresholds": {k: level(*x) for k, x in own.items() if min(x[1].sum(), x[2].sum()) >= LEAST}}
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int, int] | None = None) -> dict:
+    """The model, from docs(doc_id, text, lang) whose label is known and for which learn holds."""
+    model, known = train(docs, labels, learn, train_rows)
+    return model if "constant" in model else calibrated(model, logits(docs.filter(learn), model), known)
 
 
 def chunks(texts: pa.Array) -> Iterator[list[str | None]]:
@@ -211,34 +237,52 @@ def chunks(texts: pa.Array) -> Iterator[list[str | None]]:
         yield held
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score: 0.5 where the logit meets the threshold of the text's language.
-
-    Whole texts count, null ones as empty; the score of a text without words is that of pads alone. Without labels of both
-    kinds all scores are 1 or 0, whichever label was seen (0: none). Repeated rows score alike; null ids stay.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def logits(docs: DataFrame, model: dict) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, z (logit), lang (that the text shows), given (whether there is a text)."""
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("net", "langs")})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        predictor = None if "constant" in own else language.Predictor(own["langs"])
+        predictor = language.Predictor(own["langs"])
         for batch in batches:
-            out = [np.zeros(0)]
+            z, langs = [np.zeros(0)], []
             for texts in chunks(batch["text"]):
-                if predictor is None:
-                    out.append(np.full(len(texts), own["constant"]))
-                    continue
-                z, langs = logits_and_languages(own["net"], predictor, texts)
-                level = np.array([own["thresholds"].get(x, own["common"]) for x in langs])
-                out.append(1 / (1 + np.exp(-np.clip(z.astype(float) - level, -40, 40))))
-            yield pa.record_batch([batch["doc_id"], pa.array(np.concatenate(out))], ["doc_id", "score"])
+                some, seen = logits_and_languages(own["net"], predictor, texts)
+                z.append(some.astype(float))
+                langs += seen
+            yield pa.record_batch([batch["doc_id"], pa.array(np.concatenate(z)), pa.array(langs, pa.string()), batch["text"].is_valid()], ["doc_id", "z", "lang", "given"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, z double, lang string, given boolean")
+
+
+def levelled(found: DataFrame, model: dict) -> DataFrame:
+    """logits(...) -> doc_id, score."""
+    level = F.lit(model["common"])
+    if model["thresholds"]:
+        level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in model["thresholds"].items() for x in pair]), F.col("lang")), level)
+    above = F.greatest(F.least(F.col("z") - level, F.lit(40.0)), F.lit(-40.0))
+    return found.select("doc_id", (1 / (1 + F.exp(-above))).alias("score"))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double")
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, score: 0.5 where the logit meets the threshold of the text's language.
+
+    Whole texts count, null ones as empty; the score of a text without words is that of pads alone. Without labels of both
+    kinds all scores are 1 or 0, whichever label was seen (0: none). Repeated rows score alike; null ids stay.
+    """
+    if "constant" in model:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(model["constant"]).alias("score"))
+    return levelled(logits(docs, model), model)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; labels are learned from ids with crc32 mod 5 above 0."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(F.col("doc_id"), 5) == 0
-    scored = score(docs, fit(docs, load(spark, sf_dir, "labels"), ~held))
+    model, known = train(docs, load(spark, sf_dir, "labels"), ~held)
+    if "constant" in model:
+        scored = score(docs, model)
+    else:  # texts are read once for thresholds and scores
+        found = staged(logits(docs, model), "logits")
+        scored = levelled(found, calibrated(model, found, known))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -512,3 +512,12 @@ def test_toxicity_of_awkward_rows(spark, edge_docs, no_docs):
     assert toxicity.score(edge_docs, model).filter("score BETWEEN 0 AND 1").count() == edge_docs.count()
     assert toxicity.score(no_docs, model).count() == 0
     assert {r.score for r in toxicity.score(edge_docs, toxicity.fit(docs, labels.limit(0), F.lit(True))).collect()} == {0.0}
+
+
+def test_thresholds_cover_all_labelled_rows(spark):
+    """A language with 1 in 100 labelled rows gets its own threshold, though the sample holds next to none of it."""
+    docs, labels = toxic_rows(spark, 3000)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 50 < 2, "fr").otherwise("en")).withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.lit("quoi donc "), F.regexp_replace("text", "w", "qu"))).otherwise(F.col("text")))
+    model = toxicity.fit(docs, labels, F.lit(True), {1: 60, 0: 120})
+    assert set(model["thresholds"]) == {"en", "fr"}
+    assert toxicity.score(docs, model).count() == 3000
