@@ -16,6 +16,8 @@ from .decontamination import covered
 LENGTH = 200
 #: Bytes that choose where passages meet: the least hash of these inside a window of LENGTH bytes is the window's key.
 GRAM = 24
+#: Bits of a gram's place beside its hash: no more bytes than they count are hashed at once.
+PLACE = 24
 #: Bytes that are hashed at once, and bytes of one suffix array (and more, where one key has more).
 HASHED, SORTED = 2 << 20, 1 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -40,10 +42,10 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], front[width - 1 : width - 1 + n])
 
 
-def segments(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(text: np.ndarray, edges: np.ndarray, bits: int = PLACE) -> tuple[np.ndarray, ...]:
     """Runs of windows with one key: document, first byte, bytes, key, hash of the bytes, and whether two windows may be equal.
 
-    text: documents one after the other; edges: where each begins, and the end. A window's key depends on its bytes
+    text: documents one after the other, of 2 ** bits bytes at most; edges: where each begins, and the end. A window's key depends on its bytes
     alone, so equal windows have equal keys, and each window is in one run. Runs overlap by LENGTH - 1 bytes.
     """
     none = (np.zeros(0, np.int64),) * 6
@@ -59,7 +61,7 @@ def segments(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         h += u[k : k + n]
         h *= by
     h ^= h >> np.uint64(29)
-    low = np.uint64((1 << 24) - 1)  # the place, so that the first of equal hashes wins
+    low = np.uint64((1 << bits) - 1)  # the place, so that the first of equal hashes wins
     least = sliding_min((h & ~low) | np.arange(n, dtype=np.uint64), LENGTH - GRAM + 1)
     count = size[long] - LENGTH + 1
     at = np.arange(count.sum()) + np.repeat(edges[:-1][long] - (np.cumsum(count) - count), count)
@@ -76,8 +78,11 @@ def segments(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], start - edges[:-1][doc[first]], stop - start, key[first].view(np.int64), digest.view(np.int64), anchors[last] > anchors[first]
 
 
-def parts(column: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Texts as bytes in parts of about `most`: the first text's number, the bytes, the edges."""
+def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts as bytes in parts of `most` at most: the first text's number, the part's place in it, the bytes, the edges.
+
+    A longer text is cut into parts that overlap by LENGTH - 1 bytes, so that each of its windows is in exactly one.
+    """
     column = column.cast(pa.large_binary()).fill_null(b"")
     edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -85,17 +90,24 @@ def parts(column: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, np.nda
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(edges, edges[a] + most)) - 1)
         b = min(b, len(column))
-        yield a, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        size = int(edges[b] - edges[a])
+        if size > most:  # a single text
+            for k in range(0, size - LENGTH + 1, most - LENGTH + 1):
+                piece = data[edges[a] + k : edges[a] + min(k + most, size)]
+                yield a, k, piece, np.array([0, len(piece)], np.int64)
+        else:
+            yield a, 0, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
         a = b
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], bits: int = PLACE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch["row_key"].to_numpy()
-        for first, text, edges in parts(batch["text"], HASHED):
+        for first, begin, text, edges in parts(batch["text"], min(HASHED, 1 << bits)):
             if len(text) < LENGTH:
                 continue
-            doc, start, size, key, digest, twice = segments(text, edges)
+            doc, start, size, key, digest, twice = segments(text, edges, bits)
+            start = start + begin
             yield pa.record_batch([pa.array(x) for x in (ids[first + doc], (start << 32) | (size << 1) | twice, key, digest)], ["row_key", "place", "key", "digest"])
 
 

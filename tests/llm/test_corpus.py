@@ -170,6 +170,38 @@ def test_repeats_in_awkward_rows(edge_docs, edge_rows, no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(("size", "bits"), [(5_000, (10,)), ((16 << 20) + 70_000, ())])
+def test_keys_behind_the_place_field(size, bits):
+    """A passage has the same keys behind 2 ** bits bytes of a text as alone, and each window of the text is in one segment."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage = letters(900)
+    texts = [letters(size) + passage + letters(300), passage, letters(150)]
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array(texts)], ["row_key", "text"])
+    found = [r for part in repeats.cut(iter([batch]), *bits) for r in zip(*[part[c].to_pylist() for c in ("row_key", "place", "key")], strict=True)]
+    runs = sorted((row, place >> 32, (place & 0xFFFFFFFF) >> 1, key) for row, place, key in found)
+    for row, text in enumerate(texts):
+        own = [(a, n) for r, a, n, _ in runs if r == row]
+        ends = [0, *(a + n - 199 for a, n in own)]
+        assert [a for a, _ in own] == ends[:-1] and ends[-1] == max(0, len(text) - 199)
+    keys = [{k - base: key for r, a, n, key in runs if r == row for k in range(max(a, base), min(a + n - 199, base + 701))} for row, base in ((0, size), (1, 0))]
+    assert len(keys[1]) == 701 and keys[0] == keys[1]
+
+
+@pytest.mark.parametrize("size", [repeats.HASHED, repeats.HASHED + 150, 2 * repeats.HASHED + 500])
+def test_repeats_of_long_texts(spark, size):
+    """Passages across and behind the cuts of a long text, which stand in short texts too."""
+    rng = np.random.default_rng(15)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    long = letters(size)
+    spots = [(a, min(a + 500, size)) for a in (0, repeats.HASHED - 300, repeats.HASHED - 199, size - 400) if min(a + 500, size) - a >= 200]
+    rows = [(1, long), *((10 + k, "!" + long[a:b] + "?") for k, (a, b) in enumerate(spots))]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 1").first()
+    assert got.n_bytes == size and [(s >> 32, s & 0xFFFFFFFF) for s in got.spans] == decontamination.covered(spots)
+
+
 def test_maximal_repeats_are_those_of_the_definition():
     rng = random.Random(3)
     contents = ["".join(rng.choice("ab") for _ in range(rng.randint(200, 215))).encode() for _ in range(3)]
