@@ -23,30 +23,36 @@ def stoichiometry(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("graph", "z").agg(F.count(F.lit(1)).alias("n"))
 
 
-def refined(atoms: DataFrame, bonds: DataFrame, rounds: int = 4) -> DataFrame:
+def refined(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(graph, atom, colour): colours from elements, then in each round from the colours of neighbours and the bonds to them.
 
-    Atoms that a renumbering maps to each other always get one colour.
+    Rounds go on until the number of colours in all graphs together no longer grows. Atoms that a renumbering maps to each
+    other always get one colour; colours are comparable between the graphs of one call.
     """
-    colour, edges = atoms.select("graph", "atom", F.xxhash64("z").alias("colour")), directed(bonds)
-    for _ in range(rounds):
+    colour, edges = staged(atoms.select("graph", "atom", F.xxhash64("z").alias("colour")), "colours"), directed(bonds)
+    count = lambda c: c.agg(F.count_distinct("colour")).first()[0]
+    n = count(colour)
+    while True:
         seen = edges.join(colour.withColumnRenamed("atom", "b"), ["graph", "b"]).groupBy("graph", F.col("a").alias("atom")).agg(F.array_sort(F.collect_list(F.xxhash64("order", "colour"))).alias("around"))
-        colour = colour.join(seen, ["graph", "atom"], "left").select("graph", "atom", F.xxhash64("colour", F.coalesce("around", F.array().cast("array<bigint>"))).alias("colour"))
-    return colour
+        after = staged(colour.join(seen, ["graph", "atom"], "left").select("graph", "atom", F.xxhash64("colour", F.coalesce("around", F.array().cast("array<bigint>"))).alias("colour")), "colours")
+        before, n = n, count(after)
+        if n == before:
+            return after
+        colour = after
 
 
-def graph_keys(atoms: DataFrame, bonds: DataFrame, rounds: int = 4) -> DataFrame:
+def graph_keys(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(graph, key): equal for graphs that differ in numbering only.
 
     The sorted refined colours, hashed: graphs that such refinement can't tell apart share a key too (some regular
-    graphs of equal size; none among trees of a diameter up to twice the rounds).
+    graphs of equal size; no trees).
     """
-    return refined(atoms, bonds, rounds).groupBy("graph").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("colour")).cast("array<string>"), ","), 256).alias("key"))
+    return refined(atoms, bonds).groupBy("graph").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("colour")).cast("array<string>"), ","), 256).alias("key"))
 
 
-def equivalence(atoms: DataFrame, bonds: DataFrame, rounds: int = 4) -> DataFrame:
+def equivalence(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(graph, class, members): atoms of one refined colour; the class is named by its smallest atom."""
-    return refined(atoms, bonds, rounds).groupBy("graph", "colour").agg(F.min("atom").alias("class"), F.count(F.lit(1)).alias("members")).drop("colour")
+    return refined(atoms, bonds).groupBy("graph", "colour").agg(F.min("atom").alias("class"), F.count(F.lit(1)).alias("members")).drop("colour")
 
 
 def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

@@ -27,18 +27,19 @@ def sample(starts: DataFrame, objective: Callable[[tuple[int, ...]], float | Non
     """starts(run, chain array<int>), a row for each run -> the log of each run: a row for each step of each replica (one for each beta).
 
     A step draws one of the state's neighbours; the balance of the numbers of neighbours keeps the Boltzmann
-    distribution. NULL objectives are rejected, replicas without beta only go down. After each round two neighbouring
+    distribution. Chains grow to `most` elements, or to the start's length where that is more. NULL objectives are rejected, replicas without beta only go down. After each round two neighbouring
     replicas with betas may swap states. Draws depend on seed, run and nothing else, so a lost task gives the same log again.
     """
 
     def run(name: int, chain: list[int]) -> list[tuple]:
         rng = np.random.default_rng([seed, name & 0x7FFFFFFF])
-        first = tuple(int(z) for z in chain)[:most] or (ELEMENTS[0],)
+        first = tuple(int(z) for z in chain) or (ELEMENTS[0],)
+        longest = max(most, len(first))
         at, value, log = [first] * len(betas), [objective(first)] * len(betas), []
         warm = [r for r, b in enumerate(betas) if b is not None]
         for step in range(1, steps + 1):
             for r, beta in enumerate(betas):
-                options = moves(at[r], most)
+                options = moves(at[r], longest)
                 pick, u = rng.random(2).tolist()
                 kind, new = options[int(pick * len(options))]
                 f = objective(new)
@@ -47,7 +48,7 @@ def sample(starts: DataFrame, objective: Callable[[tuple[int, ...]], float | Non
                 elif beta is None:
                     ok = f < value[r]
                 else:
-                    change = beta * (f - value[r]) + math.log(len(moves(new, most)) / len(options))
+                    change = beta * (f - value[r]) + math.log(len(moves(new, longest)) / len(options))
                     ok = change <= 0 or u < math.exp(-change)
                 if ok:
                     at[r], value[r] = new, f

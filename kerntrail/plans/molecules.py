@@ -76,8 +76,9 @@ SELECT graph, 210 AS n, round(sum(CASE WHEN a = b THEN v END), 5) AS trace, roun
 def graph_descriptor(spark, sf_dir):
     """Descriptors as vectors; what the order of rows can't change is compared: length, diagonal, sum of the upper triangle."""
     atoms, bonds = _both(spark, sf_dir)
-    x = G.descriptor(G.coulomb(atoms, G.distances(atoms, bonds)), 20)
-    diagonal = sum((F.col("x")[sum(range(20, 20 - k, -1))] for k in range(1, 20)), F.col("x")[0])
+    size = max(20, atoms.groupBy("graph").count().agg(F.max("count")).first()[0] or 0)  # no graph loses atoms
+    x = G.descriptor(G.coulomb(atoms, G.distances(atoms, bonds)), size)
+    diagonal = V.total(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get("x", (k * size - k * (k - 1) / 2).cast("int"))))
     return x.select("graph", F.size("x").alias("n"), F.round(diagonal, 5).alias("trace"), F.round(V.total(F.col("x")), 5).alias("upper"))
 
 

@@ -215,3 +215,25 @@ def test_spill_and_last_states(spark, tmp_path):
     assert old.count() + rest.count() == 10 and old.agg(F.max("last_used")).first()[0] < rest.agg(F.min("last_used")).first()[0]
     log = spark.createDataFrame([(1, 0, 1, "a", 2.0), (1, 0, 2, "b", 1.0)], "run long, replica int, step long, key string, f double")
     assert [tuple(r) for r in trajectories.last_states(log).collect()] == [(1, 0, 2, "b", 1.0)]
+
+
+def test_long_chains_are_whole(spark, monkeypatch):
+    """Keys, descriptors and runs of chains beyond 20 elements."""
+    from kerntrail.operators import graphs, sampling
+    from kerntrail.plans import molecules, registry
+
+    chains = {1: [6] * 8 + [7] + [6] * 14, 2: [6] * 11 + [7] + [6] * 11, 3: [6] * 14 + [7] + [6] * 8}
+    atoms = spark.createDataFrame([(g, k + 1, z) for g, c in chains.items() for k, z in enumerate(c)], "graph long, atom int, z int")
+    bonds = spark.createDataFrame([(g, k, k + 1, 1) for g, c in chains.items() for k in range(1, len(c))], "graph long, a int, b int, order int")
+    key = {r.graph: r.key for r in graphs.graph_keys(atoms, bonds).collect()}
+    assert key[1] == key[3] != key[2]
+    classes = [r.members for r in graphs.equivalence(atoms, bonds).filter("graph < 3").orderBy("graph", "class").collect()]
+    assert classes == [1] * 23 + [2] * 11 + [1]
+    monkeypatch.setattr(molecules, "_both", lambda *_: (atoms, bonds))
+    for r in registry.QUERIES["graph_descriptor"](spark, "").collect():
+        c = chains[r.graph]
+        trace = sum(0.5 * z**2.4 for z in c)
+        assert r.n == 23 * 24 // 2 and abs(r.trace - trace) < 1e-3
+        assert abs(r.upper - trace - sum(c[i] * c[j] / (j - i) for i in range(23) for j in range(i + 1, 23))) < 1e-3
+    starts = spark.createDataFrame([(g, c) for g, c in chains.items()], "run long, chain array<int>")
+    assert all(len(r.key.split("-")) >= 22 for r in sampling.sample(starts, sampling.charge_sum, (1.0,), steps=1).collect())
