@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,51 @@ from ..functions import vectors as V
 from ..storage import staged
 
 
+#: Atoms of a graph up to which it is one row inside a task; greater graphs go through joins of their atoms and bonds.
+WHOLE = 256
+#: Cells of matrices that a task holds at once.
+CELLS = 1 << 21
+
+
+def split(atoms: DataFrame, bonds: DataFrame, most: int = WHOLE) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """The atoms and bonds of graphs with up to `most` atoms, and of the others, if there are any."""
+    greater = staged(atoms.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("graph"), "great-graphs")
+    if not greater.limit(1).count():
+        return (atoms, bonds), None
+    return tuple(x.join(greater, "graph", "left_anti") for x in (atoms, bonds)), tuple(x.join(greater, "graph", "left_semi") for x in (atoms, bonds))
+
+
+def per_graph(atoms: DataFrame, bonds: DataFrame, work: Callable[[dict[str, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """work(...) of many whole graphs at a time. It gets arrays: graph and size by graph; start: its first atom's place; atom and z by atom;
+    of, a, b, order by bond (its graph's number, places of its atoms, its order)."""
+    lists = atoms.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("atom", "z"))).alias("atoms"))
+    edges = bonds.groupBy("graph").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("order").cast("double").alias("order"))).alias("bonds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.cumsum(np.diff(batch["atoms"].offsets.to_numpy()).astype(np.int64) ** 2)
+            cuts = np.unique(np.searchsorted(cells, np.arange(0, cells[-1] if len(cells) else 0, CELLS)))
+            for k, m in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                yield from work(arrays(batch.slice(k, m - k))).to_batches()
+
+    return lists.join(edges, "graph", "left").select("graph", "atoms", F.coalesce("bonds", F.array().cast("array<struct<a:int,b:int,order:double>>")).alias("bonds")).mapInArrow(run, schema)
+
+
+def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    own, edges = batch["atoms"].flatten(), batch["bonds"].flatten()
+    size, many = (np.diff(batch[c].offsets.to_numpy()).astype(np.int64) for c in ("atoms", "bonds"))
+    start, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), many)
+    atom, owner = own.field("atom").to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+    # atoms by graph and number, to find bonds' ends
+    low, wide = (int(atom.min()), int(atom.max()) - int(atom.min()) + 1) if len(atom) else (0, 1)
+    keys = owner * wide + atom - low
+    ends = [np.searchsorted(keys, of * wide + edges.field(c).to_numpy().astype(np.int64) - low) for c in ("a", "b")]
+    return {
+        "graph": batch["graph"].to_numpy(), "size": size, "start": start, "atom": atom, "z": own.field("z").to_numpy(), "owner": owner,
+        "of": of, "a": ends[0], "b": ends[1], "order": edges.field("order").to_numpy().astype(float),
+    }
+
+
 def directed(bonds: DataFrame) -> DataFrame:
     return bonds.unionByName(bonds.select("graph", F.col("b").alias("a"), F.col("a").alias("b"), "order"))
 
@@ -23,12 +72,50 @@ def stoichiometry(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("graph", "z").agg(F.count(F.lit(1)).alias("n"))
 
 
-def refined(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def colours(g: dict[str, np.ndarray]) -> pa.Table:
+    """refined(...) of whole graphs: each graph stops when its own colours no longer grow in number."""
+    colour = mixed(g["z"].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    src, dst = np.append(g["a"], g["b"]), np.append(g["b"], g["a"])
+    order = np.append(g["order"], g["order"]).view(np.uint64)
+    active, n = np.ones(len(g["size"]), bool), kinds(g["owner"], colour, len(g["size"]))
+    while active.any():
+        # the multiset of neighbours' colours and bonds as a sum, which no order changes
+        around = np.zeros(len(colour), np.uint64)
+        np.add.at(around, src, mixed(colour[dst] ^ mixed(order)))
+        after = np.where(active[g["owner"]], mixed(colour * np.uint64(0x9E3779B97F4A7C15) + around), colour)
+        now = kinds(g["owner"], after, len(g["size"]))
+        colour, active, n = after, active & (now > n), now
+    return pa.table({"graph": g["graph"][g["owner"]], "atom": g["atom"].astype(np.int32), "colour": colour.view(np.int64)})
+
+
+def kinds(owner: np.ndarray, colour: np.ndarray, graphs: int) -> np.ndarray:
+    """How many colours each graph has."""
+    order = np.lexsort((colour, owner))
+    new = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(colour[order]) != 0)) if len(owner) else np.zeros(0, bool)
+    return np.bincount(owner[order][new], minlength=graphs)
+
+
+def refined(atoms: DataFrame, bonds: DataFrame, most: int = WHOLE) -> DataFrame:
     """(graph, atom, colour): colours from elements, then in each round from the colours of neighbours and the bonds to them.
 
-    Rounds go on until the number of colours in all graphs together no longer grows. Atoms that a renumbering maps to each
-    other always get one colour; colours are comparable between the graphs of one call.
+    Rounds go on until the number of colours no longer grows. Atoms that a renumbering maps to each other always get one
+    colour; graphs that differ in numbering only get the same ones. Graphs of up to `most` atoms are refined whole inside a
+    task, greater ones by joins.
     """
+    (atoms, bonds), great = split(atoms.select("graph", "atom", "z"), bonds, most)
+    found = per_graph(atoms, bonds, colours, "graph long, atom int, colour long")
+    return found if great is None else found.unionByName(refined_by_joins(*great).select("graph", F.col("atom").cast("int").alias("atom"), "colour"))
+
+
+def refined_by_joins(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """The same by a join of all graphs' bonds with their atoms' colours in each round."""
     colour, edges = staged(atoms.select("graph", "atom", F.xxhash64("z").alias("colour")), "colours"), directed(bonds)
     count = lambda c: c.agg(F.count_distinct("colour")).first()[0]
     n = count(colour)
@@ -55,8 +142,29 @@ def equivalence(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return refined(atoms, bonds).groupBy("graph", "colour").agg(F.min("atom").alias("class"), F.count(F.lit(1)).alias("members")).drop("colour")
 
 
-def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(graph, atom, component): the smallest atom that each reaches. Labels sink along bonds until none changes."""
+def reached(g: dict[str, np.ndarray]) -> pa.Table:
+    """components(...) of whole graphs."""
+    label = np.arange(len(g["z"]))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, g["a"], label[g["b"]])
+        np.minimum.at(label, g["b"], label[g["a"]])
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    number = g["atom"].astype(np.int32)
+    return pa.table({"graph": g["graph"][g["owner"]], "atom": number, "component": number[label]})
+
+
+def components(atoms: DataFrame, bonds: DataFrame, most: int = WHOLE) -> DataFrame:
+    """(graph, atom, component): the smallest atom that each reaches; whole graphs of up to `most` atoms in a task, greater ones by joins."""
+    (atoms, bonds), great = split(atoms.select("graph", "atom", "z"), bonds, most)
+    found = per_graph(atoms, bonds, reached, "graph long, atom int, component int")
+    return found if great is None else found.unionByName(components_by_joins(*great).select("graph", *[F.col(c).cast("int").alias(c) for c in ("atom", "component")]))
+
+
+def components_by_joins(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """The same: labels sink along bonds until none changes."""
     edges = directed(bonds).select("graph", "a", "b")
     label = atoms.select("graph", "atom", F.col("atom").alias("component"))
     while True:
@@ -69,11 +177,51 @@ def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
             return label
 
 
-def distances(atoms: DataFrame, bonds: DataFrame, radii: dict[int, float] | None = None) -> DataFrame:
-    """(graph, a, b, d): shortest paths between all pairs of a graph's atoms that have one, in bonds or, with radii, in lengths.
+def paths(radii: dict[int, float] | None) -> Callable[[dict[str, np.ndarray]], pa.Table]:
+    """distances(...) of whole graphs, those of one size together: each atom in turn is tried as a stop of all paths."""
+
+    def work(g: dict[str, np.ndarray]) -> pa.Table:
+        ra = np.array([radii.get(int(z), np.nan) for z in g["z"]]) if radii else np.full(len(g["z"]), 0.5)
+        out, inside = [], np.arange(len(g["z"])) - g["start"][g["owner"]]
+        for n in np.unique(g["size"]):
+            own = np.flatnonzero(g["size"] == n)
+            number = np.full(len(g["size"]), -1)
+            number[own] = np.arange(len(own))
+            d = np.full((len(own), n, n), np.inf)
+            some = number[g["of"]] >= 0
+            k, a, b = number[g["of"][some]], inside[g["a"][some]], inside[g["b"][some]]
+            length = ra[g["a"][some]] + ra[g["b"][some]]
+            np.minimum.at(d, (k, a, b), length)
+            np.minimum.at(d, (k, b, a), length)
+            d[:, np.arange(n), np.arange(n)] = 0
+            for k in range(n):
+                np.minimum(d, d[:, :, k, None] + d[:, k, None, :], out=d)
+            k, a, b = np.nonzero(np.isfinite(d))
+            at = g["start"][own][k]
+            out.append([g["graph"][own][k], g["atom"][at + a], g["atom"][at + b], np.round(d[k, a, b], 9), g["z"][at + a], g["z"][at + b]])
+        graph, a, b, d, za, zb = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 6
+        return pa.table({"graph": graph, "a": a.astype(np.int32), "b": b.astype(np.int32), "d": d.astype(float), "za": za.astype(np.int32), "zb": zb.astype(np.int32)})
+
+    return work
+
+
+PATHS = "graph long, a int, b int, d double, za int, zb int"
+
 
-    Paths double in length in each round: a shortest path of up to 2^k bonds is two of up to 2^(k-1). Graphs are small and many;
-    a round is one join for all of them.
+def distances(atoms: DataFrame, bonds: DataFrame, radii: dict[int, float] | None = None, most: int = WHOLE) -> DataFrame:
+    """(graph, a, b, d, za, zb): shortest paths between all pairs of a graph's atoms that have one, in bonds or, with radii, in lengths.
+
+    Graphs of up to `most` atoms are worked out whole inside a task; greater ones by joins.
+    """
+    (atoms, bonds), great = split(atoms.select("graph", "atom", "z"), bonds, most)
+    found = per_graph(atoms, bonds, paths(radii), PATHS)
+    return found if great is None else found.unionByName(distances_by_joins(*great, radii))
+
+
+def distances_by_joins(atoms: DataFrame, bonds: DataFrame, radii: dict[int, float] | None = None) -> DataFrame:
+    """The same: paths double in length in each round, as a shortest path of up to 2^k bonds is two of up to 2^(k-1).
+
+    It ends when no pair is new and no path became shorter (by more than a part in a billion, which sums in another order may differ by).
     """
     length = F.lit(1.0)
     edges = directed(bonds)
@@ -82,30 +230,29 @@ def distances(atoms: DataFrame, bonds: DataFrame, radii: dict[int, float] | None
         edges = edges.join(z, ["graph", "a"]).join(z.toDF("graph", "b", "rb"), ["graph", "b"])
         length = F.col("ra") + F.col("rb")
     best = edges.select("graph", "a", "b", length.alias("d")).unionByName(atoms.select("graph", F.col("atom").alias("a"), F.col("atom").alias("b"), F.lit(0.0).alias("d")))
-    best = staged(best.groupBy("graph", "a", "b").agg(F.min("d").alias("d")), "paths")
-    measure = lambda p: tuple(p.agg(F.count(F.lit(1)), F.round(F.sum("d"), 3)).first())
-    before = measure(best)
-    while True:
-        first = best.toDF("graph", "a", "m", "d1")
-        longer = first.join(best.toDF("graph", "m", "b", "d2"), ["graph", "m"]).groupBy("graph", "a", "b").agg(F.min(F.round(F.col("d1") + F.col("d2"), 9)).alias("d"))
-        best = staged(longer, "paths")
-        size = measure(best)
-        if size == before:  # no path was found or became shorter
-            return best
-        before = size
-
-
-def coulomb(atoms: DataFrame, paths: DataFrame) -> DataFrame:
-    """(graph, a, b, v): z_a z_b / d, 0.5 z^2.4 on the diagonal; pairs without a path are 0 and left out."""
-    za, zb = atoms.toDF("graph", "a", "za"), atoms.toDF("graph", "b", "zb")
+    best = staged(best.groupBy("graph", "a", "b").agg(F.min("d").alias("d")).withColumn("changed", F.lit(True)), "paths")
+    while best.filter("changed").limit(1).count():
+        first = best.select("graph", "a", F.col("b").alias("m"), F.col("d").alias("d1"), F.col("changed").alias("c1"))
+        second = best.select("graph", F.col("a").alias("m"), "b", F.col("d").alias("d2"), F.col("changed").alias("c2"))
+        longer = first.join(second, ["graph", "m"]).filter("c1 OR c2").groupBy("graph", "a", "b").agg(F.min(F.col("d1") + F.col("d2")).alias("e"))
+        shorter = F.col("d").isNull() | (F.col("e") < F.col("d") * (1 - 1e-9))
+        both = best.drop("changed").join(longer, ["graph", "a", "b"], "full")
+        best = staged(both.select("graph", "a", "b", F.when(shorter, F.col("e")).otherwise(F.col("d")).alias("d"), F.coalesce(shorter & F.col("e").isNotNull(), F.lit(False)).alias("changed")), "paths")
+    za, zb = (atoms.select("graph", F.col("atom").alias(c), F.col("z").alias("z" + c)) for c in "ab")
+    found = best.join(za, ["graph", "a"]).join(zb, ["graph", "b"])
+    return found.select("graph", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.round("d", 9).alias("d"), F.col("za").cast("int").alias("za"), F.col("zb").cast("int").alias("zb"))
+
+
+def coulomb(paths: DataFrame) -> DataFrame:
+    """(graph, a, b, v) of paths(graph, a, b, d, za, zb): z_a z_b / d, 0.5 z^2.4 on the diagonal; pairs without a path are 0 and left out."""
     value = F.when(F.col("a") == F.col("b"), 0.5 * F.pow(F.col("za").cast("double"), 2.4)).otherwise(F.col("za") * F.col("zb") / F.col("d"))
-    return paths.join(za, ["graph", "a"]).join(zb, ["graph", "b"]).select("graph", "a", "b", value.alias("v"))
+    return paths.select("graph", "a", "b", value.alias("v"))
 
 
 def descriptor(entries: DataFrame, size: int) -> DataFrame:
     """entries(graph, a, b, v) -> graph, x: rows and columns in the order of falling row norms, padded to `size`, the upper triangle.
 
-    Atoms of equal norms stay in order; a graph with more atoms than `size` loses those with the least norms.
+    Atoms of equal norms stay in order; a graph with more atoms than `size` loses those with the least norms, so take greatest(...) where none may.
     """
     rows = entries.groupBy("graph", "a").agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("r"))
     rows = rows.select("graph", F.struct("a", F.transform("r", lambda s: s["v"]).alias("r")).alias("row"))

@@ -1,23 +1,31 @@
-"""All-pairs operators: blocks of rows meet by equi-joins, so that no task gets more than two blocks."""
+"""All-pairs operators: blocks of rows meet by equi-joins, and a task compares two blocks at a time as matrices."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
 
-BLOCK = 256
+#: Most rows of a block, and the rows that a block has at least before the rows are dealt out further for the sake of parallel tasks.
+BLOCK, LEAST = 2048, 256
+#: Rows of either side whose differences are taken at once.
+SUBTILE = 256
 
 
-def block_count(rows: int, block: int = BLOCK) -> int:
-    return rows // block + 1
+def block_count(rows: int, block: int = BLOCK, parallel: int = 1) -> int:
+    """Blocks of at most `block` rows (expected); more where there would be fewer pairs of blocks than parallel tasks."""
+    return max(rows // block + 1, min(rows // LEAST + 1, int((2 * parallel) ** 0.5) + 1))
 
 
 def pairs(left: DataFrame, right: DataFrame, blocks: tuple[int, int]) -> DataFrame:
-    """left(i, a), right(j, b): all pairs. Each row goes to as many tasks as the other side has blocks."""
+    """left(i, a), right(j, b): all pairs as rows, for any columns' expressions. Each row goes to as many tasks as the other side has blocks."""
     m, n = blocks
     ls = left.withColumn("p", F.pmod(F.xxhash64("i"), F.lit(m)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rs = right.withColumn("q", F.pmod(F.xxhash64("j"), F.lit(n)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -25,7 +33,7 @@ def pairs(left: DataFrame, right: DataFrame, blocks: tuple[int, int]) -> DataFra
 
 
 def symmetric_pairs(vectors: DataFrame, blocks: int, diagonal: bool = True) -> DataFrame:
-    """vectors(id, x): the pairs (i, a, j, b) with i <= j (i < j without the diagonal).
+    """vectors(id, x): the pairs (i, a, j, b) with i <= j (i < j without the diagonal) as rows, for any columns' expressions.
 
     A block of rows meets itself and the blocks behind it.
     """
@@ -43,15 +51,126 @@ def mirrored(entries: DataFrame, *values: str) -> DataFrame:
     return entries.unionByName(entries.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), *values))
 
 
+# blocks as matrices
+
+Tile = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table]
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix of doubles."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product; where it cancels digits (near rows) by differences."""
+    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+    d = size - 2 * (a @ b.T)
+    i, j = np.nonzero(d < 1e-4 * size)
+    for k in range(0, len(i), 1 << 16):
+        some = slice(k, k + (1 << 16))
+        d[i[some], j[some]] = ((a[i[some]] - b[j[some]]) ** 2).sum(axis=1)
+    return d
+
+
+def absolutes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences, in pieces that stay in the processor's cache."""
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, len(a), SUBTILE):
+        for m in range(0, len(b), SUBTILE):
+            x, y, part = a[k : k + SUBTILE], b[m : m + SUBTILE].T.copy(), out[k : k + SUBTILE, m : m + SUBTILE]
+            for c in range(a.shape[1]):
+                part += np.abs(x[:, c, None] - y[c])
+    return out
+
+
+#: By name: the distance that a kernel is a function of, the kernel and its derivative by the width. Own kernels are added here.
+KERNELS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "gaussian": (squares, lambda d, s: np.exp(-d / (2 * s * s)), lambda d, s: np.exp(-d / (2 * s * s)) * d / s**3),
+    "laplacian": (absolutes, lambda d, s: np.exp(-d / s), lambda d, s: np.exp(-d / s) * d / s**2),
+}
+
+
+def kernel_block(a: np.ndarray, b: np.ndarray, name: str, sigma: float) -> np.ndarray:
+    if name not in KERNELS:
+        raise ValueError(f"no kernel {name}")
+    distance, kernel, _ = KERNELS[name]
+    return kernel(distance(a, b), sigma)
+
+
+def dealt(rows: DataFrame, key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def rect_tiles(left: DataFrame, right: DataFrame, tile: Tile, schema: str, blocks: tuple[int, int]) -> DataFrame:
+    """left(i, a), right(j, b): tile(i, a, j, b, ...) of each pair of blocks, as rows of the schema.
+
+    Null vectors take no part; all must have one length.
+    """
+    m, n = blocks
+    ls = left.filter("a IS NOT NULL").withColumn("p", dealt(left, "i", m)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rs = right.filter("b IS NOT NULL").withColumn("q", dealt(right, "j", n)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return met(ls, rs, tile, schema, ("p", "q"))
+
+
+def met(ls: DataFrame, rs: DataFrame, tile: Tile, schema: str, keys: tuple[str, ...]) -> DataFrame:
+    """tile(...) of what both sides hold for each value of the keys, the last two of which are blocks."""
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def work(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return empty
+        same = key[-2].as_py() == key[-1].as_py()
+        return tile(x["i"].to_numpy(), matrix(x["a"]), y["j"].to_numpy(), matrix(y["b"]), same)
+
+    return ls.groupBy(*keys).cogroup(rs.groupBy(*keys)).applyInArrow(work, schema)
+
+
+def tiles(vectors: DataFrame, tile: Tile, schema: str, blocks: int) -> DataFrame:
+    """vectors(id, x): tile(i, a, j, b, same) of each unordered pair of blocks; same: whether both are one block.
+
+    A tile has to give each unordered pair of rows once (see upper()).
+    """
+    rows = vectors.filter("x IS NOT NULL").select("id", "x", dealt(vectors, "id", blocks).alias("own"))
+    ls = rows.select(F.col("id").alias("i"), F.col("x").alias("a"), F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("q"))
+    rs = rows.select(F.col("id").alias("j"), F.col("x").alias("b"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"))
+    return met(ls, rs, tile, schema, ("p", "q"))
+
+
+def upper(i: np.ndarray, j: np.ndarray, same: bool, diagonal: bool) -> np.ndarray:
+    """Which cells of a tile stand for a pair: all of two blocks, i <= j (or i < j) inside one."""
+    if not same:
+        return np.ones((len(i), len(j)), bool)
+    return i[:, None] <= j if diagonal else i[:, None] < j
+
+
+def cells(i: np.ndarray, j: np.ndarray, keep: np.ndarray, **values: np.ndarray) -> pa.Table:
+    """The kept cells of a tile as rows (i, j, values) with the smaller id first."""
+    at, to = np.nonzero(keep)
+    a, b = i[at], j[to]
+    return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), **{k: v[at, to] for k, v in values.items()}})
+
+
 def kernel_entries(vectors: DataFrame, name: str, sigma: float, blocks: int, slope: bool = False, ridge: float = 0.0) -> DataFrame:
     """(i, j, k[, dk]) for i <= j of a kernel matrix; ridge is added to the diagonal."""
-    kernel, derivative = V.KERNELS[name]
-    a, b = F.col("a"), F.col("b")
-    k = kernel(a, b, sigma)
-    if ridge:
-        k = k + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)
-    more = [derivative(a, b, sigma).alias("dk")] if slope else []
-    return symmetric_pairs(vectors, blocks).select("i", "j", k.alias("k"), *more)
+    distance, kernel, derivative = KERNELS[name]
+
+    def tile(i, a, j, b, same):
+        d = distance(a, b)
+        k = kernel(d, sigma) + (np.where(i[:, None] == j, ridge, 0.0) if ridge else 0.0)
+        return cells(i, j, upper(i, j, same, True), k=k, **({"dk": derivative(d, sigma)} if slope else {}))
+
+    return tiles(vectors, tile, "i long, j long, k double" + (", dk double" if slope else ""), blocks)
+
+
+def kernel_rect(left: DataFrame, right: DataFrame, name: str, sigma: float, blocks: tuple[int, int]) -> DataFrame:
+    """left(i, a), right(j, b) -> (i, j, k)."""
+
+    def tile(i, a, j, b, same):
+        k = kernel_block(a, b, name, sigma)
+        return pa.table({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "k": k.ravel()})
+
+    return rect_tiles(left, right, tile, "i long, j long, k double", blocks)
 
 
 def kernel_to_sqdist(entries: DataFrame) -> DataFrame:
@@ -61,27 +180,105 @@ def kernel_to_sqdist(entries: DataFrame) -> DataFrame:
     return joined.select("i", "j", (F.col("ki") + F.col("kj") - 2 * F.col("k")).alias("d2"))
 
 
+def nearest_k(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(id, rank, neighbour, d2): each row's k nearest others, ties to smaller ids.
+
+    A task keeps k rows of each block for each row of the other; only these are ranked. Rows whose matrix product says
+    that they might be among the k are compared by differences, so that equal rows are equally far.
+    """
+
+    def best(i, a, j, b, d):
+        """Of each row of a its k nearest in b (without itself)."""
+        own = i[:, None] == j
+        d = np.where(own, np.inf, d)
+        most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        slack = 1e-9 * ((a * a).sum(axis=1) + (b * b).sum(axis=1).max() + 1e-300)
+        at, to = np.nonzero((d <= (most + slack)[:, None]) & ~own)
+        exact = ((a[at] - b[to]) ** 2).sum(axis=1)
+        order = np.lexsort((j[to], exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        some = place < k
+        return i[at[some]], j[to[some]], exact[some]
+
+    def tile(i, a, j, b, same):
+        d = squares(a, b)
+        found = [best(i, a, j, b, d)] + ([] if same else [best(j, b, i, a, d.T)])
+        x, y, z = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"id": x, "neighbour": y, "d2": z})
+
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
+    found = tiles(vectors, tile, "id long, neighbour long, d2 double", blocks)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "d2")
+
+
 def nearest(vectors: DataFrame, blocks: int) -> DataFrame:
-    """Each row's nearest other row (id, neighbour, d2); ties go to the smaller id. Minima are taken before the shuffle."""
-    met = symmetric_pairs(vectors, blocks, diagonal=False).select("i", "j", V.sqdist(F.col("a"), F.col("b")).alias("d2"))
-    best = mirrored(met, "d2").groupBy("i").agg(F.min(F.struct("d2", "j")).alias("m"))
-    return best.select(F.col("i").alias("id"), F.col("m.j").alias("neighbour"), F.col("m.d2").alias("d2"))
+    """Each row's nearest other row (id, neighbour, d2); ties go to the smaller id."""
+    return nearest_k(vectors, 1, blocks).drop("rank")
+
+
+def radial_distribution(vectors: DataFrame, width: float, blocks: int) -> DataFrame:
+    """(shell, n): how many pairs are between shell and shell + 1 widths apart, counted inside tasks first."""
+
+    def tile(i, a, j, b, same):
+        d = np.sqrt(squares(a, b)[upper(i, j, same, False)])
+        shell, n = np.unique(np.floor(d / width).astype(np.int64), return_counts=True)
+        return pa.table({"shell": shell, "n": n.astype(np.int64)})
+
+    return tiles(vectors, tile, "shell long, n long", blocks).groupBy("shell").agg(F.sum("n").alias("n"))
 
 
-def within(left: DataFrame, right: DataFrame, high: float, low: float = 0.0) -> DataFrame:
-    """left(i, a), right(j, b): pairs with low <= distance <= high.
+def extremes(vectors: DataFrame, blocks: int) -> DataFrame:
+    """The greatest L1 and Euclidean distances of any two rows, as one row (l1, l2)."""
 
-    Norms of such pairs differ by `high` at most, so rows meet by bands of norms as wide as that: an equi-join on three
-    bands, not all pairs.
+    def tile(i, a, j, b, same):
+        return pa.table({"l1": [absolutes(a, b).max()], "d2": [squares(a, b).max()]})
+
+    return tiles(vectors, tile, "l1 double, d2 double", blocks).agg(F.max("l1").alias("l1"), F.sqrt(F.max("d2")).alias("l2"))
+
+
+def pivots_of(rows: DataFrame, x: str, n: int = 2) -> list[list[float]]:
+    """n far rows: the one farthest from the zero vector, then each time the one whose nearest pivot is farthest (ties: any)."""
+    found: list[list[float]] = []
+    for _ in range(n):
+        far = V.norm(F.col(x)) if not found else F.least(*[d2 for p in found for d2 in [V.sqdist(F.col(x), F.array(*map(F.lit, p)))] * 2])
+        top = rows.filter(F.col(x).isNotNull()).agg(F.max_by(x, far)).first()[0]
+        if top is None:
+            break
+        found.append(list(top))
+    return found
+
+
+def within(left: DataFrame, right: DataFrame, high: float, low: float = 0.0, pivots: int = 2, block: int = LEAST) -> DataFrame:
+    """left(i, a), right(j, b) -> (i, j, d): the pairs with low <= distance <= high.
+
+    Distances to a pivot differ by `high` at most in such pairs, so rows meet only in the same or neighbouring bands of distances to
+    each of some far pivots. A band may hold all rows (where `high` is wide), so inside bands rows meet in blocks, of which
+    a band has as many as its rows need: no task holds more than two blocks of about `block` rows, or BLOCK where there are many.
     """
-    band = lambda x: F.floor(V.norm(x) / high)
-    ls = left.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: s + band(F.col("a")))))
-    rs = right.withColumn("band", band(F.col("b")))
-    d = F.sqrt(V.sqdist(F.col("a"), F.col("b")))
-    return ls.join(rs, "band").withColumn("d", d).filter(F.col("d").between(low, high)).drop("band")
+    chosen = pivots_of(right, "b", pivots)
+    bands = [f"band{k}" for k in range(len(chosen))]
+    at = lambda x, p: F.floor(F.sqrt(V.sqdist(F.col(x), F.array(*map(F.lit, p)))) / high)
+    around = lambda band: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: s + band))
+    ls, rs = left.filter("a IS NOT NULL").select("i", "a"), right.filter("b IS NOT NULL").select("j", "b")
+    for name, p in zip(bands, chosen, strict=True):
+        rs = rs.withColumn(name, at("b", p))
+        ls = ls.withColumn(name, around(at("a", p)))
+    if not chosen:
+        return left.join(right, F.lit(False)).select("i", "j", F.lit(0.0).alias("d"))
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        size = F.count(F.lit(1))
+        wide = F.when(size > 64 * BLOCK, F.lit(BLOCK)).otherwise(F.lit(block))
+        return rows.groupBy(*bands).agg((F.floor(size / wide) + 1).cast("int").alias(name))
 
+    sizes = counts(ls, "m").join(counts(rs, "n"), bands)
+    ls = ls.join(sizes, bands).withColumn("p", F.pmod(F.xxhash64("i"), F.col("m")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rs = rs.join(sizes, bands).withColumn("q", F.pmod(F.xxhash64("j"), F.col("n")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
 
-def extreme_distance(vectors: DataFrame, blocks: int, distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """The greatest distance of any two rows, as one row (d)."""
-    return symmetric_pairs(vectors, blocks).agg(F.max(distance(F.col("a"), F.col("b"))).alias("d"))
+    def tile(i, a, j, b, same):
+        d = np.sqrt(squares(a, b))
+        at, to = np.nonzero((d >= low) & (d <= high))
+        return pa.table({"i": i[at], "j": j[to], "d": d[at, to]})
 
+    return met(ls.drop("m", "n"), rs.drop("m", "n"), tile, "i long, j long, d double", (*bands, "p", "q"))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .pairs import mirrored, symmetric_pairs
 
 
 def heavy_atoms(atoms: DataFrame, light: int, least: int = 4) -> DataFrame:
@@ -38,19 +37,6 @@ def looked_up(states: DataFrame, known: DataFrame, *values: str) -> DataFrame:
     return states.join(known.select("key", *values).withColumn("known", F.lit(True)), "key", "left").fillna(False, ["known"])
 
 
-def nearest_k(vectors: DataFrame, k: int, blocks: int) -> DataFrame:
-    """(id, rank, neighbour, d): each row's k nearest others, ties to smaller ids. Tasks keep k of each row before the shuffle."""
-    met = symmetric_pairs(vectors, blocks, diagonal=False).select("i", "j", F.sqrt(V.sqdist(F.col("a"), F.col("b"))).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return mirrored(met, "d").withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("i").alias("id"), "rank", F.col("j").alias("neighbour"), "d")
-
-
-def radial_distribution(vectors: DataFrame, width: float, blocks: int) -> DataFrame:
-    """(shell, n): how many pairs are between shell and shell + 1 widths apart."""
-    d = F.sqrt(V.sqdist(F.col("a"), F.col("b")))
-    return symmetric_pairs(vectors, blocks, diagonal=False).groupBy(F.floor(d / width).alias("shell")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def weighted_mean_mae(cells: DataFrame) -> DataFrame:
     """cells(column, ref, p): columns' mean errors over cells whose reference isn't 0, weighted by how many these are."""
     e = cells.filter("ref <> 0").groupBy("column").agg(F.avg(F.abs(F.col("p") - F.col("ref"))).alias("mae"), F.count(F.lit(1)).alias("n"))
@@ -155,19 +141,35 @@ def cluster_counts(vectors: DataFrame, counts: tuple[int, ...] = (2, 3, 4, 5), s
 def prefix_diversity(vectors: DataFrame, parts: int = 10) -> DataFrame:
     """(part, rows, diversity): the norm of the two greatest singular values of all rows up to the end of each range of ids.
 
-    Sums of products of components, by range, are as small as the vectors are short; ranges' sums add up to prefixes.
+    Ranges are equally wide. Tasks sum products of components by range, as small as the vectors are short; ranges' sums
+    add up to prefixes.
     """
-    cuts = vectors.approxQuantile("id", [k / parts for k in range(1, parts)], 0.0)
-    part = sum(((F.col("id") > c).cast("int") for c in cuts), F.lit(0))
-    cells = vectors.select(part.alias("part"), "id", F.posexplode("x").alias("k", "v"), "x")
-    sums = cells.select("part", "k", "v", F.posexplode("x").alias("l", "w")).filter("k <= l").groupBy("part", "k", "l").agg(F.sum(F.col("v") * F.col("w")).alias("s")).toArrow()
-    counts = {r["part"]: r["n"] for r in vectors.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    p, k, l, s = (sums[c].to_numpy() for c in ("part", "k", "l", "s"))
-    total, n, out = np.zeros((int(l.max(initial=-1)) + 1,) * 2), 0, []
+    ends = vectors.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if ends["low"] is None:
+        return vectors.sparkSession.createDataFrame([], "part int, rows long, diversity double")
+    part = F.floor((F.col("id") - ends["low"]) * parts / (ends["high"] - ends["low"] + 1)).cast("int")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            own, x = batch["part"].to_numpy(), batch["x"]
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            for k in np.unique(own):
+                some = x[own == k]
+                n, total = sums.get(int(k), (0, 0))
+                sums[int(k)] = [n + len(some), total + some.T @ some]
+        for k, (n, total) in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["part", "n", "sums"])
+
+    summed = vectors.filter("x IS NOT NULL").select(part.alias("part"), "x").mapInArrow(products, "part int, n long, sums array<double>")
+    counts = {r["part"]: r["n"] for r in summed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    cells = summed.select("part", F.posexplode("sums").alias("k", "v")).groupBy("part", "k").agg(F.sum("v").alias("v")).toArrow()
+    p, k, v = (cells[c].to_numpy() for c in ("part", "k", "v"))
+    size = int(np.sqrt(k.max(initial=-1) + 1))
+    total, n, out = np.zeros(size * size), 0, []
     for at in sorted(counts):
-        own = p == at
-        total[k[own], l[own]] += s[own]
+        total[k[p == at]] += v[p == at]
         n += counts[at]
-        top = np.linalg.eigvalsh(np.triu(total) + np.triu(total, 1).T)[-2:]
+        top = np.linalg.eigvalsh(total.reshape(size, size))[-2:]
         out.append((int(at), int(n), float(np.sqrt(np.maximum(top, 0).sum()))))
     return vectors.sparkSession.createDataFrame(out, "part int, rows long, diversity double")

@@ -1,4 +1,4 @@
-"""Kernel ridge regression over landmarks: one pass sums normal equations, which stay as small as the landmarks are few.
+"""Kernel ridge regression over landmarks, for tables too long for exact.py: one pass sums normal equations, which stay as small as the landmarks are few.
 
 With every training row a landmark this is kernel ridge regression itself: (K K + s K) b = K y has the solution of
 (K + s I) b = y. With fewer it is its projection on the landmarks' kernels, and the work grows in proportion to the rows.
@@ -13,18 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most landmarks; the driver holds matrices of this size only.
+from .pairs import kernel_block
+
+#: Landmarks, unless a caller asks for another number; the driver holds matrices of this size only.
 LANDMARKS = 256
 ROWS = 2048
-
-
-def kernel_block(a: np.ndarray, b: np.ndarray, name: str, sigma: float) -> np.ndarray:
-    if name == "gaussian":
-        d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-        return np.exp(-np.maximum(d, 0) / (2 * sigma * sigma))
-    if name == "laplacian":
-        return np.exp(-np.stack([np.abs(a - row).sum(axis=1) for row in b], axis=1) / sigma)
-    raise ValueError(f"no kernel {name}")
+#: Tasks' sums that are added together on the first level, at most, are a part in so many of all.
+TREE = 64
 
 
 def landmarks(train: DataFrame, most: int = LANDMARKS) -> np.ndarray:
@@ -40,11 +35,15 @@ def vectors(column: pa.Array) -> np.ndarray:
 def normal_equations(train: DataFrame, marks: np.ndarray, name: str, sigma: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each bucket of train(x, y array, bucket): per quantity its matrix and right side, over rows whose label isn't NULL.
 
-    Features are the kernels with the landmarks and a constant, the mean's place. Tasks emit sums, a row for each row of the matrix; these
-    are added by Spark, so the driver gets buckets x quantities x landmarks rows.
+    Features are the kernels with the landmarks and a constant, the mean's place. Tasks emit a matrix of sums for each bucket and
+    quantity; these are added by a tree of two levels, so that the driver gets buckets x quantities matrices.
     """
     m = len(marks) + 1
 
+    def emitted(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (b, q), s in sums.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([q], pa.int32()), pa.array([np.ascontiguousarray(s).tobytes()], pa.binary())], ["bucket", "quantity", "sums"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -58,19 +57,25 @@ def normal_equations(train: DataFrame, marks: np.ndarray, name: str, sigma: floa
                         own = (bucket == b) & ~np.isnan(y[:, q])
                         both = np.column_stack([phi[own], y[own, q]])
                         sums[int(b), q] = sums.get((int(b), q), 0) + phi[own].T @ both
-        for (b, q), s in sums.items():
-            yield pa.record_batch([pa.array([b] * m, pa.int32()), pa.array([q] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(list(s), pa.list_(pa.float64()))], ["bucket", "quantity", "row", "sums"])
-
-    parts = train.select("x", "y", F.col("bucket").cast("int").alias("bucket")).mapInArrow(partial, "bucket int, quantity int, row int, sums array<double>")
-    added = parts.select("bucket", "quantity", "row", F.posexplode("sums").alias("column", "v")).groupBy("bucket", "quantity", "row", "column").agg(F.sum("v").alias("v")).toArrow()
-    at = [added[c].to_numpy() for c in ("bucket", "quantity", "row", "column", "v")]
-    quantities = int(at[1].max()) + 1 if len(at[1]) else 0
-    out = {}
-    for b in np.unique(at[0]):
-        own = at[0] == b
-        s = np.zeros((quantities, m, m + 1))
-        s[at[1][own], at[2][own], at[3][own]] = at[4][own]
-        out[int(b)] = (s[:, :, :-1], s[:, :, -1])
+        yield from emitted(sums)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for b, q, s in zip(batch["bucket"].to_pylist(), batch["quantity"].to_pylist(), batch["sums"], strict=True):
+                sums[b, q] = sums.get((b, q), 0) + np.frombuffer(s.as_py())
+        yield from emitted(sums)
+
+    schema = "bucket int, quantity int, sums binary"
+    parts = train.select("x", "y", F.col("bucket").cast("int").alias("bucket")).mapInArrow(partial, schema)
+    salted = parts.withColumn("salt", F.spark_partition_id() % TREE).repartition("bucket", "quantity", "salt").drop("salt").mapInArrow(added, schema)
+    rows = salted.repartition("bucket", "quantity").mapInArrow(added, schema).collect()
+    quantities = max((r["quantity"] for r in rows), default=-1) + 1
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in rows:
+        s = np.frombuffer(r["sums"]).reshape(m, m + 1)
+        a, b = out.setdefault(r["bucket"], (np.zeros((quantities, m, m)), np.zeros((quantities, m))))
+        a[r["quantity"]], b[r["quantity"]] = s[:, :-1], s[:, -1]
     return out
 
 
@@ -134,19 +139,6 @@ def search(train: DataFrame, fold: Column, sigmas: list[float], ridges: list[flo
     return out
 
 
-def learning_curve(train: DataFrame, test: DataFrame, sigma: float, ridge: float, parts: int = 8, name: str = "gaussian", most: int = LANDMARKS) -> DataFrame:
-    """(parts, mae): errors on test of models from 1, 2, 4 ... of the parts that a hash of the id makes."""
-    marks = landmarks(train, most)
-    equations = normal_equations(train.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(parts))), marks, name, sigma)
-    steps = [2**k for k in range(parts.bit_length()) if 2**k <= parts]
-    sums = [tuple(sum(equations[b][k] for b in sorted(equations) if b < n) for k in (0, 1)) for n in steps]
-    ready = [(n, s) for n, s in zip(steps, sums, strict=True) if not isinstance(s[0], int)]
-    model = {"marks": marks, "name": name, "sigma": sigma, "coefficients": [solve(s, marks, name, sigma, ridge) for _, s in ready]}
-    found = predict(test, model, ["y"])
-    errors = found.select(F.posexplode("prediction").alias("k", "p"), "y").select(F.element_at(F.array(*[F.lit(n) for n, _ in ready]), F.col("k") + 1).alias("parts"), F.abs(F.col("p")[0] - F.col("y")[0]).alias("e"))
-    return errors.groupBy("parts").agg(F.avg("e").alias("mae"))
-
-
 def refine(train: DataFrame, fold: Column, sigma: float, low: float, high: float, rounds: int = 3, name: str = "gaussian", most: int = LANDMARKS) -> DataFrame:
     """(round, ridge, mse, slope): in each round five ridges with equal ratios are tried in one pass, then the range narrows around the best.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import pairs as P
-from ..operators import ridge, selection, weights
+from ..operators import exact, ridge, selection, weights
 from .registry import blocks, query, r6
 from .tables import PAIRS, VECTORS, load, vector_rows
 
@@ -45,7 +45,7 @@ FROM v a JOIN v b ON a.label = 0 AND b.label <> 0""")
 def kernel_rect(spark, sf_dir):
     v = vector_rows(spark, sf_dir)
     left, right = v.filter("label = 0").select(F.col("id").alias("i"), F.col("x").alias("a")), v.filter("label <> 0").select(F.col("id").alias("j"), F.col("x").alias("b"))
-    return P.pairs(left, right, (blocks(left), blocks(right))).select("i", "j", r6(V.gaussian(F.col("a"), F.col("b"), SIGMA)).alias("k"))
+    return P.kernel_rect(left, right, "gaussian", SIGMA, (blocks(left), blocks(right))).select("i", "j", r6("k").alias("k"))
 
 
 @query(f"WITH {PAIRS} SELECT i, j, round(2 - 2 * exp(-d2 / 4.5), 6) AS d2 FROM p")
@@ -57,8 +57,7 @@ def kernel_to_sqdist(spark, sf_dir):
 @query(f"WITH {PAIRS} SELECT round(max(d1), 6) AS l1, round(sqrt(max(d2)), 6) AS l2 FROM p")
 def max_distances(spark, sf_dir):
     v = vector_rows(spark, sf_dir)
-    a, b = F.col("a"), F.col("b")
-    return P.symmetric_pairs(v, blocks(v)).agg(r6(F.max(V.l1(a, b))).alias("l1"), r6(F.sqrt(F.max(V.sqdist(a, b)))).alias("l2"))
+    return P.extremes(v, blocks(v)).select(r6("l1").alias("l1"), r6("l2").alias("l2"))
 
 
 @query(f"""WITH {PAIRS}, q AS (SELECT i, j, d2 FROM p WHERE i <> j UNION ALL SELECT j, i, d2 FROM p WHERE i <> j),
@@ -176,7 +175,16 @@ def _labelled(spark, sf_dir, *extra):
 
 @query()
 def krr_fit_predict(spark, sf_dir):
-    """Label regression: fitted on ids not divisible by 4, predictions for all rows."""
+    """Label regression on all rows: fitted on ids not divisible by 4, predictions for all rows."""
+    rows = _labelled(spark, sf_dir)
+    model = exact.fit(rows.filter("id % 4 <> 0"), SIGMA, 1e-3)
+    found = exact.predict(rows, model)
+    return rows.select("id", "label").join(found, "id").select("id", "label", F.round(F.col("prediction")[0], 4).alias("prediction"))
+
+
+@query()
+def krr_landmarks(spark, sf_dir):
+    """The same by a projection on 256 landmarks, whose work grows in proportion to the rows."""
     rows = _labelled(spark, sf_dir)
     model = ridge.fit(rows.filter("id % 4 <> 0"), SIGMA, 1e-3)
     return ridge.predict(rows, model, ["id", "label"]).select("id", "label", F.round(F.col("prediction")[0][0], 4).alias("prediction"))
@@ -184,17 +192,18 @@ def krr_fit_predict(spark, sf_dir):
 
 @query()
 def krr_multioutput(spark, sf_dir):
-    """Three quantities, one of them unknown for a third of the rows."""
+    """Three quantities, one of them unknown for a third of the rows; labels are scaled to 0 to 1 inside."""
     rows = _labelled(spark, sf_dir, F.when(F.col("id") % 3 != 0, F.col("x")[0]), F.col("x")[1] * F.col("x")[2])
-    found = ridge.predict(rows, ridge.fit(rows, SIGMA, 1e-3), ["id"])
-    return found.select("id", *[F.round(F.col("prediction")[0][q], 4).alias(f"q{q}") for q in range(3)])
+    found = exact.predict(rows, exact.fit(rows, SIGMA, 1e-3, scale=True))
+    return found.select("id", *[F.round(F.col("prediction")[q], 4).alias(f"q{q}") for q in range(3)])
 
 
 @query()
 def learning_curve(spark, sf_dir):
+    """Errors of models from disjoint random subsets of 50, 100, 200 and 400 rows."""
     rows = _labelled(spark, sf_dir)
-    found = ridge.learning_curve(rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0"), SIGMA, 1e-3)
-    return found.select("parts", F.round("mae", 4).alias("mae"))
+    found = exact.learning_curve(rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0"), [50, 100, 200, 400], SIGMA, 1e-3)
+    return found.select("size", "subset", "rows", F.round("mae", 4).alias("mae"))
 
 
 @query()

@@ -45,20 +45,20 @@ def coordination(spark, sf_dir):
 
 @query(f"WITH {ATOMS} SELECT x.graph, x.atom AS a, y.atom AS b, CAST(abs(x.atom - y.atom) AS DOUBLE) AS d FROM m x JOIN m y USING (graph)")
 def bond_hops(spark, sf_dir):
-    return G.distances(*_both(spark, sf_dir))
+    return G.distances(*_both(spark, sf_dir)).select("graph", "a", "b", "d")
 
 
 @query(f"""WITH {ATOMS}, l AS (SELECT graph, atom, z, sum(CASE z WHEN 6 THEN 0.76 WHEN 7 THEN 0.71 ELSE 0.66 END) OVER w AS s, CASE z WHEN 6 THEN 0.76 WHEN 7 THEN 0.71 ELSE 0.66 END AS r FROM m WINDOW w AS (PARTITION BY graph ORDER BY atom))
 SELECT x.graph, x.atom AS a, y.atom AS b, round(CASE WHEN x.atom = y.atom THEN 0 WHEN x.atom < y.atom THEN 2 * (y.s - x.s) - y.r + x.r ELSE 2 * (x.s - y.s) - x.r + y.r END, 6) + 0.0 AS d FROM l x JOIN l y USING (graph)""")
 def bond_lengths(spark, sf_dir):
-    return G.distances(*_both(spark, sf_dir), radii={6: 0.76, 7: 0.71, 8: 0.66}).withColumn("d", r6("d"))
+    return G.distances(*_both(spark, sf_dir), radii={6: 0.76, 7: 0.71, 8: 0.66}).select("graph", "a", "b", r6("d").alias("d"))
 
 
 @query(f"""WITH {ATOMS} SELECT x.graph, x.atom AS a, y.atom AS b,
   round(CASE WHEN x.atom = y.atom THEN 0.5 * pow(x.z, 2.4) ELSE x.z * y.z / abs(x.atom - y.atom) END, 6) AS v FROM m x JOIN m y USING (graph)""")
 def graph_coulomb(spark, sf_dir):
     atoms, bonds = _both(spark, sf_dir)
-    return G.coulomb(atoms, G.distances(atoms, bonds)).withColumn("v", r6("v"))
+    return G.coulomb(G.distances(atoms, bonds)).withColumn("v", r6("v"))
 
 
 @query(f"""WITH {ATOMS}, p AS (SELECT x.graph, x.atom AS a, y.atom AS b, x.z AS za, y.z AS zb, list_distance(x.place, y.place) AS d FROM m x JOIN m y USING (graph))
@@ -67,8 +67,8 @@ def coulomb_matrix(spark, sf_dir):
     """Coulomb matrices of the atoms' places; distances are taken one longer, since places may coincide."""
     at = atom_rows(spark, sf_dir).select("graph", "atom", "z", "at")
     pairs = at.toDF("graph", "a", "za", "xa").join(at.toDF("graph", "b", "zb", "xb"), "graph")
-    paths = pairs.select("graph", "a", "b", (F.sqrt(V.sqdist(F.col("xa"), F.col("xb"))) + 1).alias("d"))
-    return G.coulomb(at.select("graph", "atom", "z"), paths).withColumn("v", r6("v"))
+    paths = pairs.select("graph", "a", "b", (F.sqrt(V.sqdist(F.col("xa"), F.col("xb"))) + 1).alias("d"), "za", "zb")
+    return G.coulomb(paths).withColumn("v", r6("v"))
 
 
 @query(f"""WITH {ATOMS}, c AS (SELECT x.graph, x.atom AS a, y.atom AS b, CASE WHEN x.atom = y.atom THEN 0.5 * pow(x.z, 2.4) ELSE x.z * y.z / abs(x.atom - y.atom) END AS v FROM m x JOIN m y USING (graph))
@@ -77,7 +77,7 @@ def graph_descriptor(spark, sf_dir):
     """Descriptors as vectors; what the order of rows can't change is compared: length, diagonal, sum of the upper triangle."""
     atoms, bonds = _both(spark, sf_dir)
     size = max(20, atoms.groupBy("graph").count().agg(F.max("count")).first()[0] or 0)  # no graph loses atoms
-    x = G.descriptor(G.coulomb(atoms, G.distances(atoms, bonds)), size)
+    x = G.descriptor(G.coulomb(G.distances(atoms, bonds)), size)
     diagonal = V.total(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get("x", (k * size - k * (k - 1) / 2).cast("int"))))
     return x.select("graph", F.size("x").alias("n"), F.round(diagonal, 5).alias("trace"), F.round(V.total(F.col("x")), 5).alias("upper"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import pairs as P
 from ..operators import records as R
 from ..operators import ridge
 from ..sources.text import matrix_log
@@ -41,13 +42,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM q)
 SELECT i AS id, CAST(rank AS INTEGER) AS rank, j AS neighbour, round(d, 6) AS d FROM r WHERE rank <= 4""")
 def closest_four(spark, sf_dir):
     v = vector_rows(spark, sf_dir)
-    return R.nearest_k(v, 4, blocks(v)).select("id", "rank", "neighbour", r6("d").alias("d"))
+    return P.nearest_k(v, 4, blocks(v)).select("id", "rank", "neighbour", r6(F.sqrt("d2")).alias("d"))
 
 
 @query(f"WITH {PAIRS} SELECT CAST(floor(sqrt(d2) / 0.05) AS BIGINT) AS shell, count(*) AS n FROM p WHERE i < j GROUP BY 1")
 def radial_distribution(spark, sf_dir):
     v = vector_rows(spark, sf_dir)
-    return R.radial_distribution(v, 0.05, blocks(v))
+    return P.radial_distribution(v, 0.05, blocks(v))
 
 
 @query(f"""WITH {VECTORS}, e AS (SELECT pos, x[pos] AS ref, avg(x[pos]) OVER (PARTITION BY label, pos) AS p FROM (SELECT *, unnest(range(1, 65)) AS pos FROM v))

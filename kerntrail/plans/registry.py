@@ -32,4 +32,4 @@ def r6(c: Column | str) -> Column:
 def blocks(df: DataFrame) -> int:
     from ..operators.pairs import block_count
 
-    return block_count(df.count())
+    return block_count(df.count(), parallel=df.sparkSession.sparkContext.defaultParallelism)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import sampling, weights
+from ..operators import weights
 from ..operators import trajectories as T
 from ..streaming import visits as S
 from .registry import query, r6
-from .tables import VISITS, atom_rows, load, visit_rows
+from .tables import VISITS, load, visit_rows
 
 
 @query(f"WITH {VISITS} SELECT key, replica, count(*) AS visits FROM t GROUP BY key, replica")
@@ -206,15 +204,6 @@ def props_keyvalue(spark, sf_dir):
     return rows.select("event_id", *typed(F.col("m"), {"k": "int"}), F.col("v")[F.col("event_type")].isNotNull().alias("known"))
 
 
-@query()
-def sampled_runs(spark, sf_dir):
-    """A Monte-Carlo run from each order's chain of elements: how moves of each kind fared."""
-    atoms = atom_rows(spark, sf_dir)
-    starts = atoms.groupBy(F.col("graph").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("atom", "z"))), lambda s: s["z"]).alias("chain"))
-    log = sampling.sample(starts, sampling.order_slide, (None, 0.5, 2.0), steps=10)
-    return T.move_statistics(log)
-
-
 def _stream(spark, sf_dir):
     schema = load(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -223,9 +212,10 @@ def _stream(spark, sf_dir):
 
 @query("SELECT event_type AS key, count(*) AS visits, min(value) AS best FROM events GROUP BY event_type")
 def stream_visit_counts(spark, sf_dir):
-    return S.run_once(spark, S.visit_counts(_stream(spark, sf_dir)), f"visits_{uuid.uuid4().hex}", "complete")
+    return S.run_once(spark, S.visit_counts(_stream(spark, sf_dir)), "visit-counts", keys=["key"])
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS key, count(*) AS visits FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
-    return S.run_once(spark, S.windowed_counts(_stream(spark, sf_dir), "ts", "1 day", "2 days"), f"daily_{uuid.uuid4().hex}", "complete")
+    stream = S.windowed_counts(_stream(spark, sf_dir), "ts", "1 day", "2 days")
+    return S.run_once(spark, stream, "daily-counts", keys=["start", "key"])

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path below spark.checkpoint.dir that nothing has; only local runs without that setting get a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kerntrail-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df, written below spark.checkpoint.dir and read again: a lineage cut that survives lost executors."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

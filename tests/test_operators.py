@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerntrail.functions import vectors as V
-from kerntrail.operators import graphs, pairs, ridge, sampling, selection, trajectories, weights
+from kerntrail.operators import exact, graphs, pairs, ridge, selection, trajectories, weights
 from kerntrail.sources import text as X
 from kerntrail.streaming import visits
 
@@ -16,13 +16,39 @@ def vectors(spark, x):
 
 def test_kernels_by_name(spark):
     x = np.random.default_rng(1).normal(size=(30, 4))
-    for name in V.KERNELS:
+    for name in pairs.KERNELS:
         got = {(r.i, r.j): r.k for r in pairs.kernel_entries(vectors(spark, x), name, 1.3, blocks=3, ridge=0.5).collect()}
-        want = ridge.kernel_block(x, x, name, 1.3) + 0.5 * np.eye(30)
+        want = pairs.kernel_block(x, x, name, 1.3) + 0.5 * np.eye(30)
         assert len(got) == 30 * 31 // 2
         assert all(abs(want[i, j] - k) < 1e-12 for (i, j), k in got.items())
 
 
+def test_within_deals_unit_vectors_to_many_tasks(spark):
+    x = np.random.default_rng(12).normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = vectors(spark, x)
+    found = pairs.within(v.toDF("i", "a"), v.toDF("j", "b"), 1.2, 0.3, block=64)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    assert {(r.i, r.j) for r in found.collect()} == set(zip(*(k.tolist() for k in np.nonzero((d >= 0.3) & (d <= 1.2))), strict=True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pairs.within(v.limit(0).toDF("i", "a"), v.limit(0).toDF("j", "b"), 1.0).count() == 0
+
+
+def test_nearest_takes_the_smaller_id_of_equal_rows(spark):
+    x = np.random.default_rng(11).normal(size=(300, 8))
+    x[200:] = x[:100]
+    d = ((x[:, None] - x) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    got = {(r.id, r["rank"]): (r.neighbour, r.d2) for r in pairs.nearest_k(vectors(spark, x), 3, blocks=3).collect()}
+    for i in range(300):
+        want = sorted((v, j) for j, v in enumerate(d[i]))[:3]
+        assert [got[i, k + 1][0] for k in range(3)] == [j for _, j in want] and all(abs(got[i, k + 1][1] - v) < 1e-9 for k, (v, _) in enumerate(want))
+
+
 def test_within_finds_all_pairs(spark):
     x = np.random.default_rng(2).normal(size=(60, 3)) * 2
     v = vectors(spark, x)
@@ -37,13 +63,51 @@ def test_regression_is_exact_when_all_rows_are_landmarks(spark):
     rows = vectors(spark, x).withColumn("y", F.array(*[F.element_at(F.array(*map(F.lit, y.tolist())), (F.col("id") + 1).cast("int"))]))
     model = ridge.fit(rows, 1.5, 0.1, most=100)
     got = {r.id: r.prediction[0][0] for r in ridge.predict(rows, model, ["id"]).collect()}
-    k = ridge.kernel_block(x, x, "gaussian", 1.5)
+    k = pairs.kernel_block(x, x, "gaussian", 1.5)
     # the constant takes the place of the mean: bordered system
     a = np.block([[k + 0.1 * np.eye(40), np.ones((40, 1))], [np.ones((1, 40)), np.zeros((1, 1))]])
     s = np.linalg.solve(a, np.append(y, 0))
     assert all(abs(got[i] - (k[i] @ s[:-1] + s[-1])) < 1e-4 for i in range(40))
 
 
+def test_regression_on_all_rows_equals_numpy(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1000, 5))
+    y = np.column_stack([x[:, 0] + x[:, 1] ** 2, x[:, 2], 7 * x[:, 3]])
+    gap = np.arange(1000) % 3 == 0
+    data = [(i, a.tolist(), [float(b[0]), None if gap[i] else float(b[1]), float(b[2])]) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    rows = spark.createDataFrame(data, "id long, x array<double>, y array<double>")
+    for options in ({"block": 400}, {"block": 2048, "scale": True}):
+        got = {r.id: r.prediction for r in exact.predict(rows, exact.fit(rows, 1.5, 1e-2, **options)).collect()}
+        k = pairs.kernel_block(x, x, "gaussian", 1.5)
+        for q, own in ((0, gap | True), (1, ~gap), (2, gap | True)):
+            c = np.linalg.solve(k[np.ix_(own, own)] + 1e-2 * np.eye(own.sum()), y[own, q] - y[own, q].mean())
+            assert all(abs(got[i][q] - v) < 1e-8 for i, v in enumerate(k[:, own] @ c + y[own, q].mean()))
+
+
+def test_learning_curve_falls_and_subsets_are_disjoint(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(900, 3))
+    rows = spark.createDataFrame([(i, a.tolist(), [float(a[0] + a[1] ** 2)]) for i, a in enumerate(x)], "id long, x array<double>, y array<double>")
+    found = exact.learning_curve(rows.filter("id >= 100"), rows.filter("id < 100"), [40, 160], 1.5, 1e-3).toPandas()
+    assert found.groupby("size").size().to_dict() == {40: 4, 160: 4}
+    errors = found.groupby("size")["mae"].mean()
+    assert errors[160] < errors[40]
+    drawn = exact.subset_of(rows, [40, 160], 4, 900)
+    assert drawn.groupBy("size", "id").count().filter("count > 1").count() == 0
+
+
+def test_orthonormal_solve():
+    rng = np.random.default_rng(15)
+    a = rng.normal(size=(20, 20))
+    y = rng.normal(size=20)
+    assert np.allclose(exact.orthonormal_solve(a @ a.T, y), np.linalg.solve(a @ a.T, y), atol=1e-6)
+    b = rng.normal(size=(30, 6))
+    k = b @ b.T  # singular: any solution's values at the rows are the labels
+    y = k @ rng.normal(size=30)
+    assert np.allclose(k @ exact.dense_solve(k, y), y, atol=1e-6) and np.allclose(k @ exact.orthonormal_solve(k, y), y, atol=1e-6)
+
+
 def test_regression_leaves_out_missing_labels(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(30, 2))
@@ -136,19 +200,17 @@ def test_distances_and_components_of_a_ring_and_a_lone_atom(spark):
     assert {r.atom: r.component for r in graphs.components(atoms, bonds).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
 
 
-def test_sampler_is_repeatable_and_reaches_the_boltzmann_distribution(spark):
-    starts = spark.createDataFrame([(k, [6]) for k in range(60)], "run long, chain array<int>")
-    beta = 1.0
-    log = sampling.sample(starts, sampling.charge_sum, (beta, None), steps=400, most=2)
-    again = sampling.sample(starts, sampling.charge_sum, (beta, None), steps=400, most=2)
-    assert log.exceptAll(again).count() == 0
-    counts = {r.key: r.n for r in log.filter("replica = 0 and step > 50").groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    states = [(a,) for a in sampling.ELEMENTS] + [(a, b) for a in sampling.ELEMENTS for b in sampling.ELEMENTS]
-    weight = {"-".join(map(str, s)): np.exp(-beta * sampling.charge_sum(s)) for s in states}
-    total, n = sum(weight.values()), sum(counts.values())
-    assert all(abs(counts.get(k, 0) / n - w / total) < 0.02 for k, w in weight.items())
-    greedy = log.filter("replica = 1")
-    assert trajectories.never_worse(greedy.filter("run = 0").select("step", "f")).count() == 0
+def test_great_graphs_go_through_joins_with_the_same_results(spark):
+    atoms, bonds = ring(spark, 7, [3, 1, 4, 2, 6, 7, 5])
+    atoms = atoms.union(spark.createDataFrame([(0, 9, 8), (1, 1, 6), (1, 2, 7)], atoms.schema))
+    bonds = bonds.union(spark.createDataFrame([(1, 1, 2, 1)], bonds.schema))
+    radii = {6: 0.76, 7: 0.71, 8: 0.66}
+    for f in (lambda m: graphs.distances(atoms, bonds, radii, m), lambda m: graphs.distances(atoms, bonds, None, m), lambda m: graphs.components(atoms, bonds, m)):
+        whole, joined = ({tuple(round(v, 6) for v in r) for r in f(m).collect()} for m in (256, 2))
+        assert whole == joined and whole
+    classes = [sorted({tuple(sorted(r.atom for r in rows if r.colour == c)) for c in {r.colour for r in rows}}) for rows in (graphs.refined(atoms.filter("graph = 0"), bonds, m).collect() for m in (256, 2))]
+    assert classes[0] == classes[1]
+    assert graphs.distances(atoms.limit(0), bonds.limit(0)).count() == 0
 
 
 def test_xyz_files(spark, tmp_path):
@@ -184,12 +246,23 @@ def test_potentials_and_ladders(spark):
     assert V.sphere_volume(3, 2.0) == pytest.approx(4 / 3 * np.pi * 8)
 
 
-def test_stream_counts_late_rows_only_within_the_watermark(spark, tmp_path):
-    rows = spark.sql("SELECT timestamp '2024-01-01 00:00:01' AS ts, 'a' AS key, 1.0D AS f UNION ALL SELECT timestamp '2024-01-02 00:00:01', 'a', 2.0D")
-    rows.write.parquet(str(tmp_path / "t"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "t"))
-    got = visits.run_once(spark, visits.windowed_counts(stream, "ts", "1 hour", "10 minutes"), "w", "complete").collect()
-    assert len(got) == 2 and all(r.visits == 1 for r in got)
+def test_stream_drops_rows_behind_the_watermark(spark, tmp_path):
+    rows = "SELECT timestamp '{}' AS ts, '{}' AS key, 1.0D AS f"
+    folder = str(tmp_path / "out")
+
+    def add(*values):
+        spark.sql(" UNION ALL ".join(rows.format(t, k) for t, k in values)).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, key string, f double").parquet(str(tmp_path / "t"))
+        got = visits.run_once(spark, visits.windowed_counts(stream, "ts", "1 hour", "10 minutes"), "w", ["start", "key"], folder).collect()
+        return {(r.start.day, r.start.hour, r.key): r.visits for r in got}
+
+    add(("2024-01-01 00:00:01", "a"), ("2024-01-02 00:30:00", "a"))
+    assert run() == {(1, 0, "a"): 1, (2, 0, "a"): 1}
+    # behind the watermark of 00:20 on the second day; within it; new
+    add(("2024-01-01 00:10:00", "a"), ("2024-01-02 00:25:00", "a"), ("2024-01-02 03:00:00", "b"))
+    assert run() == {(1, 0, "a"): 1, (2, 0, "a"): 2, (2, 3, "b"): 1}
 
 
 def test_archives_and_bond_orders(spark, tmp_path):
@@ -219,7 +292,6 @@ def test_spill_and_last_states(spark, tmp_path):
 
 def test_long_chains_are_whole(spark, monkeypatch):
     """Keys, descriptors and runs of chains beyond 20 elements."""
-    from kerntrail.operators import graphs, sampling
     from kerntrail.plans import molecules, registry
 
     chains = {1: [6] * 8 + [7] + [6] * 14, 2: [6] * 11 + [7] + [6] * 11, 3: [6] * 14 + [7] + [6] * 8}
@@ -235,5 +307,3 @@ def test_long_chains_are_whole(spark, monkeypatch):
         trace = sum(0.5 * z**2.4 for z in c)
         assert r.n == 23 * 24 // 2 and abs(r.trace - trace) < 1e-3
         assert abs(r.upper - trace - sum(c[i] * c[j] / (j - i) for i in range(23) for j in range(i + 1, 23))) < 1e-3
-    starts = spark.createDataFrame([(g, c) for g, c in chains.items()], "run long, chain array<int>")
-    assert all(len(r.key.split("-")) >= 22 for r in sampling.sample(starts, sampling.charge_sum, (1.0,), steps=1).collect())
