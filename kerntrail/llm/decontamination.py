@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import load
 
 WINDOW = 13
-#: Most bytes of item text in one automaton; what is beyond goes to further automata, which a task builds one at a time.
-AUTOMATON_BYTES = 16 << 20
+#: Most nodes of one automaton (about 100 bytes each, with the windows' owners): a window has as many as words. Items beyond it go to further
+#: automata, which a task builds one at a time.
+NODES = 1_000_000
 #: Bytes of rows that a task holds while each of several automata scans them in turn.
 BLOCK_BYTES = 64 << 20
 #: Every byte of a text: letters in lower case, digits and bytes of other scripts as they are, all else a space.
@@ -28,36 +30,32 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows(words: list[bytes], width: int) -> list[list[bytes]]:
-    return [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
+def windows(words: list[int], width: int) -> list[tuple[int, ...]]:
+    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
 class Scanner:
-    """The automaton over windows of items, (id as text or None, text). A pattern is a window's words between spaces."""
+    """The automaton over windows of items, (id as text or None, text). Its letters are numbers of the items' words; 0 is any other word."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
-        owners: dict[bytes, tuple[int, set]] = {}
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set] = {}
         for key, text in items:
-            for window in windows(normal_words(text), width):
-                owners.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(key)
-        self.values = [(n, frozenset(k for k in keys if k is not None)) for n, keys in owners.values()]
-        self.automaton = ahocorasick.Automaton()
-        for k, pattern in enumerate(owners):
-            self.automaton.add_word(pattern.decode("latin-1"), k)
+            for window in windows([self.number.setdefault(w, len(self.number) + 1) for w in normal_words(text)], width):
+                owners.setdefault(window, set()).add(key)
+        self.values = [(len(window), frozenset(k for k in keys if k is not None)) for window, keys in owners.items()]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, window in enumerate(owners):
+            self.automaton.add_word(window, k)
         if owners:
             self.automaton.make_automaton()
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
-        """The number of words, and for each occurrence its first word, the word behind it and the window's number."""
-        words = normal_words(text)
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """For each occurrence its first word, the word behind it and the window's number."""
         if not words or not self.values:
-            return len(words), []
-        found = list(self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-        if not found:
-            return len(words), []
-        ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))  # of the space behind each word
-        last = np.searchsorted(ends, [end for end, _ in found])
-        return len(words), [(int(k) + 1 - self.values[v][0], int(k) + 1, v) for k, (_, v) in zip(last, found, strict=True)]
+            return []
+        letters = tuple(map(self.number.get, words, repeat(0)))
+        return [(k + 1 - self.values[v][0], k + 1, v) for k, v in self.automaton.iter(letters)]
 
 
 def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -74,8 +72,11 @@ def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as spans of characters of the text itself."""
     raw = text.encode()
-    at = [m.span() for m in SPAN.finditer(raw.translate(NORMAL))]
-    return [tuple(len(raw[:k].decode()) for k in (at[a][0], at[b - 1][1])) for a, b in runs]
+    at = np.array([m.span() for m in SPAN.finditer(raw.translate(NORMAL))])
+    spans = np.array([(at[a, 0], at[b - 1, 1]) for a, b in runs])
+    if len(raw) > len(text):  # characters in front of each byte
+        spans = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))[spans]
+    return [(int(a), int(b)) for a, b in spans]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
@@ -105,12 +106,13 @@ def scanned(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], width: i
             scanner = only or Scanner(chunk.value, width)
             for batch, own in zip(block, rows, strict=True):
                 for i, text in enumerate(batch["text"]):
-                    n, found = scanner.scan(text.as_py())
+                    words = normal_words(text.as_py())
+                    found = scanner.scan(words)
                     _, runs, owners = own[i]
                     if found:
                         runs = covered([*runs, *((a, b) for a, b, _ in found)])
                         owners.update(*(scanner.values[v][1] for _, _, v in found))
-                    own[i] = n, runs, owners
+                    own[i] = len(words), runs, owners
         yield from zip(block, rows, strict=True)
 
 
@@ -120,11 +122,12 @@ def contains(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFram
     A word is hit if it stands inside any occurrence of a window of `width` consecutive item words (an item of fewer words,
     but not none, is one window). Null and empty texts have no words; null ids of items count for hits and aren't listed;
     repeated items count once; without items nothing is hit. Each row is judged by its own text, however many automata
-    the items need. Other columns of docs are left out.
+    the items need. Very long texts are scanned whole; an empty table of docs gives no rows. Other columns of docs, whatever
+    their names, are left out.
     """
     schema = "doc_id long, n_words long, runs array<struct<first:int,behind:int>>, spans array<struct<first:int,behind:int>>, items array<string>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("behind", pa.int32())]))
-    shared = broadcast_chunks(items)
+    shared = broadcast_chunks(items, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in scanned(batches, shared, width):
@@ -136,17 +139,28 @@ def contains(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
 
 
-def item_chunks(items: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in lists of at most AUTOMATON_BYTES each: a list for each part of a hash of the item."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    n = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 5 // 4 // AUTOMATON_BYTES + 1
-    for k in range(n):
-        rows = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted({(r["item_id"], r["text"]) for r in rows.toLocalIterator()}, key=lambda r: (r[0] or "", r[1] or ""))
+def item_chunks(items: DataFrame, width: int = WINDOW, nodes: int = NODES) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in lists whose windows have at most `nodes` words together; an item beyond that is cut between windows.
+
+    Items are a test set: they pass the driver one at a time, and their chunks, not more than its text, go to all workers.
+    """
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    most, held, size = max(1, nodes // width), [], 0
+    for key, text in rows.toLocalIterator():
+        words = normal_words(text)
+        for a in range(0, max(1, len(words) - width + 1), most):
+            piece = words[a : a + most + width - 1]
+            n = max(1, len(piece) - width + 1)
+            if held and size + n > most:
+                yield held
+                held, size = [], 0
+            held.append((key, b" ".join(piece).decode()))
+            size += n
+    yield held
 
 
-def broadcast_chunks(items: DataFrame) -> list[Broadcast]:
-    return [items.sparkSession.sparkContext.broadcast(chunk) for chunk in item_chunks(items)]
+def broadcast_chunks(items: DataFrame, width: int = WINDOW) -> list[Broadcast]:
+    return [items.sparkSession.sparkContext.broadcast(chunk) for chunk in item_chunks(items, width, NODES)]
 
 
 def contaminated(n_words, n_hit):
@@ -161,9 +175,10 @@ def hit_words(runs):
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; the text is scanned beside them in one pass.
 
-    Null ids, repeated rows and clashing columns stay as they are: each row is judged by its own text.
+    Null ids, repeated rows and clashing columns stay as they are: each row is judged by its own text. Null and empty texts
+    have no words and stay; without documents or without items nothing is taken away.
     """
-    shared = broadcast_chunks(items)
+    shared = broadcast_chunks(items, width)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in scanned(batches, shared, width):
@@ -174,10 +189,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, hit words and items found in every document, and whether it is contaminated."""
+    """Words, hit words and items found in every document, whether it is contaminated, and where in its text: spans of characters `first-behind`."""
     found = contains(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     found = found.withColumn("n_hit", hit_words(F.col("runs")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["behind"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), spans.alias("spans"))
 
 
 OP2_SQL = r"""
@@ -191,11 +207,23 @@ dk AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
 hits AS (SELECT doc_id, item_id, i, dk.n AS n FROM dk JOIN bk USING (n, k)),
-spread AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM hits),
+spread AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS p FROM documents SEMI JOIN spread USING (doc_id))),
+placed AS (
+  SELECT doc_id, length(piece) AS n, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS behind,
+         regexp_matches(piece, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') AS word, k FROM pieces),
+numbered AS (SELECT doc_id, behind - n AS first, behind, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j FROM placed WHERE word),
+islands AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM hit),
+runs AS (SELECT doc_id, CAST(min(first) AS BIGINT) AS first, CAST(max(behind) AS BIGINT) AS behind FROM islands JOIN numbered USING (doc_id, j) GROUP BY doc_id, island),
+spans AS (SELECT doc_id, string_agg(first || '-' || behind, ',' ORDER BY first) AS spans FROM runs GROUP BY doc_id),
 listed AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN spread USING (doc_id) LEFT JOIN listed USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN spread USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
