@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +14,19 @@ from .common import load, staged
 from .decontamination import covered
 
 LENGTH = 200
-#: Bytes that choose where passages meet: the least hash of these inside a window of LENGTH bytes is the window's key.
-GRAM = 24
+#: Bytes of the grams that choose where passages meet: the least hash of these inside a window of LENGTH bytes is the window's
+#: key. What a key has too much of meets again by the next, longer grams; grams of LENGTH bytes are whole windows.
+GRAMS = (24, 176, 200)
 #: Bits of a gram's place beside its hash: no more bytes than they count are hashed at once.
 PLACE = 24
 #: Bytes that are hashed at once, and bytes of one suffix array (and more, where one key has more).
 HASHED, SORTED = 2 << 20, 1 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHOLE, ALONE, WITNESS = 0, 1, 2
-#: Bytes of one key's segments up to which they are compared in one suffix array (which takes about 60 times as much memory).
-HOT = 4 << 20
-#: Windows that are hashed at once where a key has more.
-WINDOWS = 1 << 16
+#: Segments of one key up to which a task classes them at once; beyond that equal ones are summed before they are shuffled.
+ROWS = 2048
+#: Bytes of one key's different segments up to which they are compared in one suffix array; beyond that they meet by longer grams.
+HOT = 256 << 10
 
 
 def loads(text: np.ndarray, order: str, n: int) -> np.ndarray:
@@ -42,40 +43,47 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], front[width - 1 : width - 1 + n])
 
 
-def segments(text: np.ndarray, edges: np.ndarray, bits: int = PLACE) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one key: document, first byte, bytes, key, hash of the bytes, and whether two windows may be equal.
+def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes (a multiple of 8) from each place where there are so many."""
+    n = len(text) - gram + 1
+    u = loads(np.append(text, np.zeros(8, np.uint8)), "<", len(text))
+    h = u[:n] * MIX[0]
+    for k in range(8, gram, 8):
+        h ^= h >> np.uint64(32)
+        h += u[k : k + n]
+        h *= MIX[k // 8 % 3]
+    return h ^ (h >> np.uint64(29))
+
+
+def segments(text: np.ndarray, edges: np.ndarray, gram: int, bits: int = PLACE) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one key: document, first byte, bytes, key, 128-bit hash of the bytes (two columns), and whether two windows may be equal.
 
     text: documents one after the other, of 2 ** bits bytes at most; edges: where each begins, and the end. A window's key depends on its bytes
     alone, so equal windows have equal keys, and each window is in one run. Runs overlap by LENGTH - 1 bytes.
     """
-    none = (np.zeros(0, np.int64),) * 6
+    none = (np.zeros(0, np.int64),) * 7
     size = np.diff(edges)
     long = np.flatnonzero(size >= LENGTH)
     if not len(long):
         return none
-    n = len(text) - GRAM + 1
-    u = loads(np.append(text, np.zeros(8, np.uint8)), "<", len(text))
-    h = u[:n] * MIX[0]
-    for k, by in ((8, MIX[1]), (16, MIX[2])):
-        h ^= h >> np.uint64(32)
-        h += u[k : k + n]
-        h *= by
-    h ^= h >> np.uint64(29)
+    h = gram_hashes(text, gram)
     low = np.uint64((1 << bits) - 1)  # the place, so that the first of equal hashes wins
-    least = sliding_min((h & ~low) | np.arange(n, dtype=np.uint64), LENGTH - GRAM + 1)
+    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), LENGTH - gram + 1)
     count = size[long] - LENGTH + 1
     at = np.arange(count.sum()) + np.repeat(edges[:-1][long] - (np.cumsum(count) - count), count)
     doc = np.repeat(long, count)
     anchor = (least[at] & low).astype(np.int64)
     key = h[anchor]
-    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+    # grams that are whole windows part these all, also equal neighbours
+    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (gram == LENGTH))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     anchors = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
     raw = text.tobytes()
     start, stop = at[first], at[last] + LENGTH
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(first))
-    return doc[first], start - edges[:-1][doc[first]], stop - start, key[first].view(np.int64), digest.view(np.int64), anchors[last] > anchors[first]
+    digest = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True))
+    digest = np.frombuffer(digest, "<i8").reshape(-1, 2)
+    return doc[first], start - edges[:-1][doc[first]], stop - start, key[first].view(np.int64), np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1]), anchors[last] > anchors[first]
 
 
 def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,25 +108,27 @@ def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, n
         a = b
 
 
-def cut(batches: Iterator[pa.RecordBatch], bits: int = PLACE) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch["row_key"].to_numpy()
-        for first, begin, text, edges in parts(batch["text"], min(HASHED, 1 << bits)):
-            if len(text) < LENGTH:
-                continue
-            doc, start, size, key, digest, twice = segments(text, edges, bits)
-            start = start + begin
-            yield pa.record_batch([pa.array(x) for x in (ids[first + doc], (start << 32) | (size << 1) | twice, key, digest)], ["row_key", "place", "key", "digest"])
+def cut(gram: int, text: str, bits: int = PLACE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (row_key, start, text) -> their segments; start is the text's place in its document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, origin = batch["row_key"].to_numpy(), batch["start"].to_numpy().astype(np.int64)
+            for first, begin, raw, edges in parts(batch[text], min(HASHED, 1 << bits)):
+                if len(raw) < LENGTH:
+                    continue
+                doc, start, size, key, d1, d2, twice = segments(raw, edges, gram, bits)
+                start = start + begin + origin[first + doc]
+                yield pa.record_batch([pa.array(x) for x in (ids[first + doc], (start << 32) | (size << 1) | twice, key, d1, d2)], ["row_key", "place", "key", "d1", "d2"])
+
+    return work
 
 
 def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by key and digest -> those that repeat or may: WHOLE ones have a copy elsewhere; others of a key must be compared."""
-    for rows in whole_runs(batches, ["row_key", "place", "key", "digest"]):
-        ids, place, key, digest = rows
-        if not len(key):
-            continue
+    for ids, place, key, d1, d2 in whole_runs(batches, ["row_key", "place", "key", "d1", "d2"]):
         new_key = np.append(True, key[1:] != key[:-1])
-        new = new_key | np.append(True, digest[1:] != digest[:-1])
+        new = new_key | np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))
         kind_at = np.cumsum(new) - 1
         copies = np.bincount(kind_at)[kind_at]
         key_at = np.cumsum(new_key) - 1
@@ -135,20 +145,25 @@ def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Numbers sorted by `key`, again in parts that end where a key ends."""
-    held: list[np.ndarray] = []
+    """Numbers sorted by `key`, again in parts that end where a key ends; a row is copied once."""
+    held: list[list[np.ndarray]] = []
+    at = names.index("key")
+    joined = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
     for batch in batches:
         if not batch.num_rows:
             continue
         more = [batch[x].to_numpy() for x in names]
-        held = [np.concatenate(x) for x in zip(held, more, strict=True)] if held else more
-        key = held[names.index("key")]
+        key = more[at]
+        if held and key[-1] == held[-1][at][-1]:  # the same key still
+            held.append(more)
+            continue
         end = int(np.searchsorted(key, key[-1]))
-        if end:
-            yield [x[:end] for x in held]
-            held = [x[end:] for x in held]
+        held.append([x[:end] for x in more])
+        if found := joined() if any(len(x[0]) for x in held) else None:
+            yield found
+        held = [[x[end:] for x in more]]
     if held:
-        yield held
+        yield joined()
 
 
 def suffix_array(text: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -301,45 +316,61 @@ def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
 
-def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents -> each of their windows as a segment whose key is a hash of all its bytes."""
-    for batch in batches:
-        for row, start, content in zip(batch["row_key"].to_pylist(), batch["start"].to_pylist(), batch["content"].to_pylist(), strict=True):
-            for a in range(0, len(content) - LENGTH + 1, WINDOWS):
-                b = min(a + WINDOWS, len(content) - LENGTH + 1)
-                key = np.fromiter((xxhash.xxh3_64_intdigest(content[k : k + LENGTH]) for k in range(a, b)), np.uint64, b - a).view(np.int64)
-                place = (np.arange(start + a, start + b) << 32) | (LENGTH << 1)
-                yield pa.record_batch([pa.array(x) for x in (np.full(b - a, row), place, key, key)], ["row_key", "place", "key", "digest"])
-
+SEGMENT, MARKED = "row_key long, place long, key long, d1 long, d2 long", "kind int, row_key long, start int, size int, key long"
+DIGEST = ["key", "d1", "d2"]
 
-SEGMENT, MARKED = "row_key long, place long, key long, digest long", "kind int, row_key long, start int, size int, key long"
 
+def marked(segments: DataFrame, rows: int) -> DataFrame:
+    """Staged segments -> MARKED, as classed() gives them, whatever number of segments share a key.
 
-def spans_of(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    A key with over `rows` segments isn't gathered: equal segments are counted by sums that start inside tasks, and the counts
+    go back to their places by joins, which Spark splits.
+    """
+    hot = staged(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).select("key"), "hot-keys")
+    classes = lambda some: some.repartition("key").sortWithinPartitions(*DIGEST).mapInArrow(classed, MARKED)
+    if not hot.limit(1).count():
+        return classes(segments)
+    many = segments.join(hot, "key", "left_semi")
+    kinds = staged(many.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "place")).alias("first"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("twice")), "kinds")
+    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+    asked = kinds.join(several, "key").filter("kinds > 1 OR (n = 1 AND twice = 1)").select(F.when(F.col("n") > 1, WITNESS).otherwise(ALONE).alias("kind"), "first.row_key", "first.place", "key")
+    whole = many.join(kinds.filter("n > 1").select(*DIGEST), DIGEST, "left_semi").select(F.lit(WHOLE).alias("kind"), "row_key", "place", "key")
+    start, size = F.shiftright("place", 32).cast("int"), F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    found = asked.unionByName(whole).select("kind", "row_key", start.alias("start"), size.alias("size"), "key")
+    return classes(segments.join(hot, "key", "left_anti")).unionByName(found)
+
+
+def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """docs(row_key, text) -> row_key, span (start << 32 | end): bytes that a string of LENGTH bytes covers that starts twice.
 
-    Windows meet by their key. A segment with a copy is covered whole; of segments that share a key but aren't equal,
-    one of each kind is compared byte by byte in a suffix array of its key. Only segments' hashes are shuffled for all
-    documents, and bytes for those that must be compared. Where segments of over `hot` bytes share a key, as around a
-    passage that very many documents have, their windows are dealt out by a hash of all their bytes instead.
+    Windows meet by their key. Segments of one key with equal bytes (by 128-bit hashes beside the key) are one kind, all of
+    whose places are covered whole; one segment of each kind is compared with the key's others byte by byte in a suffix
+    array. Only segments' hashes are shuffled for all documents, and bytes for those that must be compared. Where segments
+    of over `hot` bytes share a key, as around a passage that very many documents have, these meet again by
+    longer grams, which such places don't share unless they do repeat; the last grams are whole windows, that is, the
+    suffixes are dealt out by the first LENGTH bytes, as the intervals of the suffix array that matter are.
     """
-
-    def classes(segments: DataFrame) -> DataFrame:
-        return segments.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(classed, MARKED)
-
-    def spans(marked: DataFrame) -> DataFrame:
+    hot, rows = HOT if hot is None else hot, ROWS if rows is None else rows
+    cast = F.col("text").cast("binary")
+    pieces = docs.select("row_key", F.lit(0).alias("start"), "text")
+    found = None
+    for gram in grams:
+        column = "text" if gram == grams[0] else "content"
+        own = staged(marked(staged(pieces.mapInArrow(cut(gram, column), SEGMENT), "segments"), rows), "marked")
         end = (F.col("start") + F.col("size")).cast("long")
-        return marked.filter(F.col("kind") == WHOLE).select("row_key", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(end).alias("span"))
-
-    marked = staged(classes(docs.mapInArrow(cut, SEGMENT)), "segments")
-    asked = marked.filter(F.col("kind") != WHOLE)
-    common = staged(asked.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
-    raw = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("size")).alias("content")
-    cold = asked.join(common, "key", "left_anti").join(docs, "row_key").select("key", "row_key", "start", "kind", raw)
-    found = spans(marked).unionAll(cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "row_key long, span long"))
-    if common.limit(1).count():
-        warm = asked.join(common, "key").join(docs, "row_key").select("row_key", "start", raw)
-        found = found.unionAll(spans(classes(warm.mapInArrow(windowed, SEGMENT))))
+        whole = own.filter(F.col("kind") == WHOLE).select("row_key", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(end).alias("span"))
+        found = whole if found is None else found.unionAll(whole)
+        if gram == LENGTH:  # equal windows have one kind: nothing is left to compare
+            break
+        asked = own.filter(F.col("kind") != WHOLE)
+        common = staged(asked.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
+        raw = F.substring(cast, F.col("start") + 1, F.col("size")).alias("content")
+        more = common.limit(1).count() > 0
+        cold = (asked.join(common, "key", "left_anti") if more else asked).join(docs, "row_key").select("key", "row_key", "start", "kind", raw)
+        found = found.unionAll(cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "row_key long, span long"))
+        if not more:
+            break
+        pieces = asked.join(common, "key", "left_semi").join(docs, "row_key").select("row_key", "start", raw)
     return found
 
 
@@ -347,8 +378,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, spans (removed runs of bytes, start << 32 | end), kept (bytes).
 
     Strings are judged on the input, overlaps count, and a string may repeat inside one document; none crosses documents.
-    Null texts are empty; texts under LENGTH bytes and empty tables have nothing to remove; rows that repeat a document
-    repeat its strings; null ids stay. Rows are known by a 64-bit hash of id and text.
+    Null texts are empty; texts under LENGTH bytes and empty tables have nothing to remove; very long texts are taken whole;
+    rows that repeat a document repeat its strings, so all of both goes; null ids stay; other columns of docs, whatever their
+    names, are left out. Rows are known by a 64-bit hash of id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key"))
     spans = spans_of(keyed.select("row_key", "text")).groupBy("row_key").agg(F.collect_set("span").alias("spans"))
@@ -360,3 +392,23 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without bytes of 200-byte strings that start anywhere else too."""
     found = remove_repeats(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT r, c, n, substr(h, 2 * c + 1, 910) AS h FROM (SELECT r, n, h, unnest(range(0, n - 199, 256)) AS c FROM d WHERE n >= 200)),
+w AS (SELECT r, c + j AS i, md5_number(substr(h, 2 * j + 1, 400)) AS k FROM (SELECT r, c, h, unnest(range(0, least(256, n - 199 - c))) AS j FROM p)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w SEMI JOIN twice USING (k)),
+steps AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+islands AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS island FROM steps),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY r, island),
+gaps AS (
+  SELECT r, b AS start, lead(a) OVER (PARTITION BY r ORDER BY a) AS stop FROM runs
+  UNION ALL SELECT r, 0, min(a) FROM runs GROUP BY r
+  UNION ALL SELECT r, 0, NULL FROM d ANTI JOIN runs USING (r)),
+kept AS (SELECT r, string_agg(substr(h, 2 * start + 1, 2 * (coalesce(stop, n) - start)), '' ORDER BY start) AS h FROM gaps JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""

@@ -90,7 +90,7 @@ def brute_contamination(text, items):
 ITEMS = [(1, "Al be; CO du en"), (11, "al be co du en fi go ha is jo ka lo al be co"), (2, ""), (3, None), (None, "fi go"), (4, "日本語のテキスト"), (11, "al be co du en fi go ha is jo ka lo al be co")]
 
 
-def test_contamination(spark, edge_docs, edge_rows, no_docs, monkeypatch):
+def test_contamination(spark, edge_docs, edge_rows, no_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     planted = edge_docs.select("doc_id", "text").union(spark.createDataFrame([(900, "xx AL be co, du en fi go ha is jo ka lo al be co al be co du en zz " + "q " * 50)], "doc_id long, text string"))
     got = decontamination.contains(planted, items).withColumn("n_hit", decontamination.hit_words(F.col("runs"))).collect()
@@ -102,10 +102,6 @@ def test_contamination(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     assert spans == ["AL be co, du en fi go ha is jo ka lo al be co al be co du en"]
     assert decontamination.contains(no_docs, items).count() == 0
     assert decontamination.contains(edge_docs, items.limit(0)).filter("size(runs) > 0").count() == 0
-    unique = planted.filter("doc_id IS NOT NULL AND doc_id <> 5")
-    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 40)
-    several = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.contains(unique, items).withColumn("n_hit", decontamination.hit_words(F.col("runs"))).collect()}
-    assert several == {w[0]: w[1:] for w in want if w[0] not in (-1, 5)}
 
 
 def test_decontaminate_keeps_clean_rows_and_columns(spark, edge_docs):
@@ -121,9 +117,10 @@ def test_several_automata_judge_rows_alone(spark, edge_docs, edge_rows, monkeypa
     more = [(5, "fi go al be co du en"), (None, "fi go"), (None, "q q q"), (None, "日本語のテキスト")]
     rows = [(r[0], r[1]) for r in edge_rows] + more
     docs = edge_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(decontamination, "NODES", 26)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-    assert len(list(decontamination.item_chunks(items))) > 1
+    chunks = list(decontamination.item_chunks(items, nodes=26))
+    assert len(chunks) > 1 and all(sum(len(decontamination.windows(decontamination.normal_words(t), 13)) for _, t in c) <= 2 for c in chunks)
     judged = [(d, t, *brute_contamination(t, ITEMS)) for d, t in rows]
     got = decontamination.contains(docs, items).withColumn("n_hit", decontamination.hit_words(F.col("runs"))).collect()
     assert sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"])) for r in got) == sorted(str((d, *x)) for d, _, *x in judged)
@@ -154,10 +151,11 @@ def planted_repeats(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
-def test_repeats(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "most"), [(repeats.HOT, repeats.ROWS), (repeats.HOT, 1), (1, repeats.ROWS), (1, 1), (1000, 3)])
+def test_repeats(spark, hot, most, monkeypatch):
     rows, docs = planted_repeats(spark)
-    monkeypatch.setattr(repeats.spans_of, "__defaults__", (hot,))
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "ROWS", most)
     got = repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h")).collect()
     want = brute_repeats([(t or "").encode() for _, t in rows])
     key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
@@ -179,8 +177,8 @@ def test_keys_behind_the_place_field(size, bits):
     letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
     passage = letters(900)
     texts = [letters(size) + passage + letters(300), passage, letters(150)]
-    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array(texts)], ["row_key", "text"])
-    found = [r for part in repeats.cut(iter([batch]), *bits) for r in zip(*[part[c].to_pylist() for c in ("row_key", "place", "key")], strict=True)]
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array([0, 0, 0], pa.int32()), pa.array(texts)], ["row_key", "start", "text"])
+    found = [r for part in repeats.cut(repeats.GRAMS[0], "text", *bits)(iter([batch])) for r in zip(*[part[c].to_pylist() for c in ("row_key", "place", "key")], strict=True)]
     runs = sorted((row, place >> 32, (place & 0xFFFFFFFF) >> 1, key) for row, place, key in found)
     for row, text in enumerate(texts):
         own = [(a, n) for r, a, n, _ in runs if r == row]
