@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, staged
@@ -16,7 +16,7 @@ from .decontamination import covered
 LENGTH = 200
 #: Bytes of the grams that choose where passages meet: the least hash of these inside a window of LENGTH bytes is the window's
 #: key. What a key has too much of meets again by the next, longer grams; grams of LENGTH bytes are whole windows.
-GRAMS = (24, 176, 200)
+GRAMS = (24, 176, 192, 200)
 #: Bits of a gram's place beside its hash: no more bytes than they count are hashed at once.
 PLACE = 24
 #: Bytes that are hashed at once, and bytes of one suffix array (and more, where one key has more).
@@ -24,7 +24,7 @@ HASHED, SORTED = 2 << 20, 1 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHOLE, ALONE, WITNESS = 0, 1, 2
 #: Segments of one key up to which a task classes them at once; beyond that equal ones are summed before they are shuffled.
-ROWS = 2048
+ROWS = 1024
 #: Bytes of one key's different segments up to which they are compared in one suffix array; beyond that they meet by longer grams.
 HOT = 256 << 10
 
@@ -323,18 +323,25 @@ DIGEST = ["key", "d1", "d2"]
 def marked(segments: DataFrame, rows: int) -> DataFrame:
     """Staged segments -> MARKED, as classed() gives them, whatever number of segments share a key.
 
-    A key with over `rows` segments isn't gathered: equal segments are counted by sums that start inside tasks, and the counts
-    go back to their places by joins, which Spark splits.
+    A key with over `rows` segments isn't gathered: its rows are dealt into buckets of about half as many. Segments that have an
+    equal one in their bucket are settled there; one of each kind in each bucket goes on to be counted over all buckets, by sums
+    that start inside tasks, and only those that were alone in their bucket ask for that count.
     """
-    hot = staged(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).select("key"), "hot-keys")
+    hot = staged(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows), "hot-keys")
     classes = lambda some: some.repartition("key").sortWithinPartitions(*DIGEST).mapInArrow(classed, MARKED)
     if not hot.limit(1).count():
         return classes(segments)
-    many = segments.join(hot, "key", "left_semi")
-    kinds = staged(many.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "place")).alias("first"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("twice")), "kinds")
+    many = segments.join(hot, "key")
+    bucket = F.pmod(F.xxhash64("row_key", "place"), F.floor(F.col("n") * 2 / rows) + 1)
+    own = Window.partitionBy(*DIGEST, "bucket")
+    settled = many.withColumn("bucket", bucket).withColumn("same", F.count(F.lit(1)).over(own)).withColumn("number", F.row_number().over(own.orderBy("row_key", "place")))
+    settled = staged(settled.select("row_key", "place", *DIGEST, "same", F.col("number") == 1), "settled").toDF("row_key", "place", *DIGEST, "same", "first")
+    kinds = settled.filter("first").groupBy(*DIGEST).agg(F.sum("same").alias("n"), F.min(F.struct("row_key", "place")).alias("one"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("twice"))
+    kinds = staged(kinds, "kinds")
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    asked = kinds.join(several, "key").filter("kinds > 1 OR (n = 1 AND twice = 1)").select(F.when(F.col("n") > 1, WITNESS).otherwise(ALONE).alias("kind"), "first.row_key", "first.place", "key")
-    whole = many.join(kinds.filter("n > 1").select(*DIGEST), DIGEST, "left_semi").select(F.lit(WHOLE).alias("kind"), "row_key", "place", "key")
+    asked = kinds.join(several, "key").filter("kinds > 1 OR (n = 1 AND twice = 1)").select(F.when(F.col("n") > 1, WITNESS).otherwise(ALONE).alias("kind"), "one.row_key", "one.place", "key")
+    alone = settled.filter("same = 1").join(kinds.filter("n > 1").select(*DIGEST), DIGEST, "left_semi")
+    whole = settled.filter("same > 1").unionByName(alone).select(F.lit(WHOLE).alias("kind"), "row_key", "place", "key")
     start, size = F.shiftright("place", 32).cast("int"), F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
     found = asked.unionByName(whole).select("kind", "row_key", start.alias("start"), size.alias("size"), "key")
     return classes(segments.join(hot, "key", "left_anti")).unionByName(found)
