@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, load, staged
 
-#: Rows for each language that the classifier is fitted on (expected; a hash of the id draws them), and what it keeps.
+#: Rows for each language that the classifier is fitted on (expected; a hash of the id draws them), and how many of its most
+#: frequent words and n-grams it keeps of each language's sample.
 TRAIN_ROWS = 2_000
-WORDS, GRAMS = 200_000, 120_000
+WORDS, GRAMS = 50_000, 30_000
 LONGEST = 4
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that aren't letters part words; bytes of other characters stay.
 PARTS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 JAVA_PARTS = r"[\x00-\x60\x7B-\x7F]+"
@@ -42,9 +43,11 @@ def gram_counts(counts: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The `most` keys with the highest totals and their counts by language; ties go by the key."""
+    """The `most` keys with the highest counts of each language, in order, and their counts in every language; ties go by the key."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+    kept = counts.withColumn("rank", rank).filter(F.col("rank") <= most).select(key).distinct()
     by = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)]
-    found = counts.groupBy(key).agg(F.sum("n").alias("n"), *by).orderBy(F.desc("n"), key).limit(most).toArrow()
+    found = counts.join(kept, key, "left_semi").groupBy(key).agg(*by).toArrow().sort_by(key)
     return found[key].to_pylist(), np.stack([found[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
 
 
@@ -52,6 +55,7 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS) -> dict:
     """The model, from the rows of docs(doc_id, text, lang) where learn holds and neither text nor lang is null.
 
     A classifier may be fitted on a bounded sample: for each language a hash of the id draws `train_rows` rows, or takes all.
+    Repeated rows count each; without any row the model knows no language; other columns of docs don't matter.
     """
     rows = docs.filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -133,8 +137,9 @@ class Predictor:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score: the most likely language and its posterior probability.
 
-    `und` with score 0 where the text is null or has no letter, or where nothing was learned. Whole texts count;
-    repeated rows are judged alike; null ids stay.
+    `und` with score 0 where the text is null or has no letter (Unicode category L), or where nothing was learned. Whole
+    texts count, however long; a tie goes to the first language in the order of names; repeated rows are judged alike; null ids
+    stay; an empty table gives an empty one; other columns of docs, whatever their names, are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,15 +152,18 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose language is determined with a score of `least` at least."""
+def keep_known(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, with all columns, whose language is determined.
+
+    What goes are rows whose text is null or has no letter, and all rows where nothing was learned; a text that is hard to
+    tell stays. Repeated rows are judged alike, null ids and clashing columns stay as they are, an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in batches:
-            found = [predictor(x.as_py()) for x in batch["text"]]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([predictor(x.as_py())[0] != UNDETERMINED for x in batch["text"]], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
