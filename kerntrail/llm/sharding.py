@@ -86,7 +86,7 @@ def assign(blocks: pd.DataFrame, room: Sequence[int], old_shards: int) -> pd.Dat
     inside = defaultdict(list)
     for k, j in enumerate(shard):
         inside[j].append(k)
-    sizes = blocks["bytes"].tolist()
+    sizes, olds = blocks["bytes"].tolist(), blocks["old"].tolist()
     for _ in range(4 * len(room) + 64):
         gaps = [h - r for h, r in zip(held, room, strict=True)]
         full, empty = max(range(len(room)), key=gaps.__getitem__), min(range(len(room)), key=gaps.__getitem__)
@@ -94,7 +94,8 @@ def assign(blocks: pd.DataFrame, room: Sequence[int], old_shards: int) -> pd.Dat
         fits = [k for k in inside[full] if 0 < sizes[k] < gap]
         if not fits:
             break
-        k = min(fits, key=lambda k: (abs(2 * sizes[k] - gap), k))
+        # of blocks that serve about as well, one whose move adds no bytes to those that move anyway
+        k = min(fits, key=lambda k: (8 * abs(2 * sizes[k] - gap) // gap, (olds[k] == full) - (olds[k] == empty), abs(2 * sizes[k] - gap), k))
         inside[full].remove(k)
         inside[empty].append(k)
         shard[k] = empty
@@ -143,16 +144,29 @@ def reshard(docs: DataFrame, shards: int = 40, old_shards: int = 32, blocks: int
 
 
 def affected(placed: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The shards whose files must be written anew: those that a row left or entered."""
+    """The shards whose files must be written anew: those that a row left or entered. No rows: none."""
     moved = placed.filter(F.col(names["old_shard"]) != F.col(names["shard"]))
     return moved.select(F.explode(F.array(names["old_shard"], names["shard"])).alias("shard")).distinct()
 
 
+def moved_bytes(placed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(old, shard, bytes): what goes from each old shard to each new one."""
+    return placed.filter(F.col(names["old_shard"]) != F.col(names["shard"])).groupBy(F.col(names["old_shard"]).alias("old"), F.col(names["shard"]).alias("shard")).agg(F.sum(names["size"]).alias("bytes"))
+
+
 def rewrite(placed: DataFrame, names: dict[str, str], path: str) -> None:
-    """Writes the affected shards below path, a folder shard=n for each; the others' files stay as they are."""
+    """Writes the affected shards below path, a folder shard=n for each; the others' files stay as they are.
+
+    Shards that every row left lose their folder. Run again after a failure, it writes the same; rows may not be read from path.
+    """
     touched = F.broadcast(affected(placed, names))  # a row for each shard at most
     rows = placed.join(touched, placed[names["shard"]] == touched["shard"], "left_semi")
     rows.withColumn("shard", F.col(names["shard"])).repartition("shard", F.pmod(F.col(names["slot"]), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = placed.sparkSession
+    filled = placed.select(F.col(names["shard"]).alias("filled")).distinct()
+    for row in touched.join(filled, F.col("shard") == F.col("filled"), "left_anti").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={row['shard']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
