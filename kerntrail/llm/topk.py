@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import load, staged
 
-PIVOTS = 24
+#: Pivots for vectors of each length, and the rows of the sample (the least hashes of ids) that they are chosen from.
+PIVOTS, SAMPLE = 24, 4096
+#: Products of two vectors' norms below which doubles hold every sum of the score exactly.
+EXACT = float(1 << 52)
+LEAST = np.iinfo(np.int64).min + 1
 #: Most queries in one broadcast (expected); more queries go in further scans of the candidates.
 QUERY_BLOCK = 16_384
 ROWS = 4096
@@ -43,45 +47,63 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.column_stack([to, square]), 0))
 
 
+def farthest_first(vectors: list[list[float]], n: int) -> np.ndarray:
+    """Of vectors of one length, the first and then each time the one that is farthest from those chosen."""
+    x = np.array(vectors, float)
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(x)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
 class Search:
-    """The best k of the candidates seen so far, for each query. Scores are integers below 2^53, so doubles are exact."""
+    """The best k of the candidates seen so far, for each query. Scores are 64-bit integers."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
         self.table = distances(x, pivots)
-        self.scores = np.full((len(x), k), -np.inf)
+        self.scores = np.full((len(x), k), LEAST)
         self.found = np.full((len(x), k), np.iinfo(np.int64).max)
+        self.evaluated = self.met = 0
 
     def bounds(self, of: slice, table: np.ndarray) -> np.ndarray:
         """No score exceeds (|q|^2 + |x|^2 - b^2) / 2, where b is the greatest difference of distances to one pivot."""
         q, low = self.table[of], np.zeros((of.stop - of.start, len(table)))
         for p in range(table.shape[1]):
             np.maximum(low, np.abs(q[:, p, None] - table[None, :, p]), out=low)
-        top = (q[:, -1, None] ** 2 + table[None, :, -1] ** 2 - low * low) / 2
-        return top + 1e-6 * (1 + np.abs(top))
+        square = q[:, -1, None] ** 2 + table[None, :, -1] ** 2
+        return (square - low * low) / 2 + 1e-6 * (1 + square)
 
     def keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.hstack([self.scores[rows], scores]), np.hstack([self.found[rows], ids])
         best = np.lexsort((ids, -scores), axis=1)[:, : self.k]
         self.scores[rows], self.found[rows] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
 
+    def products(self, x: np.ndarray, at: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
+        """Scores of the candidates at `at` (a row for each query); in integers where doubles might round."""
+        kind = float if exact else np.int64
+        return np.matmul(x[at].astype(kind, copy=False), self.x[rows].astype(kind, copy=False)[:, :, None])[:, :, 0].astype(np.int64)
+
     def see(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
         """Meets the candidates in the order of their bounds, and stops where no bound reaches the k-th score."""
+        exact = len(ids) == 0 or table[:, -1].max() * self.table[:, -1].max() < EXACT
         for start in range(0, len(self.x), 64):
             of = slice(start, min(start + 64, len(self.x)))
             top = self.bounds(of, table)
             order = np.argsort(-top, axis=1)
             rows, at, step = np.arange(of.start, of.stop), 0, 0
+            self.met += top.size
             while len(rows) and at < len(ids):
                 wide = STEPS[min(step, len(STEPS) - 1)]
                 next_ = order[rows - start, at : at + wide]
-                score = np.matmul(x[next_], self.x[rows][:, :, None])[:, :, 0]
-                score[ids[next_] == self.ids[rows][:, None]] = -np.inf  # the query's own row
-                out = np.where(np.isinf(score), np.iinfo(np.int64).max, ids[next_])
-                reach = score >= self.scores[rows][:, -1:]
+                self.evaluated += next_.size
+                score = self.products(x, next_, rows, exact)
+                own = ids[next_] == self.ids[rows][:, None]  # the query's own row
+                reach = (score >= self.scores[rows][:, -1:]) & ~own
                 some = reach.any(axis=1)
                 if some.any():
-                    self.keep(rows[some], np.where(reach, score, -np.inf)[some], np.where(reach, out, np.iinfo(np.int64).max)[some])
+                    self.keep(rows[some], np.where(reach, score, LEAST)[some], np.where(reach, ids[next_], np.iinfo(np.int64).max)[some])
                 at, step = at + wide, step + 1
                 if at < len(ids):
                     rows = rows[top[rows - start, order[rows - start, at]] >= self.scores[rows][:, -1]]
@@ -93,10 +115,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     Only vectors of one length are compared. A query's own row is any with its id; a query given repeatedly counts once
     (by the least vector); repeated candidates are candidates each; no candidates, no rows. Candidates' distances to the
     pivots are written once, then scanned for each block of queries, at most QUERY_BLOCK at a time in a broadcast;
-    a task emits its own k best of each query.
+    a task emits its own k best of each query. Components are integers; scores are exact up to 64 bits. Null or empty vectors
+    and other columns must be taken out before (see quantised()).
     """
     spark = vectors.sparkSession
-    chosen = [r["x"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
+    sample: dict[int, list[list[float]]] = {}
+    for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect():
+        sample.setdefault(len(r["x"]), []).append(r["x"])
+    chosen = [p.tolist() for x in sample.values() for p in farthest_first(x, pivots)]
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +154,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
                         some = part.slice(i, ROWS)
                         open_[n].see(some["vec_id"].to_numpy(), matrix(some["x"]), matrix(some["d"]))
             for one in open_.values():
-                there = np.isfinite(one.scores)
+                there = one.found != np.iinfo(np.int64).max
                 query = np.broadcast_to(one.ids[:, None], there.shape)[there]
-                yield pa.record_batch([pa.array(query), pa.array(one.found[there]), pa.array(one.scores[there].astype(np.int64))], ["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(query), pa.array(one.found[there]), pa.array(one.scores[there])], ["query_id", "vec_id", "score"])
 
         part = candidates.mapInArrow(search, "query_id long, vec_id long, score long")
         found = part if found is None else found.union(part)
