@@ -15,6 +15,8 @@ from .common import fold, load, staged
 
 #: Labelled rows that the classifier is fitted on, for each label (expected; a hash of the id draws them).
 TRAIN_ROWS = {1: 2_500, 0: 5_000}
+#: Bytes of their texts, for each label: fewer rows are drawn where texts are long (expected).
+TRAIN_BYTES = {1: 24 << 20, 0: 48 << 20}
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 12, 12, (1, 2, 3)
 PARTS = (3, 4, 5)
 EPOCHS, BATCH, RATE, ACC = 6, 32, 0.08, 1e-3
@@ -167,13 +169,17 @@ def best_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> fl
 def train(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int, int] | None = None) -> tuple[dict, DataFrame]:
     """The model without thresholds, and (labelled, toxic, trained): the labelled ids of the fold, and whether it was trained on each.
 
-    The network may be fitted on a bounded sample: for each label a hash of the id draws so many rows, or all, and a fifth
-    of them is spared, so that some are left for thresholds where all are drawn.
+    The network may be fitted on a bounded sample: for each label a hash of the id draws TRAIN_ROWS rows of TRAIN_BYTES together
+    at most, or all, and a fifth of them is spared, so that some are left for thresholds where all are drawn. Of labels that
+    differ for one id the greater counts; null texts and null labels teach nothing.
     """
     train_rows = train_rows or TRAIN_ROWS
     known = labels.filter(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     found = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(train_rows[k] / found[k])) for k in (0, 1) if found.get(k)], F.lit(0.0))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(known, "doc_id").groupBy("toxic").agg(F.sum("size").alias("size"))
+    sizes = {r["toxic"]: r["size"] or 0 for r in sizes.collect()}
+    share = {k: min(1.0, train_rows[k] / found[k], TRAIN_BYTES[k] / max(sizes.get(k, 0), 1)) for k in (0, 1) if found.get(k)}
+    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) < rate * float(1 << 30)
     trained = drawn & (F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(5)) != 0)
     known = known.select(F.col("doc_id").alias("labelled"), "toxic", trained.alias("trained"))
@@ -187,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[in
     order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")  # in whatever order the rows came
     net = Network()
     net.train([sample["text"][int(i)].as_py() for i in order], sample["toxic"].to_numpy()[order].astype(np.float32))
-    spared = {k: 1 - 0.8 * min(1.0, train_rows[k] / found[k]) for k in (0, 1)}
+    spared = {k: 1 - 0.8 * share[k] for k in (0, 1)}
     return {"net": net, "langs": language.fit(docs, learn), "clean": spared[1] / spared[0]}, known
 
 
@@ -268,7 +274,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score: 0.5 where the logit meets the threshold of the text's language.
 
     Whole texts count, null ones as empty; the score of a text without words is that of pads alone. Without labels of both
-    kinds all scores are 1 or 0, whichever label was seen (0: none). Repeated rows score alike; null ids stay.
+    kinds all scores are 1 or 0, whichever label was seen (0: none). Repeated rows score alike; null ids stay; an empty table
+    gives an empty one; other columns of docs, whatever their names, are left out.
     """
     if "constant" in model:
         return docs.select(F.col("doc_id").cast("long"), F.lit(model["constant"]).alias("score"))
