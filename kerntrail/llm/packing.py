@@ -112,17 +112,19 @@ def pack_block(ids: list[np.ndarray], context: int) -> list[tuple[np.ndarray, li
     return out
 
 
-SCHEMA = "block long, row int, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<int>"
+SCHEMA = "block long, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<int>"
 
 
-def pack(docs: DataFrame, context: int = CONTEXT, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, context: int = CONTEXT, tokenizer: str = TOKENIZER, pad: int = 0) -> DataFrame:
     """docs(doc_id, text) -> the rows of packed id matrices.
 
-    ids: `context` little-endian uint16 at most, the rest of the last columns of a matrix is padding (see matrix()).
-    cu_seqlens: 0 and the end of each segment; positions restart at each (see positions()). doc_ids and doc_starts: whose
-    tokens, from which token on; documents longer than a row are split and nothing is lost. Null and empty texts have no
-    tokens and no segment; repeated rows are packed each; null ids stay null. block: a task's documents of about
-    BLOCK_TOKENS tokens, so that nothing is shuffled and a lost task is packed again.
+    ids: `context` little-endian uint16, of which n_tokens are tokens and the rest `pad`. positions: as many, each token's
+    place in its segment, 0 in the padding. cu_seqlens: 0 and the end of each segment. doc_ids and doc_starts: whose tokens,
+    from which token on; documents longer than a row are split and nothing is lost, however long they are. Null and empty texts
+    have no tokens and no segment; repeated rows are packed each; null ids stay null; of equally long pieces the first comes
+    first; an empty table gives no rows; other columns of docs, whatever their names, are left out. block: a task's documents of
+    about BLOCK_TOKENS tokens, so that nothing is shuffled and a lost task is packed again; which documents share a
+    block depends on how the table is split into tasks.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +137,13 @@ def pack(docs: DataFrame, context: int = CONTEXT, tokenizer: str = TOKENIZER) ->
                 pa.array([first + n] * len(rows), pa.int64()),
                 pa.array(range(len(rows)), pa.int32()),
                 pa.array([len(r[0]) for r in rows], pa.int32()),
-                pa.array([r[0].tobytes() for r in rows], pa.binary()),
+                pa.array([x.tobytes() for x in matrix([r[0].tobytes() for r in rows], context, pad)], pa.binary()),
+                pa.array([x.tobytes() for x in matrix([positions([0, *r[3]]).astype("<u2").tobytes() for r in rows], context)], pa.binary()),
                 pa.array([[0, *r[3]] for r in rows], pa.list_(pa.int32())),
                 pa.array([[names[i] for i in r[1]] for r in rows], pa.list_(pa.int64())),
                 pa.array([r[2] for r in rows], pa.list_(pa.int32())),
             ]
-            return pa.record_batch(columns, ["block", "row", "n_tokens", "ids", "cu_seqlens", "doc_ids", "doc_starts"])
+            return pa.record_batch(columns, ["block", "row", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "doc_starts"])
 
         for batch in batches:
             for name, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -158,7 +161,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, tokenizer: str = TOKENIZER) ->
 
 
 def matrix(ids: list[bytes], context: int = CONTEXT, pad: int = 0) -> np.ndarray:
-    """Rows' ids as one uint16 matrix."""
+    """Rows of uint16 as one matrix, padded to the right."""
     out = np.full((len(ids), context), pad, "<u2")
     for k, x in enumerate(ids):
         out[k, : len(x) // 2] = np.frombuffer(x, "<u2")
@@ -172,10 +175,10 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
 
 
 def write(packed: DataFrame, path: str) -> None:
-    """One Parquet row for each packed row, in the order of blocks inside each file."""
+    """The matrices of ids and of positions with their segments as Parquet, a row for each of theirs, in order inside each file."""
     packed.write.mode("overwrite").parquet(path)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as packed rows."""
+    """All documents as packed rows: padded matrices of ids and positions, cumulative lengths, owners of segments."""
     return pack(load(spark, sf_dir, "documents"))
