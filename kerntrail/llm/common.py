@@ -57,6 +57,16 @@ def fold(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(modulus)
 
 
+#: crc32(doc_id as text) of `documents` in SQL, as tables crc_table and folds(doc_id, crc): the table of all bytes, then a reduction over characters.
+FOLD_SQL = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+folds AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                                 lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8)), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), crc_table)"""
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where df has such columns."""
     taken, out = {c.lower() for c in df.columns}, []

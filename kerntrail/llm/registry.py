@@ -7,7 +7,7 @@ from .language import op6_language
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op1_packing
 from .repeats import OP3_SQL, op3_repeats
-from .scoring import op4_scoring
+from .scoring import OP4_SQL, op4_scoring
 from .sharding import op7_sharding
 from .simhash import op9_simhash
 from .topk import OP5_SQL, op5_topk
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_repeats": OP3_SQL, "op4_scoring": OP4_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}

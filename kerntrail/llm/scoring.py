@@ -13,11 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, load, new_folder
+from .common import FOLD_SQL, fold, load, new_folder
 
 #: Bytes of text for each shard of the model, and tokens that a task counts or scores at once.
 SHARD_BYTES = 24 << 20
 COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 600_000
+#: Most shards that a block is sent to at once; where there are more, blocks go to groups of shards first, so that the rows sent
+#: grow with the tokens, and each group is sent on in as many tasks as PARTS.
+FAN, PARTS = 1024, 16
 #: Contexts with so great a share of the tokens are spread over all shards; rows of the sample that finds them (expected).
 HOT_SHARE, HOT_ROWS = 0.005, 2_000
 #: Marks in front of and behind a text. Words never hold white space, so these hash apart from all words.
@@ -116,18 +119,88 @@ def of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def ends_of(to: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal destinations."""
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True):
+        if a < b:
+            yield int(to[a]), slice(int(a), int(b))
+
+
+def pair_blocks(u: np.ndarray, w: np.ndarray, c: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs with their counts as one block for each destination: contexts once, each with the number of its words."""
+    order = np.lexsort((u, to))
+    u, w, c, to = u[order], w[order], c[order].astype(np.uint32), to[order]
+    names, data = [], []
+    for s, own in ends_of(to):
+        starts = np.flatnonzero(np.append(True, u[own][1:] != u[own][:-1]))
+        n = own.stop - own.start
+        runs = np.diff(np.append(starts, n)).astype(np.uint32)
+        names.append(s)
+        data.append(np.array([len(starts), n], np.int64).tobytes() + u[own][starts].tobytes() + w[own].tobytes() + runs.tobytes() + c[own].tobytes())
+    return pa.record_batch([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["shard", "block"])
+
+
+def pairs_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    contexts, n = np.frombuffer(block, np.int64, 2).tolist()
+    u, w = np.frombuffer(block, np.uint64, contexts, 16), np.frombuffer(block, np.uint64, n, 16 + 8 * contexts)
+    runs = np.frombuffer(block, np.uint32, contexts, 16 + 8 * (contexts + n))
+    return np.repeat(u, runs), w, np.frombuffer(block, np.uint32, n, 16 + 8 * (contexts + n) + 4 * contexts).astype(np.int64)
+
+
+def added_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs in the order of their keys: keys, both words, summed counts."""
+    keys = pair_keys(u, w)
+    order = np.argsort(keys)
+    keys, u, w, c = keys[order], u[order], w[order], c[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], u[starts], w[starts], np.add.reduceat(c, starts) if len(starts) else c
+
+
+def word_blocks(word: np.ndarray, contexts: np.ndarray, n: np.ndarray, to: np.ndarray) -> list[tuple]:
+    """Words (sorted, as destinations are) with their contexts and tokens as rows of STATS, one for each destination."""
+    out = []
+    for s, own in ends_of(to):
+        data = np.array([own.stop - own.start], np.int64).tobytes() + word[own].tobytes() + contexts[own].astype(np.uint32).tobytes() + n[own].astype(np.uint64).tobytes()
+        out.append(("words", s, data, 0, 0, 0, 0))
+    return out
+
+
+def words_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(block, np.int64, 1)[0])
+    return np.frombuffer(block, np.uint64, n, 8), np.frombuffer(block, np.uint32, n, 8 + 8 * n).astype(np.int64), np.frombuffer(block, np.uint64, n, 8 + 12 * n).astype(np.int64)
+
+
+def portions(batches: Iterator[pa.RecordBatch], key: str, most: int, decode) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows sorted by key as arrays of about `most` entries of one key."""
+    now, held, n = None, [], 0
+    for batch in batches:
+        for group, block in zip(batch[key].to_pylist(), batch["block"], strict=True):
+            if held and (group != now or n >= most):
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+            now = group
+            held.append(decode(block.as_py()))
+            n += len(held[-1][0])
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def fit(docs: DataFrame, learn: Column) -> dict:
     """Counts the pairs of the rows of docs(doc_id, text) where learn holds, and writes the model to the shared folder.
 
-    Tasks sum pairs of their tokens and send them in blocks, one for each shard of contexts. A shard's task merges them
-    into sorted arrays (pair hashes, counts; contexts with their totals and numbers of followers seen once, twice, more
-    often) and sends on, by shards of words, how many contexts and tokens each word has. What comes back to the driver are sums: counts of
-    counts and the totals of hot contexts. Nothing of the corpus is left out; the files grow with it.
+    Tasks sum pairs of their tokens and send them in blocks, one for each shard of contexts (by way of groups of shards where
+    there are many). A shard's task merges them into sorted arrays (pair hashes, counts; contexts with their totals and
+    numbers of followers seen once, twice, more often) and sends on, by shards of words, how many contexts and tokens each
+    word has. What comes back to the driver are sums: counts of counts and the totals of hot contexts. Nothing of the
+    corpus is left out; the files grow with it.
     """
     spark = docs.sparkSession
     rows = docs.filter(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(text_bytes(F.col("text"))).first()["bytes"]
     shards, folder, hot = int(size) // SHARD_BYTES + 4, new_folder(spark, "bigrams"), hot_contexts(rows)
+    per, most = -(-shards // FAN), COUNT_TOKENS  # shards of a group
+    groups = -(-shards // per)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = Hashes(), [], 0
@@ -135,90 +208,75 @@ def fit(docs: DataFrame, learn: Column) -> dict:
         def blocks() -> pa.RecordBatch:
             u, w = np.concatenate([t[:-1] for t in held]), np.concatenate([t[1:] for t in held])
             _, first, c = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
-            u, w = u[first], w[first]
-            to = pair_shards(u, w, shards, hot)
-            order = np.lexsort((u, to))
-            u, w, c, to = u[order], w[order], c[order].astype(np.uint32), to[order]
-            names, data = [], []
-            edges = np.searchsorted(to, np.arange(shards + 1))
-            for s in range(shards):
-                a, b = edges[s], edges[s + 1]
-                if a < b:
-                    starts = np.flatnonzero(np.append(True, u[a + 1 : b] != u[a : b - 1]))
-                    runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
-                    names.append(s)
-                    data.append(np.array([len(starts), b - a], np.int64).tobytes() + u[a:b][starts].tobytes() + w[a:b].tobytes() + runs.tobytes() + c[a:b].tobytes())
-            return pa.record_batch([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["shard", "block"])
+            return pair_blocks(u[first], w[first], c, pair_shards(u[first], w[first], shards, hot) // per)
 
         for batch in batches:
             for text in batch["text"]:
                 t = tokens(text.as_py(), hashes)
                 held.append(t)
                 n += len(t)
-                if n >= COUNT_TOKENS:
+                if n >= most:
                     yield blocks()
                     held, n = [], 0
         if held:
             yield blocks()
 
+    def sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in portions(batches, "shard", most, pairs_of):
+            _, u, w, c = added_pairs(*found)
+            yield pair_blocks(u, w, c, pair_shards(u, w, shards, hot))
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in by_shard(batches, "shard"):
-            us, ws, cs = [], [], []
-            for block in blocks:
-                contexts, n = np.frombuffer(block, np.int64, 2).tolist()
-                u, w = np.frombuffer(block, np.uint64, contexts, 16), np.frombuffer(block, np.uint64, n, 16 + 8 * contexts)
-                runs = np.frombuffer(block, np.uint32, contexts, 16 + 8 * (contexts + n))
-                us.append(np.repeat(u, runs))
-                ws.append(w)
-                cs.append(np.frombuffer(block, np.uint32, n, 16 + 8 * (contexts + n) + 4 * contexts))
-            u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-            del us, ws, cs, blocks
-            keys = pair_keys(u, w)
-            order = np.argsort(keys)
-            keys, u, w, c = keys[order], u[order], w[order], c[order]
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, u, w, c = keys[starts], u[starts], w[starts], np.add.reduceat(c, starts)
+            parts = [pairs_of(block) for block in blocks]
+            keys, u, w, c = added_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            del parts, blocks
             own, total, *seen = summed(u, c, *[(c == k).astype(np.int64) for k in (1, 2)], (c > 2).astype(np.int64))
             spread = np.isin(own, hot)
             write_arrays(f"{folder}/pairs-{shard}", keys, own[~spread], *[x[~spread] for x in (total, *seen)], c.astype(np.uint32))
             out = [("pairs", 0, None, *of_counts(c))]
             out += [("hot", int(h.view(np.int64)), None, *(int(x) for x in row)) for h, *row in zip(own[spread], *[x[spread] for x in (total, *seen)], strict=True)]
             word, contexts, n = summed(w, np.ones(len(w), np.int64), c)
-            edges = np.searchsorted(shard_of(word, shards), np.arange(shards + 1))
-            for s in range(shards):
-                a, b = edges[s], edges[s + 1]
-                if a < b:
-                    data = np.array([b - a], np.int64).tobytes() + word[a:b].tobytes() + contexts[a:b].astype(np.uint32).tobytes() + n[a:b].astype(np.uint64).tobytes()
-                    out.append(("words", s, data, 0, 0, 0, 0))
-            yield stats_batch(out)
+            yield stats_batch(out + word_blocks(word, contexts, n, shard_of(word, shards).astype(np.int64) // per))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words(batches):
-            for batch in batches:
-                mine = np.array(batch["kind"].to_pylist()) == "words"
-                for row in batch.filter(pa.array(~mine)).to_pylist():
-                    passed.append(tuple(row[k] for k in NAMES))
-                if mine.any():
-                    yield batch.filter(pa.array(mine))
+    def of_words(batches: Iterator[pa.RecordBatch], passed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = np.array(batch["kind"].to_pylist()) == "words"
+            for row in batch.filter(pa.array(~mine)).to_pylist():
+                passed.append(tuple(row[k] for k in NAMES))
+            if mine.any():
+                yield batch.filter(pa.array(mine))
 
+    def words_sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[tuple] = []
+        for found in portions(of_words(batches, passed), "key", most, words_of):
+            word, contexts, n = summed(*found)
+            yield stats_batch(word_blocks(word, contexts, n, shard_of(word, shards).astype(np.int64)))
+        if passed:
+            yield stats_batch(passed)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[tuple] = []
-        for shard, blocks in by_shard(words(batches), "key"):
-            ws, ns, cs = [], [], []
-            for block in blocks:
-                n = int(np.frombuffer(block, np.int64, 1)[0])
-                ws.append(np.frombuffer(block, np.uint64, n, 8))
-                ns.append(np.frombuffer(block, np.uint32, n, 8 + 8 * n))
-                cs.append(np.frombuffer(block, np.uint64, n, 8 + 12 * n))
-            word, contexts, n = summed(np.concatenate(ws), np.concatenate(ns).astype(np.int64), np.concatenate(cs).astype(np.int64))
+        for shard, blocks in by_shard(of_words(batches, passed), "key"):
+            word, contexts, n = summed(*(np.concatenate(x) for x in zip(*map(words_of, blocks), strict=True)))
             write_arrays(f"{folder}/words-{shard}", word, n, contexts.astype(np.uint32))
             passed.append(("contexts", 0, None, *of_counts(contexts)))
             passed.append(("totals", 0, None, len(word), int(n.sum()), int(contexts.sum()), 0))
         if passed:
             yield stats_batch(passed)
 
-    counted = rows.mapInArrow(count, "shard int, block binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    merged = counted.mapInArrow(merge, STATS).repartition(shards, "kind", "key").sortWithinPartitions("kind", "key")
-    sums = merged.mapInArrow(gather, STATS).groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
+    def by_group(df: DataFrame, *key: str) -> DataFrame:
+        part = F.spark_partition_id() % PARTS
+        return df.withColumn("part", part).repartition(groups, *key, "part").sortWithinPartitions(*key).drop("part")
+
+    counted = rows.mapInArrow(count, "shard int, block binary")
+    if per > 1:
+        counted = by_group(counted, "shard").mapInArrow(sent_on, "shard int, block binary")
+    merged = counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, STATS)
+    if per > 1:
+        merged = by_group(merged, "kind", "key").mapInArrow(words_sent_on, STATS)
+    gathered = merged.repartition(shards, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(gather, STATS)
+    sums = gathered.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
     one = {r["kind"]: [r[x] for x in "abcd"] for r in sums if r["kind"] != "hot"}
     stats = {r["key"]: [r[x] for x in "abcd"] for r in sums if r["kind"] == "hot"}
     kept = sorted(stats, key=lambda k: k & (1 << 64) - 1)
@@ -354,7 +412,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, base_score, score: log10 probabilities of whole texts.
 
     A text's tokens are its words and one end (null and empty texts: the end alone). base_score is that of unigrams with
-    one added to each count. Repeated rows score alike, null ids stay, an empty training set gives every token probability 1.
+    one added to each count. Whole texts count, however long; repeated rows score alike, null ids stay, an empty training set
+    gives every token probability 1; an empty table gives no rows; other columns of docs, whatever their names, are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -379,9 +438,46 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32 mod 7 isn't 2."""
+    """Scores of all documents, to six decimals, by a model of those whose crc32 mod 7 isn't 2."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(F.col("doc_id"), 7) == 2
     model = fit(docs, ~held)
     scored = score(docs, model)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+OP4_SQL = f"""
+WITH {FOLD_SQL},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, crc % 7 = 2 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' end') AS w
+  FROM documents JOIN folds USING (doc_id)),
+t AS (SELECT r, held_out, unnest(w) AS w, unnest(list_concat([' front'], w[:-2])) AS u FROM d),
+pairs AS (SELECT u, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, w),
+words AS (SELECT w, sum(c) AS n, count(*) AS contexts FROM pairs GROUP BY w),
+contexts AS (SELECT u, sum(c) AS total, count(*) FILTER (WHERE c = 1) AS once, count(*) FILTER (WHERE c = 2) AS twice, count(*) FILTER (WHERE c > 2) AS more FROM pairs GROUP BY u),
+of_pairs AS (SELECT count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c = 3) AS n3, count(*) FILTER (WHERE c = 4) AS n4 FROM pairs),
+of_words AS (SELECT count(*) FILTER (WHERE contexts = 1) AS n1, count(*) FILTER (WHERE contexts = 2) AS n2, count(*) FILTER (WHERE contexts = 3) AS n3, count(*) FILTER (WHERE contexts = 4) AS n4 FROM words),
+kinds AS (SELECT 'p' AS kind, * FROM of_pairs UNION ALL SELECT 'w', * FROM of_words),
+discounts AS (
+  SELECT kind, CASE WHEN least(n1, n2, n3, n4) = 0 THEN [0.5, 0.5, 0.5] ELSE
+    [least(greatest(1 - 2 * y * n2 / n1, 0.01), 1), least(greatest(2 - 3 * y * n3 / n2, 0.01), 2), least(greatest(3 - 4 * y * n4 / n3, 0.01), 3)] END AS d
+  FROM (SELECT *, n1::DOUBLE / (n1 + 2 * n2) AS y FROM kinds)),
+p AS (SELECT d FROM discounts WHERE kind = 'p'), q AS (SELECT d FROM discounts WHERE kind = 'w'),
+sums AS (
+  SELECT sum(n) AS tokens, count(*) AS v, sum(contexts) AS pairs,
+         sum(CASE contexts WHEN 1 THEN d[1] WHEN 2 THEN d[2] ELSE d[3] END) / sum(contexts) / (count(*) + 1) AS back
+  FROM words, q),
+asked AS (SELECT DISTINCT u, w FROM t),
+scored AS (
+  SELECT a.u, a.w, coalesce(words.n, 0) AS n, log10((coalesce(words.n, 0) + 1)::DOUBLE / (tokens + v + 1)) AS base,
+         log10(coalesce((c - CASE c WHEN 1 THEN p.d[1] WHEN 2 THEN p.d[2] ELSE p.d[3] END) / total, 0)
+               + coalesce((p.d[1] * once + p.d[2] * twice + p.d[3] * more) / total, 1)
+                 * (coalesce(words.contexts - CASE words.contexts WHEN 1 THEN q.d[1] WHEN 2 THEN q.d[2] ELSE q.d[3] END, 0) / pairs + back)) AS score
+  FROM asked a LEFT JOIN pairs x ON a.u = x.u AND a.w = x.w LEFT JOIN contexts k ON a.u = k.u LEFT JOIN words ON a.w = words.w, p, q, sums),
+totals AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE n > 0) AS n_known, sum(base) AS base_score, sum(score) AS score
+  FROM t JOIN scored USING (u, w) GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(tokens AS BIGINT) AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+FROM d JOIN totals USING (r), sums
+"""
