@@ -14,33 +14,46 @@ from kerntrail.llm.mixing import emit
 from kerntrail.llm.sharding import reshard
 from kerntrail.llm.simhash import deduplicate
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the classifier learns from three quarters of them."""
-    return keep_known(docs, fit(docs, fold(F.col("doc_id"), 4) != 2)).select(*COLUMNS)
+    """Documents whose language is known, with their columns; the classifier learns from three quarters of them.
+
+    Null texts and texts without letters go, repeated rows stay, an empty table gives an empty one.
+    """
+    return keep_known(docs, fit(docs, fold(F.col("doc_id"), 4) != 2))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return deduplicate(docs).select(*COLUMNS)
+    """One document of each SimHash component, with its columns.
+
+    Of ties the least id stays, null ids last, and of rows that share an id the one with the least hash of its text; null and
+    empty texts are one component; an empty table gives an empty one.
+    """
+    return deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
-    return decontaminate(docs, load(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents that the benchmark doesn't contaminate, with their columns.
+
+    Each row is judged by its own text, so null and repeated ids don't matter; null and empty texts stay.
+    """
+    return decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix of sources, repeated as their rates say."""
-    return emit(docs).select(*COLUMNS)
+    """Documents in the mix of sources, repeated as their rates say, with their columns.
+
+    Null sources are one source; rows that share an id are taken equally often; a source without words has the rate 0.
+    """
+    return emit(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their place in 40 shards of nearly equal size."""
-    placed, names = reshard(docs)
-    return placed.select(*COLUMNS, *names.values())
+    """Documents with their place in 40 shards of nearly equal size: their columns and size, old_shard, shard and slot.
+
+    Null texts have 16 bytes, repeated rows slots of their own, and an empty table gives an empty one.
+    """
+    return reshard(docs)[0]
 
 
 STAGES = [
