@@ -15,6 +15,16 @@ def part_kernel(a: Column, b: Column, sigma: float) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.aggregate(b, F.lit(0.0), lambda t, y: t + one(x, y)))
 
 
+def part_kernel_slope(a: Column, b: Column, sigma: float) -> Column:
+    """part_kernel's derivative by sigma."""
+
+    def one(x: Column, y: Column) -> Column:
+        d = V.sqdist(x["v"], y["v"])
+        return x["rho"] * y["rho"] * F.exp(-d / (4 * sigma * sigma)) * d / (2 * sigma**3)
+
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.aggregate(b, F.lit(0.0), lambda t, y: t + one(x, y)))
+
+
 def normalised(parts: DataFrame, sigma: float) -> DataFrame:
     """parts(id, part, rho, comps) with comps scaled so that each part's kernel with itself is 1 (no self-kernel: left out)."""
     own = parts.withColumn("own", part_kernel(F.col("comps"), F.col("comps"), sigma)).filter("own > 0")
@@ -22,13 +32,20 @@ def normalised(parts: DataFrame, sigma: float) -> DataFrame:
     return own.withColumn("comps", scaled).drop("own")
 
 
-def molecule_kernel(parts: DataFrame, sigma: float, blocks: int, width: float | None = None) -> DataFrame:
-    """(i, j, k) for i <= j: the sum over parts of both of rho rho' times the part kernel, or its Gaussian of width `width`.
+def molecule_kernel(parts: DataFrame, sigma: float, blocks: int, width: float | None = None, slope: bool = False) -> DataFrame:
+    """(i, j, k[, dk]) for i <= j: the sum over parts of both of rho rho' times the part kernel, or its Gaussian of width `width`.
 
-    parts come as normalised() leaves them; a molecule's parts travel as one array, since it has few.
+    parts come as normalised() leaves them; a molecule's parts travel as one array, since it has few. dk is the derivative by sigma
+    for parts as they are (their normalisation held fixed) and without a width.
     """
     inner = (lambda k: k) if width is None else (lambda k: F.exp(-(1 - k) / (width * width)))
     grouped = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "rho", "comps"))).alias("x"))
     one = lambda p, q: p["rho"] * q["rho"] * inner(part_kernel(p["comps"], q["comps"], sigma))
     total = F.aggregate("a", F.lit(0.0), lambda s, p: s + F.aggregate("b", F.lit(0.0), lambda t, q: t + one(p, q)))
-    return symmetric_pairs(grouped, blocks).select("i", "j", total.alias("k"))
+    more = []
+    if slope:
+        if width is not None:
+            raise ValueError("the derivative is that of the linear kernel")
+        ds = lambda p, q: p["rho"] * q["rho"] * part_kernel_slope(p["comps"], q["comps"], sigma)
+        more = [F.aggregate("a", F.lit(0.0), lambda s, p: s + F.aggregate("b", F.lit(0.0), lambda t, q: t + ds(p, q))).alias("dk")]
+    return symmetric_pairs(grouped, blocks).select("i", "j", total.alias("k"), *more)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..storage import staged
 
 
 def heavy_atoms(atoms: DataFrame, light: int, least: int = 4) -> DataFrame:
@@ -32,6 +33,28 @@ def every_nth(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("k", k).filter(F.col("k") % n == 1).drop("k")
 
 
+def renumbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of a column without ties, by ranges whose sizes are summed: no task sorts all rows."""
+    ranged = staged(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("inside")).drop("part", "before", "inside")
+
+
+def complete(rows: DataFrame, *needed: str) -> DataFrame:
+    """Rows whose needed columns are all known: neither NULL nor NaN."""
+    kinds = dict(rows.dtypes)
+    for c in needed:
+        rows = rows.filter(F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)))
+    return rows
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key isn't among the ids."""
+    return rows.join(ids.select(key), key, "left_anti")
+
+
 def looked_up(states: DataFrame, known: DataFrame, *values: str) -> DataFrame:
     """states(key) with the known values, and whether the key is known."""
     return states.join(known.select("key", *values).withColumn("known", F.lit(True)), "key", "left").fillna(False, ["known"])
@@ -93,6 +116,43 @@ def angular_pairs(orbitals: DataFrame) -> DataFrame:
     return a.join(b, "id").groupBy("id", (F.col("a1") == F.col("a2")).alias("same"), "l1", "l2").agg(F.sum(F.col("s1") * F.col("s2")).alias("v"))
 
 
+def orbital_matrix(orbitals: DataFrame, weight: Column) -> DataFrame:
+    """orbitals(id, orb, ao, c, ...) -> (id, a, b, v): C diag(weight) C', sums over orbitals of the weight times both coefficients.
+
+    Weights of 1 give the inverse overlap's form, occupations the density, energies the Fock matrix, cos and sin of energies
+    times a time the propagator.
+    """
+    rows = orbitals.select("id", "orb", "ao", "c", weight.alias("m"))
+    left, right = rows.select("id", "orb", F.col("ao").alias("a"), (F.col("c") * F.col("m")).alias("x")), rows.select("id", "orb", F.col("ao").alias("b"), F.col("c").alias("y"))
+    return left.join(right, ["id", "orb"]).groupBy("id", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def orbital_couplings(orbitals: DataFrame, matrix: DataFrame) -> DataFrame:
+    """orbitals(id, orb, ao, atom, l, c), matrix(id, a, b, v) -> (id, orb, same, l1, l2, v): sums of v c_a c_b by both angular
+    momenta and whether both atomic orbitals are of one atom."""
+    own = ["id", "orb"]
+    left = orbitals.select(*own, F.col("ao").alias("a"), F.col("atom").alias("a1"), F.col("l").alias("l1"), F.col("c").alias("c1"))
+    right = orbitals.select(*own, F.col("ao").alias("b"), F.col("atom").alias("a2"), F.col("l").alias("l2"), F.col("c").alias("c2"))
+    met = left.join(matrix, ["id", "a"]).join(right, [*own, "b"])
+    return met.groupBy(*own, (F.col("a1") == F.col("a2")).alias("same"), "l1", "l2").agg(F.sum(F.col("v") * F.col("c1") * F.col("c2")).alias("v"))
+
+
+def orbital_energies(orbitals: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(id, orb, energy): c' F c of each orbital, by which energies inside its representation are shifted."""
+    left = orbitals.select("id", "orb", F.col("ao").alias("a"), F.col("c").alias("c1")).join(matrix, ["id", "a"])
+    met = left.join(orbitals.select("id", "orb", F.col("ao").alias("b"), F.col("c").alias("c2")), ["id", "orb", "b"])
+    return met.groupBy("id", "orb").agg(F.sum(F.col("v") * F.col("c1") * F.col("c2")).alias("energy"))
+
+
+def pseudo_orbitals(orbitals: DataFrame) -> DataFrame:
+    """(id, atom, parts): what all occupied orbitals have at one atom, as one pseudo-orbital in the order of orbitals; those of graphs
+    without any occupied one are kept as they are, a part each, with atom NULL."""
+    some = F.max(F.col("occupied").cast("int")).over(Window.partitionBy("id"))
+    rows = orbitals.withColumn("some", some).filter((F.col("some") == 0) | F.col("occupied"))
+    atom = F.when(F.col("some") == 1, F.col("atom"))
+    return rows.groupBy("id", atom.alias("atom")).agg(F.array_sort(F.collect_list(F.struct("orb", "ao", "c"))).alias("parts"))
+
+
 def populations(orbitals: DataFrame) -> DataFrame:
     """(id, l, share): squares of coefficients by angular momentum, normalised."""
     by_l = orbitals.groupBy("id", "l").agg(F.sum(F.col("c") * F.col("c")).alias("p"))

@@ -80,6 +80,43 @@ def best_candidates(visits: DataFrame, n: int) -> DataFrame:
     return states.orderBy("f", "key").limit(n)
 
 
+def states(visits: DataFrame) -> DataFrame:
+    """(key, f, first_step): each state's least value and the step at which any replica first met it."""
+    return visits.groupBy("key").agg(F.min("f").alias("f"), F.min("step").alias("first_step"))
+
+
+def best_before(visits: DataFrame, n: int, cut: int) -> DataFrame:
+    """The n best of the states that were met up to a step; NULLs don't count, ties go by key."""
+    met = states(visits).filter((F.col("first_step") <= cut) & F.col("f").isNotNull())
+    return met.orderBy("f", "key").limit(n)
+
+
+def first_acceptances(visits: DataFrame, accepted: Column) -> DataFrame:
+    """first_encounters of the steps that were accepted: (key, first_step, first_replica)."""
+    return first_encounters(visits.filter(accepted))
+
+
+def replica_count(visits: DataFrame) -> DataFrame:
+    """One row (replicas): one more than the greatest replica that visited anything."""
+    return visits.agg((F.coalesce(F.max("replica"), F.lit(-1)) + 1).alias("replicas"))
+
+
+def triggered(visits: DataFrame, every: int) -> DataFrame:
+    """The steps at which something that is due every so many steps happens."""
+    return visits.filter(F.col("step") % every == 0)
+
+
+def evaluations(visits: DataFrame) -> DataFrame:
+    """(key, calls, evaluated): how often a state's value was asked for, and the replicas that had to work it out once each."""
+    return visits.groupBy("key").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("replica").alias("evaluated"))
+
+
+def run_rows(log: DataFrame, *values: str) -> DataFrame:
+    """One row for each state of a run's log with all values known: (key, first_step, values at that step)."""
+    first = log.groupBy("key").agg(F.min(F.struct("step", "replica", *values)).alias("m"))
+    return first.select("key", F.col("m.step").alias("first_step"), *[F.col(f"m.{v}").alias(v) for v in values]).dropna(subset=list(values))
+
+
 def best_per_seed(visits: DataFrame) -> DataFrame:
     best = visits.filter(F.col("f").isNotNull()).groupBy("replica").agg(F.min(F.struct("f", "step", "key")).alias("m"))
     return best.select("replica", F.col("m.f").alias("f"), F.col("m.step").alias("step"), F.col("m.key").alias("key"))

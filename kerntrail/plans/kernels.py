@@ -40,6 +40,13 @@ def laplacian_kernel_dsigma(spark, sf_dir):
     return _kernel(spark, sf_dir, "laplacian", True)
 
 
+@query(f"WITH {PAIRS} SELECT i, j, round(exp(-d2 / 4.5) + CASE WHEN i = j THEN 0.25 ELSE 0 END, 6) AS k FROM p")
+def train_kernel(spark, sf_dir):
+    """The kernel matrix that a regression solves, with its ridge."""
+    v = vector_rows(spark, sf_dir)
+    return P.kernel_entries(v, "gaussian", SIGMA, blocks(v), ridge=0.25).select("i", "j", r6("k").alias("k"))
+
+
 @query(f"""WITH {VECTORS} SELECT a.id AS i, b.id AS j, round(exp(-pow(list_distance(a.x, b.x), 2) / 4.5), 6) AS k
 FROM v a JOIN v b ON a.label = 0 AND b.label <> 0""")
 def kernel_rect(spark, sf_dir):

@@ -157,7 +157,13 @@ def converged_runs(spark, sf_dir):
     return t.join(good, "replica", "left_semi").select("replica", "step", "key")
 
 
-@query()
+@query("""WITH p AS (SELECT o_custkey AS v, max(o_totalprice) AS top, min(o_totalprice) AS low FROM orders GROUP BY 1),
+s AS (SELECT a.v, a.top, a.low,
+  min((a.top - b.top) / (a.v - b.v)) FILTER (WHERE b.v < a.v) AS up_left, max((b.top - a.top) / (b.v - a.v)) FILTER (WHERE b.v > a.v) AS up_right,
+  max((a.low - b.low) / (a.v - b.v)) FILTER (WHERE b.v < a.v) AS low_left, min((b.low - a.low) / (b.v - a.v)) FILTER (WHERE b.v > a.v) AS low_right
+  FROM p a JOIN p b ON TRUE GROUP BY 1, 2, 3)
+SELECT top AS u, CAST(v AS DOUBLE) AS v FROM s WHERE up_left IS NULL OR up_right IS NULL OR up_left > up_right
+UNION SELECT low, CAST(v AS DOUBLE) FROM s WHERE low_left IS NULL OR low_right IS NULL OR low_left < low_right""")
 def convex_hull(spark, sf_dir):
     """Corners of the hull of orders by price and customer."""
     return R.convex_hull(load(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("u"), F.col("o_custkey").alias("v")))

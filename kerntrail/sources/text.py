@@ -61,6 +61,53 @@ def parse_xyz(text: Column) -> Column:
     return F.struct(n.alias("natoms"), F.get(lines, F.lit(1)).alias("comment"), atoms.alias("atoms"), F.slice(lines, F.coalesce(n, F.lit(0)) + 3, F.size(lines)).alias("rest"))
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*.xyz") -> DataFrame:
+    """(path) of a folder's files, in order; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path").orderBy("path")
+
+
+def line_token(molecule: Column, behind: int) -> Column:
+    """The first word of the line that stands `behind` lines behind the atoms of parse_xyz(...) (0: the next); NULL without one."""
+    return F.nullif(F.get(F.split(F.trim(F.get(molecule["rest"], F.lit(behind))), r"\s+"), F.lit(0)), F.lit(""))
+
+
+#: The places of quantities in a property line that starts with a mark and a number, both counted.
+PROPERTIES = {"A": 3, "B": 4, "C": 5, "mu": 6, "alpha": 7, "homo": 8, "lumo": 9, "gap": 10, "R2": 11, "zpve": 12, "U0": 13, "U": 14, "H": 15, "G": 16, "Cv": 17}
+
+
+def molecule_table(spark: SparkSession, path: str, energies: dict[str, float], mark: str = "gdb") -> DataFrame:
+    """xyz files with a property line -> a table: path, text (first representation behind the frequencies), the properties, atomisation
+    (U0 less the atoms' energies by symbol); of files with one representation the first in the order of paths stays."""
+    files = read_texts(spark, path).withColumn("m", parse_xyz(F.col("text")))
+    apart = F.aggregate("m.atoms", F.lit(0.0), lambda s, a: s + F.create_map(*[F.lit(x) for kv in energies.items() for x in kv])[a["symbol"]])
+    rows = files.select("path", line_token(F.col("m"), 1).alias("representation"), *property_line(F.col("text"), mark, PROPERTIES), apart.alias("apart"))
+    first = rows.groupBy("representation").agg(F.min("path").alias("path"))
+    one = rows.join(first, ["representation", "path"], "left_semi")
+    return one.select("path", "representation", *PROPERTIES, (F.col("U0") - F.col("apart")).alias("atomisation"))
+
+
+#: Angular momenta by the letter of a shell.
+MOMENTA = {"s": 0, "p": 1, "d": 2, "f": 3, "g": 4, "h": 5, "i": 6}
+
+
+def orbital_label(label: Column) -> Column:
+    """A label such as `0 C 2px` (or `0C 2px`) as struct<atom, shell, angular, orientation>."""
+    kind = F.regexp_extract(label, r"(\S+)\s*$", 1)
+    letter = F.regexp_extract(kind, r"^\d*([A-Za-z])", 1)
+    table = F.create_map(*[F.lit(x) for kv in MOMENTA.items() for x in kv])
+    return F.struct(
+        F.regexp_extract(label, r"^\s*(\d+)", 1).try_cast("int").alias("atom"), F.regexp_extract(kind, r"^(\d*[A-Za-z])", 1).alias("shell"),
+        table[F.lower(letter)].alias("angular"), F.regexp_extract(kind, r"^\d*[A-Za-z](.*)$", 1).alias("orientation"),
+    )
+
+
+def state_word(text: Column) -> Column:
+    """A word such as `C:6,V:4,H:2` as struct<charge, valence, hydrogens>; NULL for what is missing."""
+    part = lambda k: F.nullif(F.regexp_extract(text, rf"(?:^|,)\s*{k}:(\d+)", 1), F.lit("")).try_cast("int")
+    return F.struct(part("C").alias("charge"), part("V").alias("valence"), part("H").alias("hydrogens"))
+
+
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).select("path", parse_xyz(F.col("text")).alias("m")).select("path", "m.*")
 

@@ -70,7 +70,7 @@ def test_regression_is_exact_when_all_rows_are_landmarks(spark):
     assert all(abs(got[i] - (k[i] @ s[:-1] + s[-1])) < 1e-4 for i in range(40))
 
 
-def test_regression_on_all_rows_equals_numpy(spark):
+def test_regression_on_all_rows_equals_numpy(spark, tmp_path):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(1000, 5))
     y = np.column_stack([x[:, 0] + x[:, 1] ** 2, x[:, 2], 7 * x[:, 3]])
@@ -79,6 +79,9 @@ def test_regression_on_all_rows_equals_numpy(spark):
     rows = spark.createDataFrame(data, "id long, x array<double>, y array<double>")
     for options in ({"block": 400}, {"block": 2048, "scale": True}):
         got = {r.id: r.prediction for r in exact.predict(rows, exact.fit(rows, 1.5, 1e-2, **options)).collect()}
+        exact.save(exact.fit(rows, 1.5, 1e-2, **options), str(tmp_path / "model"))
+        again = {r.id: r.prediction for r in exact.predict(rows, exact.load(spark, str(tmp_path / "model"))).collect()}
+        assert all(np.allclose(got[i], again[i]) for i in got)
         k = pairs.kernel_block(x, x, "gaussian", 1.5)
         for q, own in ((0, gap | True), (1, ~gap), (2, gap | True)):
             c = np.linalg.solve(k[np.ix_(own, own)] + 1e-2 * np.eye(own.sum()), y[own, q] - y[own, q].mean())
@@ -128,6 +131,11 @@ def test_prune_nearest_equals_the_greedy_loop(spark):
             kept.discard(j)
     got = {r.id for r in selection.prune_nearest(vectors(spark, x), 0.7).collect() if r.kept}
     assert got == kept
+    few, order = set(range(50)), sorted((d[i, j], i, j) for i in range(50) for j in range(i + 1, 50) if d[i, j] <= 0.7)
+    for _, i, j in order:
+        if i in few and j in few and len(few) > 44:
+            few.discard(j)
+    assert {r.id for r in selection.prune_nearest(vectors(spark, x), 0.7, 44).collect() if r.kept} == few and len(kept) < 44
 
 
 def test_prune_nearest_without_pairs(spark):

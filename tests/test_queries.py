@@ -3,7 +3,7 @@
 import pytest
 from tablediff import rows_of
 
-from kerntrail.plans import kernels, molecules, records, runs  # noqa: F401
+from kerntrail.plans import kernels, molecules, records, runs, scalars, structures  # noqa: F401
 from kerntrail.plans.registry import QUERIES, SQL
 
 
