@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def visit_counts(visits: DataFrame) -> DataFrame:
     return visits.groupBy("key", "replica").agg(F.count(F.lit(1)).alias("visits"))
@@ -16,16 +18,15 @@ def first_encounters(visits: DataFrame) -> DataFrame:
     return first.select("key", F.col("m.step").alias("first_step"), F.col("m.replica").alias("first_replica"))
 
 
-def merged_histograms(*histograms: DataFrame) -> DataFrame:
-    """Histograms (key, replica, visits, steps) as one: visits added, step lists joined in order."""
-    both = histograms[0]
-    for other in histograms[1:]:
-        both = both.unionByName(other)
-    return both.groupBy("key", "replica").agg(F.sum("visits").alias("visits"), F.array_sort(F.flatten(F.collect_list("steps"))).alias("steps"))
-
+def merged_histograms(*histories: DataFrame) -> DataFrame:
+    """Histories (key, replica, step) as one: (key, replica, visits, first, last, step_sum).
 
-def histogram(visits: DataFrame) -> DataFrame:
-    return visits.groupBy("key", "replica").agg(F.count(F.lit(1)).alias("visits"), F.array_sort(F.collect_list("step")).alias("steps"))
+    Steps stay rows, so that a state with very many visits is never one list; sums start inside tasks.
+    """
+    both = histories[0]
+    for other in histories[1:]:
+        both = both.unionByName(other)
+    return both.groupBy("key", "replica").agg(F.count(F.lit(1)).alias("visits"), F.min("step").alias("first"), F.max("step").alias("last"), F.sum("step").alias("step_sum"))
 
 
 def bias(visits: DataFrame, coefficient: float) -> DataFrame:
@@ -125,11 +126,15 @@ def best_per_seed(visits: DataFrame) -> DataFrame:
 def spill_cut(states: DataFrame, portion: float) -> DataFrame:
     """states(key, last_used) -> those that are older than the cut: the first time of use up to which more than `portion` of all lie.
 
-    Times of use are counted first, so that only one row for each is ordered.
+    Times of use are counted first, then summed up by ranges, so that no task orders them all.
     """
     counts = states.groupBy("last_used").agg(F.count(F.lit(1)).alias("n"))
-    reach = counts.withColumn("reach", F.sum("n").over(Window.orderBy("last_used"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    cut = reach.filter(F.col("reach") > F.floor(F.col("total") * portion)).agg(F.min("last_used").alias("cut"))
+    ranged = staged(counts.repartitionByRange("last_used").withColumn("part", F.spark_partition_id()), "uses")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("own"))
+    parts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy()).alias("total"))  # a row for each task
+    reach = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("last_used"))
+    reached = ranged.join(F.broadcast(parts), "part").withColumn("reach", reach)
+    cut = reached.filter(F.col("reach") > F.floor(F.col("total") * portion)).agg(F.min("last_used").alias("cut"))
     return states.join(F.broadcast(cut), F.col("last_used") < F.col("cut")).drop("cut")
 
 

@@ -26,9 +26,7 @@ def first_encounter(spark, sf_dir):
 @query(f"""WITH {VISITS} SELECT key, replica, count(*) AS visits, CAST(list_sum(list_sort(list(step))) AS BIGINT) AS step_sum, min(step) AS first, max(step) AS last FROM t GROUP BY key, replica""")
 def merge_histograms(spark, sf_dir):
     t = visit_rows(spark, sf_dir)
-    merged = T.merged_histograms(T.histogram(t.filter("step % 2 = 0")), T.histogram(t.filter("step % 2 = 1")))
-    total = F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + x)
-    return merged.select("key", "replica", "visits", total.alias("step_sum"), F.element_at("steps", 1).alias("first"), F.element_at("steps", -1).alias("last"))
+    return T.merged_histograms(*[t.filter(f"step % 2 = {k}").select("key", "replica", "step") for k in (0, 1)])
 
 
 @query(f"WITH {VISITS} SELECT key, beta_class, round(0.25 * count(*), 6) AS bias FROM t GROUP BY key, beta_class")
