@@ -663,16 +663,15 @@ def test_toxicity_held_out_accuracy(spark):
 
 def test_toxicity_query_on_a_given_table(spark, data):
     """Fold, score and prediction of every document; few errors in the held-out fold of a table with labels enough."""
-    given = "/root/testdata/sf0.01"
+    given = "/root/testdata/sf0.1"
     found = registry.queries()["op10_toxicity"](spark, given).toPandas()
-    docs, labels = pd.read_parquet(f"{given}/documents.parquet"), pd.read_parquet(f"{given}/labels.parquet")
+    docs, labels = pd.read_parquet(f"{given}/documents.parquet", columns=["doc_id"]), pd.read_parquet(f"{given}/labels.parquet")
     assert sorted(found.doc_id) == sorted(docs.doc_id) and found.score.between(0, 1).all()
     assert (found.predicted == (found.score >= 0.5).astype(int)).all()
     assert (found.held_out == found.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
     held = found[found.held_out].merge(labels, on="doc_id")
-    assert len(held) > 50 and (held.predicted == held.toxic).mean() > 0.88
-    toxic = held[held.toxic == 1]
-    assert len(toxic) == 0 or (toxic.predicted == 1).mean() >= 0.7
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert len(toxic) > 50 and (toxic.predicted == 1).mean() > 0.85 and (clean.predicted == 0).mean() > 0.98
 
 
 def test_network_equals_plain_loops():
