@@ -67,7 +67,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each as many times as it has copies, with the columns of docs."""
+    """The documents of the mix: each as many times as it has copies, with the columns of docs, whatever their names.
+
+    Null texts have no words and are copied as their source's rate says; rows that share an id are copied alike; a source without words
+    has the rate 0, so its rows go; an empty table gives an empty one.
+    """
     mixed, names = mix(docs, **options)
     n = F.col(names["copies"]).cast("int")
     (copy,) = unused(mixed, "copy")

@@ -23,9 +23,8 @@ PLACE = 24
 HASHED, SORTED = 2 << 20, 1 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHOLE, ALONE, WITNESS = 0, 1, 2
-#: Segments of one key up to which a task classes them at once; beyond that equal ones are summed before they are shuffled.
-#: The second number is for longer grams, whose segments are shorter and more.
-ROWS, DEEP_ROWS = 1024, 1 << 16
+#: Segments of one key (40 bytes each) up to which a task classes them at once; beyond that they are settled in buckets.
+ROWS = 1 << 16
 #: Bytes of one key's different segments up to which they are compared in one suffix array; beyond that they meet by longer grams.
 HOT = 256 << 10
 
@@ -358,13 +357,13 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
     longer grams, which such places don't share unless they do repeat; the last grams are whole windows, that is, the
     suffixes are dealt out by the first LENGTH bytes, as the intervals of the suffix array that matter are.
     """
-    hot, first, deep = HOT if hot is None else hot, rows or ROWS, rows or DEEP_ROWS
+    hot, rows = HOT if hot is None else hot, ROWS if rows is None else rows
     cast = F.col("text").cast("binary")
     pieces = docs.select("row_key", F.lit(0).alias("start"), "text")
     found = None
     for gram in grams:
         column = "text" if gram == grams[0] else "content"
-        own = staged(marked(staged(pieces.mapInArrow(cut(gram, column), SEGMENT), "segments"), first if gram == grams[0] else deep), "marked")
+        own = staged(marked(staged(pieces.mapInArrow(cut(gram, column), SEGMENT), "segments"), rows), "marked")
         end = (F.col("start") + F.col("size")).cast("long")
         whole = own.filter(F.col("kind") == WHOLE).select("row_key", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(end).alias("span"))
         found = whole if found is None else found.unionAll(whole)

@@ -169,7 +169,6 @@ def test_repeats(spark, hot, most, monkeypatch):
     rows, docs = planted_repeats(spark)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "ROWS", most)
-    monkeypatch.setattr(repeats, "DEEP_ROWS", most)
     got = repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h")).collect()
     want = brute_repeats([(t or "").encode() for _, t in rows])
     key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
