@@ -98,6 +98,22 @@ def shuffled(atoms: DataFrame, bonds: DataFrame, seed: int) -> tuple[DataFrame,
     return new.select("graph", F.col("new").alias("atom"), "z"), ends.select("graph", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "order")
 
 
+def transferred_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(graph, atom, model, class): atoms' classes named by atoms of the first graph with the same key (the smallest of its own class)."""
+    colour = G.refined(atoms, bonds)
+    first = G.graph_keys(atoms, bonds).withColumn("model", F.min("graph").over(Window.partitionBy("key"))).select("graph", "model")
+    named = colour.join(first.filter("graph = model").select("graph"), "graph", "left_semi").groupBy(F.col("graph").alias("model"), "colour").agg(F.min("atom").alias("class"))
+    return colour.join(first, "graph").join(named, ["model", "colour"]).select("graph", "atom", "model", "class")
+
+
+def fragments(atoms: DataFrame, bonds: DataFrame, cut: DataFrame) -> DataFrame:
+    """(graph, atom, fragment, place): what is left of graphs without the bonds cut(graph, a, b); a fragment is named by its smallest
+    atom, and its atoms are numbered anew from 1."""
+    parts = G.components(atoms, bonds.join(cut, ["graph", "a", "b"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("graph", "component").orderBy("atom"))
+    return parts.select("graph", "atom", F.col("component").alias("fragment"), place.alias("place"))
+
+
 def pair_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(graph, class_a, class_b, d, pairs): ordered pairs of atoms by both classes (as equivalence() names them) and the bonds between them."""
     colour = G.refined(atoms, bonds)

@@ -49,3 +49,10 @@ def molecule_kernel(parts: DataFrame, sigma: float, blocks: int, width: float |
         ds = lambda p, q: p["rho"] * q["rho"] * part_kernel_slope(p["comps"], q["comps"], sigma)
         more = [F.aggregate("a", F.lit(0.0), lambda s, p: s + F.aggregate("b", F.lit(0.0), lambda t, q: t + ds(p, q))).alias("dk")]
     return symmetric_pairs(grouped, blocks).select("i", "j", total.alias("k"), *more)
+
+
+def global_gaussian(entries: DataFrame, width: float) -> DataFrame:
+    """(i, j, k) of molecule_kernel's entries: exp(-(1 - c) / width^2), where c is the entry normalised by both molecules' own."""
+    own = entries.filter("i = j").select(F.col("i").alias("id"), F.col("k").alias("own"))
+    both = entries.join(own.toDF("i", "ki"), "i").join(own.toDF("j", "kj"), "j")
+    return both.select("i", "j", F.exp(-(1 - F.col("k") / F.sqrt(F.col("ki") * F.col("kj"))) / (width * width)).alias("k"))

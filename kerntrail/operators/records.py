@@ -74,6 +74,21 @@ def levels(energies: Column, occupations: Column, threshold: float = 0.1) -> lis
     return [homo.alias("homo"), lumo.alias("lumo"), (lumo - homo).alias("gap")]
 
 
+def discovery_curve(rows: DataFrame, shuffles: int, bins: int) -> DataFrame:
+    """rows(id, key) -> (bin, found): how many keys the first bin / bins of the rows hold, on average over so many random orders.
+
+    In an order by numbers in [0, 1) that an MD5 of id and order gives, a key is found at the least number of its rows, so that no
+    order is ever sorted.
+    """
+    orders = F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("turn")
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "turn", F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    first = rows.select("id", "key", orders).select("key", "turn", number.alias("u")).groupBy("turn", "key").agg(F.min("u").alias("u"))
+    counts = first.groupBy((F.floor(F.col("u") * bins) + 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each bin
+    upto = F.sum("n").over(Window.orderBy("bin"))
+    return counts.select("bin", (upto / shuffles).alias("found"))
+
+
 def saturation(curve: DataFrame) -> DataFrame:
     """(a, b) of y = a x / (b + x) by least squares on 1/y over 1/x; curve(x, y), both above 0."""
     sums = curve.filter("x > 0 AND y > 0").select((1 / F.col("x")).alias("u"), (1 / F.col("y")).alias("v")).agg(F.regr_slope("v", "u").alias("slope"), F.regr_intercept("v", "u").alias("start"))

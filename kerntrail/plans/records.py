@@ -84,6 +84,15 @@ def discovery_saturation(spark, sf_dir):
     return R.saturation(curve).select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
+@query(f"""WITH {VISITS}, u AS (SELECT key, turn, CAST(CAST('0x' || substr(md5(turn || ':' || event_id), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS u FROM t, (SELECT unnest(range(1, 5)) AS turn)),
+f AS (SELECT turn, key, min(u) AS u FROM u GROUP BY turn, key), c AS (SELECT CAST(floor(u * 50) AS BIGINT) + 1 AS bin, count(*) AS n FROM f GROUP BY 1)
+SELECT bin, round(sum(n) OVER (ORDER BY bin) / 4, 6) AS found FROM c""")
+def discovery_curve(spark, sf_dir):
+    """States that parts of all visits hold, on average over four random orders."""
+    rows = visit_rows(spark, sf_dir).select(F.col("event_id").alias("id"), "key")
+    return R.discovery_curve(rows, 4, 50).select("bin", r6("found").alias("found"))
+
+
 def _chains(spark, sf_dir):
     c = F.transform(F.array_sort(F.collect_list(F.struct("atom", "z"))), lambda s: s["z"])
     return atom_rows(spark, sf_dir).groupBy("graph").agg(c.alias("chain"))

@@ -106,6 +106,21 @@ def atom_classes(spark, sf_dir):
     return G.equivalence(*_both(spark, sf_dir)).select("graph", "class", "members")
 
 
+@query(f"""WITH {ATOMS}{KEYS}, first AS (SELECT k.graph, k.n, mirrored, f, min(k.graph) OVER (PARTITION BY key) AS model FROM keys k JOIN texts t ON t.graph = k.graph),
+p AS (SELECT x.graph, x.model, x.n, x.mirrored, x.f = y.f AS straight FROM first x JOIN texts y ON y.graph = x.model),
+a AS (SELECT p.*, m.atom, CASE WHEN straight THEN m.atom ELSE n + 1 - m.atom END AS there FROM m JOIN p USING (graph))
+SELECT graph, atom, model, least(there, CASE WHEN mirrored THEN n + 1 - there ELSE there END) AS class FROM a""")
+def transferred_classes(spark, sf_dir):
+    return M.transferred_classes(*_both(spark, sf_dir))
+
+
+@query(f"WITH {ATOMS} SELECT graph, atom, 3 * ((atom - 1) // 3) + 1 AS fragment, (atom - 1) % 3 + 1 AS place FROM m")
+def cut_fragments(spark, sf_dir):
+    """Chains cut behind every third atom."""
+    atoms, bonds = _both(spark, sf_dir)
+    return M.fragments(atoms, bonds, bonds.filter("a % 3 = 0").select("graph", "a", "b"))
+
+
 @query(f"""WITH {ATOMS}{KEYS}, c AS (SELECT m.graph, m.atom, least(m.atom, CASE WHEN mirrored THEN n + 1 - m.atom ELSE m.atom END) AS class FROM m JOIN keys USING (graph))
 SELECT x.graph, x.class AS class_a, y.class AS class_b, CAST(abs(x.atom - y.atom) AS DOUBLE) AS d, count(*) AS pairs FROM c x JOIN c y ON x.graph = y.graph AND x.atom <> y.atom GROUP BY 1, 2, 3, 4""")
 def pair_classes(spark, sf_dir):
@@ -259,3 +274,12 @@ SELECT i, j, round(sum(w * exp(-d / 4)), 4) AS k, round(sum(w * exp(-d / 4) * d
 def orbital_kernel_dsigma(spark, sf_dir):
     parts = _parts(spark, sf_dir)
     return O.molecule_kernel(parts, 1.0, blocks(parts), slope=True).select("i", "j", F.round("k", 4).alias("k"), F.round("dk", 4).alias("dk"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS id, c_nationkey AS part, CAST(floor(c_acctbal / 2500) AS DOUBLE) AS level, CAST(count(*) AS DOUBLE) AS rho FROM customer GROUP BY 1, 2, 3),
+p AS (SELECT a.id AS i, b.id AS j, sum(a.rho * b.rho * exp(-(pow(a.level - b.level, 2) + pow(a.rho / 10 - b.rho / 10, 2)) / 4)) AS k FROM c a JOIN c b ON a.id <= b.id GROUP BY 1, 2)
+SELECT p.i, p.j, round(exp(-(1 - p.k / sqrt(x.k * y.k)) / 0.25), 6) AS k FROM p JOIN p x ON x.i = p.i AND x.j = p.i JOIN p y ON y.i = p.j AND y.j = p.j""")
+def orbital_global_gaussian(spark, sf_dir):
+    """The Gaussian, of width one half, of kernels normalised by molecules."""
+    parts = _parts(spark, sf_dir)
+    return O.global_gaussian(O.molecule_kernel(parts, 1.0, blocks(parts)), 0.5).select("i", "j", r6("k").alias("k"))
