@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import load
 
 WINDOW = 13
-#: Most nodes of one automaton (about 100 bytes each, with the windows' owners): a window has as many as words. Items beyond it go to further
-#: automata, which a task builds one at a time.
-NODES = 1_000_000
+#: Most nodes of one automaton (about 65 bytes each, with the windows' owners): a window has DIGITS for each word. Items beyond it go to
+#: further automata, which a task builds one at a time.
+NODES, DIGITS = 2_000_000, 3
 #: Bytes of rows that a task holds while each of several automata scans them in turn.
 BLOCK_BYTES = 64 << 20
 #: Every byte of a text: letters in lower case, digits and bytes of other scripts as they are, all else a space.
@@ -35,18 +35,25 @@ def windows(words: list[int], width: int) -> list[tuple[int, ...]]:
 
 
 class Scanner:
-    """The automaton over windows of items, (id as text or None, text). Its letters are numbers of the items' words; 0 is any other word."""
+    """The automaton over windows of items, (id as text or None, text).
+
+    Its letters are digits, to the base 32, of the numbers of the items' words: so a node has few ways on, however many words there
+    are. Each place of a number has letters of its own, so that windows are found where words begin alone; zeros are any other word.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
-        self.number: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set] = {}
         for key, text in items:
-            for window in windows([self.number.setdefault(w, len(self.number) + 1) for w in normal_words(text)], width):
+            for window in windows([number.setdefault(w, len(number)) for w in normal_words(text)], width):
                 owners.setdefault(window, set()).add(key)
+        self.digits = next(d for d in range(DIGITS, 13) if len(number) <= 32**d)
+        codes = ["".join(chr(32 * (p + 1) + (k >> 5 * p & 31)) for p in range(self.digits)) for k in range(len(number))]
+        self.code, self.other = dict(zip(number, codes, strict=True)), "\0" * self.digits
         self.values = [(len(window), frozenset(k for k in keys if k is not None)) for window, keys in owners.items()]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         for k, window in enumerate(owners):
-            self.automaton.add_word(window, k)
+            self.automaton.add_word("".join([codes[n] for n in window]), k)
         if owners:
             self.automaton.make_automaton()
 
@@ -54,8 +61,8 @@ class Scanner:
         """For each occurrence its first word, the word behind it and the window's number."""
         if not words or not self.values:
             return []
-        letters = tuple(map(self.number.get, words, repeat(0)))
-        return [(k + 1 - self.values[v][0], k + 1, v) for k, v in self.automaton.iter(letters)]
+        found = list(self.automaton.iter("".join(map(self.code.get, words, repeat(self.other)))))
+        return [((behind := end // self.digits + 1) - self.values[v][0], behind, v) for end, v in found]
 
 
 def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,12 +147,12 @@ def contains(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFram
 
 
 def item_chunks(items: DataFrame, width: int = WINDOW, nodes: int = NODES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in lists whose windows have at most `nodes` words together; an item beyond that is cut between windows.
+    """The items in lists whose windows take at most `nodes` nodes together; an item beyond that is cut between windows.
 
     Items are a test set: they pass the driver one at a time, and their chunks, not more than its text, go to all workers.
     """
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    most, held, size = max(1, nodes // width), [], 0
+    most, held, size = max(1, nodes // (width * DIGITS)), [], 0
     for key, text in rows.toLocalIterator():
         words = normal_words(text)
         for a in range(0, max(1, len(words) - width + 1), most):

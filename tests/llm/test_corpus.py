@@ -130,9 +130,9 @@ def test_several_automata_judge_rows_alone(spark, edge_docs, edge_rows, monkeypa
     more = [(5, "fi go al be co du en"), (None, "fi go"), (None, "q q q"), (None, "日本語のテキスト")]
     rows = [(r[0], r[1]) for r in edge_rows] + more
     docs = edge_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    monkeypatch.setattr(decontamination, "NODES", 26)
+    monkeypatch.setattr(decontamination, "NODES", 78)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-    chunks = list(decontamination.item_chunks(items, nodes=26))
+    chunks = list(decontamination.item_chunks(items, nodes=78))
     assert len(chunks) > 1 and all(sum(len(decontamination.windows(decontamination.normal_words(t), 13)) for _, t in c) <= 2 for c in chunks)
     judged = [(d, t, *brute_contamination(t, ITEMS)) for d, t in rows]
     got = decontamination.contains(docs, items).withColumn("n_hit", decontamination.hit_words(F.col("runs"))).collect()
