@@ -25,8 +25,9 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D
 WHOLE, ALONE, WITNESS = 0, 1, 2
 #: Segments of one key (40 bytes each) up to which a task classes them at once; beyond that they are settled in buckets.
 ROWS = 1 << 16
-#: Bytes of one key's different segments up to which they are compared in one suffix array; beyond that they meet by longer grams.
-HOT = 256 << 10
+#: Bytes of one key's different segments up to which they are compared in one suffix array (which takes about 60 times as much
+#: memory); beyond that they meet by longer grams, of which there are more the nearer these come to whole windows.
+HOT = 4 << 20
 
 
 def loads(text: np.ndarray, order: str, n: int) -> np.ndarray:
