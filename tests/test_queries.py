@@ -42,3 +42,11 @@ def test_entry_without_the_corpus_operators(tmp_path):
             (tmp_path / "kerntrail" / "llm" / "__pycache__").mkdir(parents=True)
         said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True).stdout.split()
         assert said == [str(len(QUERIES)), str(len(SQL)), "False"]
+
+
+def test_the_benchmark_names_registered_queries():
+    import __spark_entry__ as entry
+    import bench
+
+    known = {n for n in bench.HEADLINE if not (n == "pipeline" or n.startswith("op") and n[2].isdigit())}
+    assert known and known <= set(entry.queries())
