@@ -11,6 +11,7 @@ from .repeats import OP3_SQL, op3_repeats
 from .scoring import OP4_SQL, op4_scoring
 from .sharding import op7_sharding
 from .simhash import op9_simhash
+from .tokencount import op12_token_counts
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op10_toxicity
 
@@ -18,7 +19,7 @@ from .toxicity import op10_toxicity
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op1_packing, op2_decontamination, op3_repeats, op4_scoring, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash, op10_toxicity, op13_filter_audit]
+    found = [op1_packing, op2_decontamination, op3_repeats, op4_scoring, op5_topk, op6_language, op7_sharding, op8_mixing, op9_simhash, op10_toxicity, op12_token_counts, op13_filter_audit]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
