@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from .common import load, unused
@@ -382,7 +383,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     columns of docs with our names are kept, ours then start with "_". Nothing is shuffled.
     """
     n_bytes, n_tokens, over = unused(docs, "n_bytes", "n_tokens", "over_limit")
-    schema = docs.schema.add(n_tokens, "long", False)
+    schema = StructType([*docs.schema.fields, StructField(n_tokens, LongType(), False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
