@@ -115,31 +115,26 @@ def refined(atoms: DataFrame, bonds: DataFrame, most: int = WHOLE) -> DataFrame:
 
 
 def refined_by_joins(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """The same by a join of all graphs' bonds with their atoms' colours in each round."""
-    colour, edges = staged(atoms.select("graph", "atom", F.xxhash64("z").alias("colour")), "colours"), directed(bonds)
-    count = lambda c: c.agg(F.count_distinct("colour")).first()[0]
-    n = count(colour)
-    while True:
-        seen = edges.join(colour.withColumnRenamed("atom", "b"), ["graph", "b"]).groupBy("graph", F.col("a").alias("atom")).agg(F.array_sort(F.collect_list(F.xxhash64("order", "colour"))).alias("around"))
-        after = staged(colour.join(seen, ["graph", "atom"], "left").select("graph", "atom", F.xxhash64("colour", F.coalesce("around", F.array().cast("array<bigint>"))).alias("colour")), "colours")
-        before, n = n, count(after)
-        if n == before:
-            return after
-        colour = after
-
-
-def graph_keys(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(graph, key): equal for graphs that differ in numbering only.
-
-    The sorted refined colours, hashed: graphs that such refinement can't tell apart share a key too (some regular
-    graphs of equal size; no trees).
-    """
-    return refined(atoms, bonds).groupBy("graph").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("colour")).cast("array<string>"), ","), 256).alias("key"))
-
+    """The same by a join of all graphs' bonds with their atoms' colours in each round; a graph is left alone when its own colours no longer grow."""
+    edges = directed(bonds)
 
-def equivalence(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(graph, class, members): atoms of one refined colour; the class is named by its smallest atom."""
-    return refined(atoms, bonds).groupBy("graph", "colour").agg(F.min("atom").alias("class"), F.count(F.lit(1)).alias("members")).drop("colour")
+    def counted(colour: DataFrame, before: DataFrame | None) -> DataFrame:
+        n = colour.groupBy("graph").agg(F.count_distinct("colour").alias("n"))
+        if before is None:
+            return staged(n.withColumn("active", F.lit(True)), "kinds")
+        return staged(n.join(before.select("graph", F.col("n").alias("was"), F.col("active").alias("grew")), "graph").select("graph", "n", (F.col("grew") & (F.col("n") > F.col("was"))).alias("active")), "kinds")
+
+    colour = staged(atoms.select("graph", "atom", F.xxhash64("z").alias("colour")), "colours")
+    kinds = counted(colour, None)
+    while not kinds.filter("active").isEmpty():
+        going = kinds.filter("active").select("graph", F.lit(True).alias("going"))
+        seen = edges.join(going, "graph", "left_semi").join(colour.withColumnRenamed("atom", "b"), ["graph", "b"])
+        seen = seen.groupBy("graph", F.col("a").alias("atom")).agg(F.array_sort(F.collect_list(F.xxhash64("order", "colour"))).alias("around"))
+        after = F.xxhash64("colour", F.coalesce("around", F.array().cast("array<bigint>")))
+        joined = colour.join(going, "graph", "left").join(seen, ["graph", "atom"], "left")
+        colour = staged(joined.select("graph", "atom", F.when(F.col("going"), after).otherwise(F.col("colour")).alias("colour")), "colours")
+        kinds = counted(colour, kinds)
+    return colour
 
 
 def reached(g: dict[str, np.ndarray]) -> pa.Table:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from . import canonical as C
 from . import graphs as G
 
 
@@ -64,7 +65,7 @@ def hydrogenation(atoms: DataFrame, totals: DataFrame, hydrides: dict[int, float
 
 def unique(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """One graph for each key, the one with the least id, and how many share it: (graph, copies)."""
-    return G.graph_keys(atoms, bonds).groupBy("key").agg(F.min("graph").alias("graph"), F.count(F.lit(1)).alias("copies")).select("graph", "copies")
+    return C.graph_keys(atoms, bonds).groupBy("key").agg(F.min("graph").alias("graph"), F.count(F.lit(1)).alias("copies")).select("graph", "copies")
 
 
 def carbonised(atoms: DataFrame, bonds: DataFrame, target: int = 6) -> DataFrame:
@@ -80,7 +81,7 @@ def carbonised_unique(atoms: DataFrame, bonds: DataFrame, target: int = 6) -> Da
 
     The others' carbonised keys decide: an equal graph has an equal one too, so the first of each is enough.
     """
-    keys = G.graph_keys(atoms, bonds).join(G.graph_keys(carbonised(atoms, bonds, target), bonds).withColumnRenamed("key", "bare"), "graph")
+    keys = C.graph_keys(atoms, bonds).join(C.graph_keys(carbonised(atoms, bonds, target), bonds).withColumnRenamed("key", "bare"), "graph")
     pure = atoms.groupBy("graph").agg(F.bool_and(F.col("z") == target).alias("pure"))
     marked = keys.join(pure, "graph")
     first = marked.filter("pure").groupBy("key").agg(F.min("graph").alias("graph"))
@@ -100,10 +101,11 @@ def shuffled(atoms: DataFrame, bonds: DataFrame, seed: int) -> tuple[DataFrame,
 
 def transferred_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(graph, atom, model, class): atoms' classes named by atoms of the first graph with the same key (the smallest of its own class)."""
-    colour = G.refined(atoms, bonds)
-    first = G.graph_keys(atoms, bonds).withColumn("model", F.min("graph").over(Window.partitionBy("key"))).select("graph", "model")
-    named = colour.join(first.filter("graph = model").select("graph"), "graph", "left_semi").groupBy(F.col("graph").alias("model"), "colour").agg(F.min("atom").alias("class"))
-    return colour.join(first, "graph").join(named, ["model", "colour"]).select("graph", "atom", "model", "class")
+    own = C.labelled(atoms, bonds)
+    first = own.filter("place = 0").groupBy("key").agg(F.min("graph").alias("model"))
+    named = own.join(first, "key")
+    there = named.filter("graph = model").select("model", "place", F.col("orbit").alias("class"))
+    return named.select("graph", "atom", "model", "place").join(there, ["model", "place"]).select("graph", "atom", "model", "class")
 
 
 def fragments(atoms: DataFrame, bonds: DataFrame, cut: DataFrame) -> DataFrame:
@@ -115,9 +117,11 @@ def fragments(atoms: DataFrame, bonds: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def pair_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(graph, class_a, class_b, d, pairs): ordered pairs of atoms by both classes (as equivalence() names them) and the bonds between them."""
-    colour = G.refined(atoms, bonds)
-    named = colour.withColumn("class", F.min("atom").over(Window.partitionBy("graph", "colour"))).select("graph", "atom", "class")
+    """(graph, class_a, class_b, d, pairs): ordered pairs of atoms by both classes (as equivalence() names them) and the bonds between them.
+
+    canonical.pair_orbits() tells pairs apart as symmetries do, which is finer.
+    """
+    named = C.labelled(atoms, bonds).select("graph", "atom", F.col("orbit").alias("class"))
     paths = G.distances(atoms, bonds).filter("a <> b").select("graph", "a", "b", "d")
     both = paths.join(named.toDF("graph", "a", "class_a"), ["graph", "a"]).join(named.toDF("graph", "b", "class_b"), ["graph", "b"])
     return both.groupBy("graph", "class_a", "class_b", "d").agg(F.count(F.lit(1)).alias("pairs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import canonical as C
 from ..operators import graphs as G
 from ..operators import orbitals as O
 from ..sources import text as X
@@ -86,7 +87,7 @@ def graph_descriptor(spark, sf_dir):
 g AS (SELECT graph, least(f, r) AS k FROM k) SELECT graph, min(graph) OVER (PARTITION BY k) AS first_equal FROM g""")
 def graph_keys(spark, sf_dir):
     """The first graph with the same key: numbering from either end gives one key."""
-    keys = G.graph_keys(*_both(spark, sf_dir))
+    keys = C.graph_keys(*_both(spark, sf_dir))
     first = keys.groupBy("key").agg(F.min("graph").alias("first_equal"))
     return keys.join(first, "key").select("graph", "first_equal")
 

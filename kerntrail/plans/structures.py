@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..operators import canonical as C
 from ..operators import graphs as G
 from ..operators import molecules as M
 from ..operators import orbitals as O
@@ -96,14 +97,14 @@ def carbonised_dedup(spark, sf_dir):
 def shuffled_keys(spark, sf_dir):
     """Whether graphs keep their key when their atoms are renumbered."""
     atoms, bonds = _both(spark, sf_dir)
-    keys, others = G.graph_keys(atoms, bonds), G.graph_keys(*M.shuffled(atoms, bonds, 3))
+    keys, others = C.graph_keys(atoms, bonds), C.graph_keys(*M.shuffled(atoms, bonds, 3))
     return keys.join(others.withColumnRenamed("key", "other"), "graph").select("graph", (F.col("key") == F.col("other")).alias("same"))
 
 
 @query(f"""WITH {ATOMS}{KEYS} SELECT m.graph, least(m.atom, CASE WHEN mirrored THEN n + 1 - m.atom ELSE m.atom END) AS class, count(*) AS members FROM m JOIN keys USING (graph) GROUP BY 1, 2""")
 def atom_classes(spark, sf_dir):
     """Atoms that a renumbering maps to each other: of a chain that reads the same from its other end, mirror images."""
-    return G.equivalence(*_both(spark, sf_dir)).select("graph", "class", "members")
+    return C.equivalence(*_both(spark, sf_dir)).select("graph", "class", "members")
 
 
 @query(f"""WITH {ATOMS}{KEYS}, first AS (SELECT k.graph, k.n, mirrored, f, min(k.graph) OVER (PARTITION BY key) AS model FROM keys k JOIN texts t ON t.graph = k.graph),
@@ -114,6 +115,22 @@ def transferred_classes(spark, sf_dir):
     return M.transferred_classes(*_both(spark, sf_dir))
 
 
+@query(f"""WITH {ATOMS}, c AS (SELECT graph, list(z ORDER BY atom) AS z, count(*) AS n FROM m GROUP BY graph HAVING count(*) >= 3),
+o AS (SELECT *, list_transform(range(1, n + 1), lambda k: CASE WHEN k < n AND z[k] = 7 AND z[k + 1] = 7 THEN 2 ELSE 1 END) AS o FROM c),
+r AS (SELECT graph, n, i + 1 AS atom, array_to_string(list_transform(range(0, n), lambda j: z[(i + j) % n + 1] || ':' || o[(i + j) % n + 1]), ' ') AS f,
+  array_to_string(list_transform(range(0, n), lambda j: z[(i - j + n) % n + 1] || ':' || o[(i - j - 1 + 2 * n) % n + 1]), ' ') AS b FROM (SELECT *, unnest(range(0, n)) AS i FROM o)),
+k AS (SELECT graph, min(least(f, b)) AS key FROM r GROUP BY graph)
+SELECT r.graph, CAST(atom AS INTEGER) AS atom, CAST(min(atom) OVER (PARTITION BY r.graph, least(f, b)) AS INTEGER) AS orbit, min(r.graph) OVER (PARTITION BY key) AS first_equal FROM r JOIN k USING (graph)""")
+def ring_classes(spark, sf_dir):
+    """The chains of three atoms or more, closed to rings: atoms' symmetry classes, and the first ring that is the same but for numbering."""
+    atoms, bonds = _both(spark, sf_dir)
+    ends = atoms.groupBy("graph").agg(F.min("atom").alias("a"), F.max("atom").alias("b")).filter("b > 2")
+    closed = bonds.unionByName(ends.withColumn("order", F.lit(1)))
+    found = C.labelled(atoms.join(ends, "graph", "left_semi"), closed.join(ends, "graph", "left_semi"))
+    first = found.filter("place = 0").groupBy("key").agg(F.min("graph").alias("first_equal"))
+    return found.join(first, "key").select("graph", "atom", "orbit", "first_equal")
+
+
 @query(f"WITH {ATOMS} SELECT graph, atom, 3 * ((atom - 1) // 3) + 1 AS fragment, (atom - 1) % 3 + 1 AS place FROM m")
 def cut_fragments(spark, sf_dir):
     """Chains cut behind every third atom."""
@@ -127,6 +144,14 @@ def pair_classes(spark, sf_dir):
     return M.pair_classes(*_both(spark, sf_dir))
 
 
+@query(f"""WITH {ATOMS}{KEYS}, p AS (SELECT x.graph, x.atom AS a, y.atom AS b, CASE WHEN mirrored THEN n + 1 - x.atom ELSE x.atom END AS c, CASE WHEN mirrored THEN n + 1 - y.atom ELSE y.atom END AS d
+  FROM m x JOIN m y USING (graph) JOIN keys ON keys.graph = x.graph)
+SELECT graph, a, b, CAST(least(a, c) AS INTEGER) AS orbit_a, CAST(CASE WHEN a < c THEN b WHEN a > c THEN d ELSE least(b, d) END AS INTEGER) AS orbit_b FROM p""")
+def pair_orbits(spark, sf_dir):
+    """Ordered pairs of atoms that a symmetry maps to each other: of a chain that reads the same from its other end, mirror images."""
+    return C.pair_orbits(*_both(spark, sf_dir))
+
+
 @query(f"""WITH {ATOMS}{FILLED}, e AS (SELECT graph, atom, CASE WHEN neighbours + coalesce(hydrogens, 0) + coalesce(CASE z WHEN 6 THEN 0 WHEN 7 THEN 1 ELSE 2 END + 0 * valence, 0) > 3 THEN 1 ELSE 0 END AS bad FROM h),
 s AS (SELECT *, sum(bad) OVER (PARTITION BY graph ORDER BY atom) AS upto FROM e)
 SELECT x.graph, x.atom AS a, y.atom AS b, CAST(y.atom - x.atom AS DOUBLE) AS d FROM s x JOIN s y ON x.graph = y.graph AND x.atom <= y.atom AND (x.atom = y.atom OR y.upto - x.upto + x.bad = 0)""")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerntrail.functions import vectors as V
-from kerntrail.operators import exact, graphs, pairs, ridge, selection, trajectories, weights
+from kerntrail.operators import canonical, exact, graphs, pairs, ridge, selection, trajectories, weights
 from kerntrail.sources import text as X
 from kerntrail.streaming import visits
 
@@ -194,10 +194,10 @@ def ring(spark, n, order):
 
 
 def test_graph_keys_ignore_numbering(spark):
-    keys = {graphs.graph_keys(*ring(spark, 6, order)).first().key for order in ([1, 2, 3, 4, 5, 6], [4, 1, 6, 2, 5, 3])}
+    keys = {canonical.graph_keys(*ring(spark, 6, order)).first().key for order in ([1, 2, 3, 4, 5, 6], [4, 1, 6, 2, 5, 3])}
     assert len(keys) == 1
     chain = spark.createDataFrame([(0, k, k + 1, 1) for k in range(1, 6)], "graph long, a int, b int, `order` int")
-    assert graphs.graph_keys(ring(spark, 6, [1, 2, 3, 4, 5, 6])[0], chain).first().key not in keys
+    assert canonical.graph_keys(ring(spark, 6, [1, 2, 3, 4, 5, 6])[0], chain).first().key not in keys
 
 
 def test_distances_and_components_of_a_ring_and_a_lone_atom(spark):
@@ -305,9 +305,9 @@ def test_long_chains_are_whole(spark, monkeypatch):
     chains = {1: [6] * 8 + [7] + [6] * 14, 2: [6] * 11 + [7] + [6] * 11, 3: [6] * 14 + [7] + [6] * 8}
     atoms = spark.createDataFrame([(g, k + 1, z) for g, c in chains.items() for k, z in enumerate(c)], "graph long, atom int, z int")
     bonds = spark.createDataFrame([(g, k, k + 1, 1) for g, c in chains.items() for k in range(1, len(c))], "graph long, a int, b int, order int")
-    key = {r.graph: r.key for r in graphs.graph_keys(atoms, bonds).collect()}
+    key = {r.graph: r.key for r in canonical.graph_keys(atoms, bonds).collect()}
     assert key[1] == key[3] != key[2]
-    classes = [r.members for r in graphs.equivalence(atoms, bonds).filter("graph < 3").orderBy("graph", "class").collect()]
+    classes = [r.members for r in canonical.equivalence(atoms, bonds).filter("graph < 3").orderBy("graph", "class").collect()]
     assert classes == [1] * 23 + [2] * 11 + [1]
     monkeypatch.setattr(molecules, "_both", lambda *_: (atoms, bonds))
     for r in registry.QUERIES["graph_descriptor"](spark, "").collect():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kerntrail.functions import scalars as S
 from kerntrail.functions import vectors as V
-from kerntrail.operators import exact, graphs, molecules, pairs, records, search, selection, trajectories
+from kerntrail.operators import canonical, exact, graphs, molecules, pairs, records, search, selection, trajectories
 from kerntrail.operators import orbitals as O
 from kerntrail.sources import text as X
 
@@ -95,9 +95,9 @@ def test_unique_carbonised_and_shuffled_graphs(spark):
     assert {r.graph: r.copies for r in molecules.unique(atoms, bonds).collect()} == {1: 2, 2: 1, 4: 2, 6: 1, 7: 1, 8: 1}
     # 6 is like a chain of two carbons; of those like four only the first stays
     assert {r.graph: r.tier for r in molecules.carbonised_unique(atoms, bonds).collect()} == {1: 0, 2: 0, 4: 1}
-    keys = {r.graph: r.key for r in graphs.graph_keys(atoms, bonds).collect()}
+    keys = {r.graph: r.key for r in canonical.graph_keys(atoms, bonds).collect()}
     other = molecules.shuffled(atoms, bonds, 7)
-    assert keys == {r.graph: r.key for r in graphs.graph_keys(*other).collect()}
+    assert keys == {r.graph: r.key for r in canonical.graph_keys(*other).collect()}
     assert other[0].join(atoms, ["graph", "atom", "z"], "left_anti").count() > 0
 
 
