@@ -114,26 +114,43 @@ def reshard(docs: DataFrame, shards: int = 40, old_shards: int = 32, blocks: int
 
     The old layout is `old` (0 to old_shards - 1), or else a hash of the text. An old shard consists of `blocks` blocks by
     a hash of the text, so that equal texts move together; a block above a quarter of a new shard is cut into pieces by
-    a hash of the id. Only block sizes reach the driver, at most old_shards x blocks rows and 64 pieces for each new shard.
-    Capacities are equal to a byte. Null texts have 16 bytes; repeated rows get slots of their own; an empty
-    table gives an empty one; clashing columns of docs are kept, ours then start with "_".
+    another hash of the text, and a piece above a new shard by its texts. Only a text whose copies in an old shard alone exceed a new
+    shard is cut by a hash of the id. Sizes of blocks reach the driver, at most old_shards x blocks rows, those of at most 65 pieces for each
+    new shard, and of the texts of pieces above a new shard, which are fewer than the shards. Capacities are equal to a byte. Null
+    texts have 16 bytes; repeated rows get slots of their own; an empty table gives an empty one; clashing columns of docs
+    are kept, ours then start with "_".
     """
     spark = docs.sparkSession
-    size, was, block, piece, pieces, shard, slot, first, digest = unused(docs, "size", "old_shard", "block", "piece", "pieces", "shard", "slot", "first_slot", "digest")
+    size, was, block, piece, pieces, shard, slot, first, digest, base, parts_of = unused(docs, "size", "old_shard", "block", "piece", "pieces", "shard", "slot", "first_slot", "digest", "base", "parts_of")
     h = F.col(digest)
     cut = docs.withColumn(digest, F.xxhash64(F.col("text"))).withColumn(size, size_of(F.col("text"))).withColumn(was, (F.pmod(h, F.lit(old_shards)) if old is None else old).cast("int")).withColumn(block, F.pmod(F.shiftright(h, 12), F.lit(blocks)).cast("int"))
     totals = [F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")]
-    whole = cut.groupBy(F.col(was).alias("old"), F.col(block).alias("block")).agg(*totals).toPandas()
+    by = [F.col(was).alias("old"), F.col(block).alias("block")]
+    whole = cut.groupBy(*by).agg(*totals).toPandas()
     total = int(whole["bytes"].sum())
     room = [(total * (j + 1)) // shards - (total * j) // shards for j in range(shards)]
     hot = whole[whole["bytes"] * 4 * shards > total] if len(whole) else whole
     split = pd.DataFrame({"o": hot["old"], "b": hot["block"], "n": (hot["bytes"] * 64 * shards) // max(total, 1) + 1}).astype("int32")
     cuts = spark.createDataFrame(split, f"o int, b int, `{pieces}` int")
     cut = cut.join(F.broadcast(cuts), (F.col(was) == F.col("o")) & (F.col(block) == F.col("b")), "left").drop("o", "b")
-    cut = cut.withColumn(piece, F.when(F.col(pieces).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col(pieces)).cast("int")))
+    cut = cut.withColumn(piece, F.when(F.col(pieces).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(digest, F.lit("piece")), F.col(pieces)).cast("int")))
     parts = whole.assign(piece=0)
     if len(hot):
-        small = cut.filter(F.col(pieces).isNotNull()).groupBy(F.col(was).alias("old"), F.col(block).alias("block"), F.col(piece).alias("piece")).agg(*totals).toPandas()
+        counted = lambda rows, *more: rows.groupBy(*by, F.col(piece).alias("piece"), *more).agg(*totals).toPandas()
+        small = counted(cut.filter(F.col(pieces).isNotNull()))
+        over = small[small["bytes"] * shards > total]
+        if len(over):
+            # the texts of such a piece become pieces of their own; what alone exceeds a shard, several by the id
+            heavy = spark.createDataFrame(over[["old", "block", "piece"]].astype("int32"), "o int, b int, p int")
+            there = (F.col(was) == F.col("o")) & (F.col(block) == F.col("b")) & (F.col(piece) == F.col("p"))
+            texts = counted(cut.join(F.broadcast(heavy), there, "left_semi"), F.col(digest).alias("digest")).sort_values(["old", "block", "piece", "digest"], ignore_index=True)
+            texts["k"] = ((texts["bytes"] * shards > total) * (texts["bytes"] * 64 * shards // total)).clip(lower=1)
+            texts["base"] = (1 << 20) + texts["k"].cumsum() - texts["k"]
+            own = spark.createDataFrame(texts[["old", "digest", "base", "k"]].astype("int64"), f"o long, d long, `{base}` long, `{parts_of}` long")
+            cut = cut.join(F.broadcast(own), (F.col(was) == F.col("o")) & (h == F.col("d")), "left").drop("o", "d")
+            inner = F.col(base) + F.pmod(F.xxhash64("doc_id"), F.col(parts_of))
+            cut = cut.withColumn(piece, F.coalesce(inner.cast("int"), F.col(piece))).drop(base, parts_of)
+            small = counted(cut.join(F.broadcast(cuts.drop(pieces)), (F.col(was) == F.col("o")) & (F.col(block) == F.col("b")), "left_semi"))
         parts = pd.concat([parts.drop(hot.index), small], ignore_index=True)
     plan = assign(parts, room, old_shards)[["old", "block", "piece", "shard", "first_slot"]].astype("int64")
     put = spark.createDataFrame(plan, f"o int, b int, p int, `{shard}` int, `{first}` long")
