@@ -361,6 +361,7 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
     hot, rows = HOT if hot is None else hot, ROWS if rows is None else rows
     cast = F.col("text").cast("binary")
     pieces = docs.select("row_key", F.lit(0).alias("start"), "text")
+    once = docs.dropDuplicates(["row_key"])  # a repeated row's bytes are looked at once, first inside tasks
     found = None
     for gram in grams:
         column = "text" if gram == grams[0] else "content"
@@ -374,11 +375,11 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
         common = staged(asked.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
         raw = F.substring(cast, F.col("start") + 1, F.col("size")).alias("content")
         more = common.limit(1).count() > 0
-        cold = (asked.join(common, "key", "left_anti") if more else asked).join(docs, "row_key").select("key", "row_key", "start", "kind", raw)
+        cold = (asked.join(common, "key", "left_anti") if more else asked).join(once, "row_key").select("key", "row_key", "start", "kind", raw)
         found = found.unionAll(cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "row_key long, span long"))
         if not more:
             break
-        pieces = asked.join(common, "key", "left_semi").join(docs, "row_key").select("row_key", "start", raw)
+        pieces = asked.join(common, "key", "left_semi").join(once, "row_key").select("row_key", "start", raw)
     return found
 
 
