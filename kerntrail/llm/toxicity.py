@@ -23,8 +23,8 @@ EPOCHS, BATCH, RATE, ACC = 6, 32, 0.08, 1e-3
 CHUNK = 60_000
 #: Bins of a logit's unit in which labelled rows are counted for thresholds; logits beyond LOGITS count as that.
 BINS, LOGITS = 256, 64
-#: Labelled rows of either label that a language needs for a threshold of its own.
-LEAST = 10
+#: Labelled rows of a language's rarer label at which its threshold stands midway between its own best one and the common one.
+MIDWAY = 10
 
 
 class Numbers(dict):
@@ -91,8 +91,35 @@ class Network:
             pooled.append(np.maximum.reduceat(z, cut, axis=0)[::2])
         return np.maximum(np.hstack(pooled), 0) @ self.v + self.c
 
+    def gradients(self, x: np.ndarray, at: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple:
+        """Of the weighted mean of texts' logistic losses, by embeddings x, filters, their biases, the output's weights and its bias.
+
+        at: the words of texts one after the other; sizes: how many each has. Only the positions of maxima get gradients.
+        """
+        starts = np.cumsum(sizes) - sizes
+        pooled, where = [], []
+        for w, z in zip(WIDTHS, self.filtered(x, at), strict=True):
+            best = np.stack([s + z[s : s + n - w + 1].argmax(axis=0) for s, n in zip(starts, sizes, strict=True)])
+            where.append(best)
+            pooled.append(np.take_along_axis(z, best, 0))
+        hidden = np.maximum(np.hstack(pooled), 0)
+        p = 1 / (1 + np.exp(-(hidden @ self.v + self.c)))
+        d = (p - labels) * weight / len(labels)
+        back = d[:, None] * self.v * (hidden > 0)
+        dx, dw, db = np.zeros_like(x), [], []
+        for i, best in enumerate(where):
+            g = back[:, i * FILTERS : (i + 1) * FILTERS]
+            own_dw = np.zeros_like(self.w[i])
+            for o in range(WIDTHS[i]):
+                own = at[best + o]  # texts x filters
+                own_dw[o] = np.einsum("tf,tfd->df", g, x[own])
+                np.add.at(dx, own.ravel(), (g[:, :, None] * self.w[i][o].T[None]).reshape(-1, DIM))
+            dw.append(own_dw)
+            db.append(g.sum(axis=0))
+        return dx, dw, db, hidden.T @ d, d.sum(keepdims=True)
+
     def train(self, texts: list[str], labels: np.ndarray, seed: int = 11) -> None:
-        """Adagrad on the logistic loss, both labels weighing the same; only the positions of maxima get gradients."""
+        """Adagrad on the logistic loss, both labels weighing the same."""
         rng, seen = np.random.default_rng(seed), Numbers()
         docs = [ids_of([t], seen)[0] for t in texts]
         table = buckets(list(seen))
@@ -112,28 +139,12 @@ class Network:
                 words, at = np.unique(np.concatenate([docs[i] for i in batch]), return_inverse=True)
                 x = self.e[table[words]].sum(axis=1)
                 sizes = np.array([len(docs[i]) for i in batch])
-                starts = np.cumsum(sizes) - sizes
-                pooled, where = [], []
-                for w, z in zip(WIDTHS, self.filtered(x, at), strict=True):
-                    best = np.stack([s + z[s : s + n - w + 1].argmax(axis=0) for s, n in zip(starts, sizes, strict=True)])
-                    where.append(best)
-                    pooled.append(np.take_along_axis(z, best, 0))
-                hidden = np.maximum(np.hstack(pooled), 0)
-                p = 1 / (1 + np.exp(-(hidden @ self.v + self.c)))
-                d = (p - labels[batch]) * weight[batch] / len(batch)
-                back = d[:, None] * self.v * (hidden > 0)
-                dx = np.zeros_like(x)
-                for i, best in enumerate(where):
-                    g = back[:, i * FILTERS : (i + 1) * FILTERS]
-                    dw = np.zeros_like(self.w[i])
-                    for o in range(WIDTHS[i]):
-                        own = at[best + o]  # texts x filters
-                        dw[o] = np.einsum("tf,tfd->df", g, x[own])
-                        np.add.at(dx, own.ravel(), (g[:, :, None] * self.w[i][o].T[None]).reshape(-1, DIM))
-                    step(1 + i, dw)
-                    step(1 + len(WIDTHS) + i, g.sum(axis=0))
-                step(len(params) - 2, hidden.T @ d)
-                step(len(params) - 1, d.sum(keepdims=True))
+                dx, dw, db, dv, dc = self.gradients(x, at, sizes, labels[batch], weight[batch])
+                for i in range(len(WIDTHS)):
+                    step(1 + i, dw[i])
+                    step(1 + len(WIDTHS) + i, db[i])
+                step(len(params) - 2, dv)
+                step(len(params) - 1, dc)
                 used = np.flatnonzero(np.abs(dx).any(axis=1))
                 rows, inverse = np.unique(table[words[used]].ravel(), return_inverse=True)
                 grad = np.zeros((len(rows), DIM), np.float32)
@@ -201,8 +212,8 @@ def calibrated(model: dict, found: DataFrame, known: DataFrame) -> dict:
     """The model with thresholds by language, from logits(...) of all labelled rows that the network wasn't trained on.
 
     Rows are counted by language, bin and label in Spark, so that no row is left out; a clean row counts `clean` times, since
-    training takes other shares of the labels. A language with under LEAST rows of either label takes the common threshold.
-    Where one label has no row that is left, all rows count.
+    training takes other shares of the labels. A language's threshold is drawn towards the common one, the more the fewer rows of its
+    rarer label there are: wholly without any, halfway with MIDWAY. Where one label has no row that is left, all rows count.
     """
     if "constant" in model:
         return model
@@ -221,7 +232,12 @@ def calibrated(model: dict, found: DataFrame, known: DataFrame) -> dict:
         return best_threshold(bins, toxic, clean * others)
 
     own = {lang: counts(some) for lang, some in left.groupby("lang")}
-    return model | {"common": level(*counts(left)), "thresholds": {k: level(*x) for k, x in own.items() if min(x[1].sum(), x[2].sum()) >= LEAST}}
+    common, thresholds = level(*counts(left)), {}
+    for lang, x in own.items():
+        rarer = min(x[1].sum(), x[2].sum())
+        if rarer:
+            thresholds[lang] = float(common + (level(*x) - common) * rarer / (rarer + MIDWAY))
+    return model | {"common": common, "thresholds": thresholds}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: dict[int, int] | None = None) -> dict:
