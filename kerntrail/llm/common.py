@@ -10,6 +10,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of words and chunks up to which memos keep them, so that a memo bounded in entries is bounded in bytes.
+REMEMBERED = 64
 #: Java pattern of a word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

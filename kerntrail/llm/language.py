@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, load, staged
+from .common import REMEMBERED, fold, load, staged
 
 #: Rows for each language that the classifier is fitted on (expected; a hash of the id draws them), and how many of its most
 #: frequent words and n-grams it keeps of each language's sample.
@@ -87,7 +87,9 @@ class Memo(dict):
         self.owner = owner
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = row = self.owner.unseen(word)
+        row = self.owner.unseen(word)
+        if len(word) <= REMEMBERED:
+            self[word] = row
         return row
 
 
@@ -129,7 +131,8 @@ class Predictor:
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not LETTER.search(text):
             return UNDETERMINED, 0.0
-        total = self.of(letters(text)).sum(axis=0, dtype=np.float64)
+        words = letters(text)
+        total = sum(self.of(words[k : k + self.MEMO]).sum(axis=0, dtype=np.float64) for k in range(0, max(1, len(words)), self.MEMO))
         best = int(total.argmax())  # a tie goes to the first language
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 

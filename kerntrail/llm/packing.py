@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import REMEMBERED, load
 
 CONTEXT = 2048
 #: Tokens that are packed together: a task packs its documents in blocks of about so many.
@@ -41,12 +41,13 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.own.encode_ordinary(chunk), "<u2").tobytes()
-        self[chunk] = ids
+        if len(chunk) <= REMEMBERED:
+            if len(self) >= self.MEMO:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if len(self) > self.MEMO:
-            self.clear()
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
     def decode(self, ids) -> str:

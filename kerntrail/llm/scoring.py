@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_SQL, fold, load, new_folder
+from .common import FOLD_SQL, REMEMBERED, fold, load, new_folder
 
 #: Bytes of text for each shard of the model, and tokens that a task counts or scores at once.
 SHARD_BYTES = 24 << 20
@@ -31,9 +31,11 @@ class Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            if len(self) >= 1_000_000:
+                self.clear()
+            self[word] = value
         return value
 
 
