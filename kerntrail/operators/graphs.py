@@ -27,8 +27,8 @@ def split(atoms: DataFrame, bonds: DataFrame, most: int = WHOLE) -> tuple[tuple[
     return tuple(x.join(greater, "graph", "left_anti") for x in (atoms, bonds)), tuple(x.join(greater, "graph", "left_semi") for x in (atoms, bonds))
 
 
-def per_graph(atoms: DataFrame, bonds: DataFrame, work: Callable[[dict[str, np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """work(...) of many whole graphs at a time. It gets arrays: graph and size by graph; start: its first atom's place; atom and z by atom;
+def per_graph(atoms: DataFrame, bonds: DataFrame, work: Callable[[dict[str, np.ndarray]], pa.Table | Iterator[pa.Table]], schema: str) -> DataFrame:
+    """work(...) of many whole graphs at a time, a table or several one after the other. It gets arrays: graph and size by graph; start: its first atom's place; atom and z by atom;
     of, a, b, order by bond (its graph's number, places of its atoms, its order)."""
     lists = atoms.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("atom", "z"))).alias("atoms"))
     edges = bonds.groupBy("graph").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("order").cast("double").alias("order"))).alias("bonds"))
@@ -38,7 +38,9 @@ def per_graph(atoms: DataFrame, bonds: DataFrame, work: Callable[[dict[str, np.n
             cells = np.cumsum(np.diff(batch["atoms"].offsets.to_numpy()).astype(np.int64) ** 2)
             cuts = np.unique(np.searchsorted(cells, np.arange(0, cells[-1] if len(cells) else 0, CELLS)))
             for k, m in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                yield from work(arrays(batch.slice(k, m - k))).to_batches()
+                found = work(arrays(batch.slice(k, m - k)))
+                for table in (found,) if isinstance(found, pa.Table) else found:
+                    yield from table.to_batches()
 
     return lists.join(edges, "graph", "left").select("graph", "atoms", F.coalesce("bonds", F.array().cast("array<struct<a:int,b:int,order:double>>")).alias("bonds")).mapInArrow(run, schema)
 
@@ -263,7 +265,11 @@ def averaged_bonds(structures: DataFrame, lengths: dict[int, float]) -> DataFram
 
     Orders are means over structures; lengths are interpolated between those of the whole orders around them.
     """
-    mean = structures.groupBy("graph", "a", "b").agg(F.avg("order").alias("order"))
+    return interpolated(structures.groupBy("graph", "a", "b").agg(F.avg("order").alias("order")), lengths)
+
+
+def interpolated(mean: DataFrame, lengths: dict[int, float]) -> DataFrame:
+    """mean(graph, a, b, order) with the length of each bond, interpolated between those of the whole orders around its own."""
     low, high = F.floor("order").cast("int"), F.ceil("order").cast("int")
     at = lambda k: V.lookup(lengths, k)
     return mean.withColumn("length", at(low) + (F.col("order") - low) * (at(high) - at(low)))

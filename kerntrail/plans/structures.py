@@ -12,6 +12,7 @@ from ..operators import graphs as G
 from ..operators import molecules as M
 from ..operators import orbitals as O
 from ..operators import records as R
+from ..operators import resonance as Z
 from .molecules import _both, _parts
 from .registry import blocks, query, r6
 from .tables import ATOMS, atom_rows, bond_rows, load
@@ -253,6 +254,40 @@ def stacked_coordinates(spark, sf_dir):
     return stacked.select("graph", F.size("x").cast("long").alias("rows"), part(0).alias("x"), part(1).alias("y"))
 
 
+CONJUGATED = """, r AS (SELECT graph, atom, z, count(*) OVER (PARTITION BY graph) AS n, max(CASE WHEN z = 8 THEN atom END) OVER (PARTITION BY graph) AS final,
+  max(CASE WHEN z = 8 THEN atom END) OVER (PARTITION BY graph ORDER BY atom ROWS UNBOUNDED PRECEDING) AS before FROM m),
+d AS (SELECT graph, atom, z, n, final IS NULL AS whole, atom - coalesce(before, final - n) AS d FROM r WHERE n >= 3),
+x AS (SELECT d.*, nxt.z AS z2, nxt.d AS d2 FROM d JOIN d nxt ON nxt.graph = d.graph AND nxt.atom = d.atom % d.n + 1),
+valid AS (SELECT graph, CASE WHEN bool_or(whole) THEN bool_and(n % 2 = 0) ELSE bool_and(z2 <> 8 OR d % 2 = 0) END AS valid FROM x GROUP BY graph)"""
+
+
+def _conjugated(spark, sf_dir):
+    """The chains of three atoms or more, closed to rings: carbons have one hydrogen, so they and nitrogens share one valence more with a neighbour."""
+    atoms, bonds = _both(spark, sf_dir)
+    ends = atoms.groupBy("graph").agg(F.min("atom").alias("a"), F.max("atom").alias("b")).filter("b > 2")
+    ring = bonds.select("graph", "a", "b").unionByName(ends).join(ends.select("graph"), "graph", "left_semi")
+    return atoms.join(ends, "graph", "left_semi").withColumn("hydrogens", F.when(F.col("z") == 6, 1).otherwise(0)), ring
+
+
+@query(f"""WITH {ATOMS}{CONJUGATED}
+SELECT x.graph, CAST(CASE WHEN atom < n THEN atom ELSE 1 END AS INTEGER) AS a, CAST(CASE WHEN atom < n THEN atom + 1 ELSE n END AS INTEGER) AS b,
+  CASE WHEN NOT valid THEN NULL WHEN whole THEN 1.5::DOUBLE WHEN z <> 8 AND z2 <> 8 AND d % 2 = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS mean,
+  CAST(CASE WHEN NOT valid THEN 0 WHEN whole THEN 2 ELSE 1 END AS BIGINT) AS structures FROM x JOIN valid USING (graph)""")
+def ring_bond_orders(spark, sf_dir):
+    """Mean bond orders of rings and how many resonance structures they have: two without oxygens, else one, or none."""
+    found = Z.bond_orders(*_conjugated(spark, sf_dir))
+    return found.select("graph", "a", "b", "mean", F.col("structures").cast("long").alias("structures"))
+
+
+@query(f"""WITH {ATOMS}{CONJUGATED}, s AS (SELECT x.graph, whole, n, count(*) FILTER (WHERE z <> 8 AND z2 <> 8) AS inner_bonds, count(*) FILTER (WHERE z <> 8 AND z2 <> 8 AND d % 2 = 1) AS doubles
+  FROM x JOIN valid USING (graph) WHERE valid GROUP BY 1, 2, 3)
+SELECT graph, CAST(CASE WHEN whole THEN 2 * n ELSE inner_bonds END AS BIGINT) AS bonds, CAST(CASE WHEN whole THEN 3 * n ELSE inner_bonds + doubles END AS BIGINT) AS orders FROM s WHERE inner_bonds > 0""")
+def resonance_structures(spark, sf_dir):
+    """All structures of the rings' conjugated parts, summed: bonds and orders."""
+    found = Z.resonance_structures(*_conjugated(spark, sf_dir))
+    return found.groupBy("graph").agg(F.count(F.lit(1)).alias("bonds"), F.sum("order").alias("orders"))
+
+
 # orbitals: a line is an atomic orbital of one of two orbitals of its order
 
 LINES = """o AS (SELECT l_orderkey AS id, l_suppkey % 2 AS orb, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ao, l_suppkey % 3 AS atom, l_partkey % 3 AS l, l_discount + 0.01::DOUBLE AS c FROM lineitem)"""
