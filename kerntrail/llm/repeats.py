@@ -279,6 +279,18 @@ def repeats(contents: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray
                 yield depth, owner[some], at[some] - edges[owner[some]], np.where(deepest[i : j + 1] == depth, depth, 0)
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment's content once in a task, however many equal rows have it."""
+    seen: set[tuple] = set()
+    names = ["key", "row_key", "start", "kind"]
+    for batch in batches:
+        first = []
+        for row in zip(*[batch[x].to_pylist() for x in names], strict=True):
+            first.append(row not in seen)
+            seen.add(row)
+        yield batch.select([*names, "content"]).filter(pa.array(first, pa.bool_()))
+
+
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents sorted by key -> what maximal repeats cover in those of kind ALONE, as spans of their documents."""
     held: list[tuple[int, int, int, int, bytes]] = []
@@ -295,6 +307,8 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*[batch[x].to_pylist() for x in ("key", "row_key", "start", "kind", "content")], strict=True):
+            if held and row[:4] == held[-1][:4]:
+                continue  # of an equal row, from another task
             if size >= SORTED and row[0] != held[-1][0]:
                 yield flush()
                 held, size = [], 0
@@ -318,6 +332,7 @@ def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SEGMENT, MARKED = "row_key long, place long, key long, d1 long, d2 long", "kind int, row_key long, start int, size int, key long"
+CONTENT = "key long, row_key long, start int, kind int, content binary"
 DIGEST = ["key", "d1", "d2"]
 
 
@@ -349,7 +364,7 @@ def marked(segments: DataFrame, rows: int) -> DataFrame:
 
 
 def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, grams: tuple[int, ...] = GRAMS) -> DataFrame:
-    """docs(row_key, text) -> row_key, span (start << 32 | end): bytes that a string of LENGTH bytes covers that starts twice.
+    """docs(row_key, text, any others) -> row_key, span (start << 32 | end): bytes that a string of LENGTH bytes covers that starts twice.
 
     Windows meet by their key. Segments of one key with equal bytes (by 128-bit hashes beside the key) are one kind, all of
     whose places are covered whole; one segment of each kind is compared with the key's others byte by byte in a suffix
@@ -361,7 +376,6 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
     hot, rows = HOT if hot is None else hot, ROWS if rows is None else rows
     cast = F.col("text").cast("binary")
     pieces = docs.select("row_key", F.lit(0).alias("start"), "text")
-    once = docs.dropDuplicates(["row_key"])  # a repeated row's bytes are looked at once, first inside tasks
     found = None
     for gram in grams:
         column = "text" if gram == grams[0] else "content"
@@ -374,12 +388,15 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
         asked = own.filter(F.col("kind") != WHOLE)
         common = staged(asked.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") > hot).select("key"), "common-keys")
         raw = F.substring(cast, F.col("start") + 1, F.col("size")).alias("content")
+        others = [c for c in docs.columns if c not in ("row_key", "text")]
+        # with all columns, texts are dealt out as they are for what follows, and Spark does it once for both
+        contents = lambda some: some.join(docs, "row_key").select("key", "row_key", "start", "kind", raw, *others).mapInArrow(once, CONTENT)
         more = common.limit(1).count() > 0
-        cold = (asked.join(common, "key", "left_anti") if more else asked).join(once, "row_key").select("key", "row_key", "start", "kind", raw)
-        found = found.unionAll(cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, "row_key long, span long"))
+        cold = contents(asked.join(common, "key", "left_anti") if more else asked)
+        found = found.unionAll(cold.repartition("key").sortWithinPartitions("key", "row_key", "start", "kind").mapInArrow(compared, "row_key long, span long"))
         if not more:
             break
-        pieces = asked.join(common, "key", "left_semi").join(once, "row_key").select("row_key", "start", raw)
+        pieces = contents(asked.join(common, "key", "left_semi")).select("row_key", "start", "content")
     return found
 
 
@@ -392,7 +409,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names, are left out. Rows are known by a 64-bit hash of id and text.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key"))
-    spans = spans_of(keyed.select("row_key", "text")).groupBy("row_key").agg(F.collect_set("span").alias("spans"))
+    spans = spans_of(keyed).groupBy("row_key").agg(F.collect_set("span").alias("spans"))
     joined = keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(rest, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
