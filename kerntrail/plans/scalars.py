@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import records as R
-from ..operators import search, selection
+from ..operators import search, selection, widths
 from ..operators import trajectories as T
 from ..sources import text as X
-from .registry import query, r6
+from .registry import blocks, query, r6
 from .tables import VECTORS, VISITS, load, vector_rows, visit_rows
 
 
@@ -180,20 +180,67 @@ def log_ratio_error(spark, sf_dir):
 
 @query()
 def error_gradients(spark, sf_dir):
-    """Errors over four random halves, and their derivatives by width and ridge."""
+    """Squared errors on a half of all rows of the model of the other half, for two halves, and their derivatives by width and ridge."""
     rows = vector_rows(spark, sf_dir).withColumn("y", F.array(F.col("label").cast("double")))
-    found = search.Ensemble(rows, folds=4).by_fold(1.5, 0.1)
-    return found.select("fold", *[F.round(c, 5).alias(c) for c in found.columns[1:]])
+    found = []
+    for fold in range(2):
+        half = search.Whole(rows).half(fold)
+        error, slopes = widths.error_gradient(rows.filter(half), rows.filter(~half), "gaussian", 1.5, 0.1)
+        found.append((fold, *[round(float(v), 5) for v in (error, *slopes)]))
+    return spark.createDataFrame(found, "fold int, mse double, mse_sigma double, mse_ridge double")
 
 
 @query()
 def gradient_search(spark, sf_dir):
-    """Width and ridge by noisy descent and BFGS over an ensemble of four random halves."""
+    """Width and ridge by noisy descent and BFGS on halves of all rows."""
     rows = vector_rows(spark, sf_dir).withColumn("y", F.array(F.col("label").cast("double")))
-    found = search.gradient_search(rows, steps=4, refine=2, folds=4, sigma=1.5)
+    found = search.gradient_search(rows, steps=2, refine=1, folds=1, sigma=1.5, most=None)
     return found.select("phase", "step", F.round("sigma", 4).alias("sigma"), F.round("ridge", 6).alias("ridge"), F.round("error", 4).alias("error"), "accepted")
 
 
+@query()
+def class_width_search(spark, sf_dir):
+    """A width for each third of the components, over an ensemble of random halves of at most 2,000 rows, and the error of all rows with what it found."""
+    rows = vector_rows(spark, sf_dir).withColumn("y", F.array(F.col("label").cast("double")))
+    n = rows.select(F.size("x")).first()[0]
+    classes = [3 * c // n for c in range(n)]
+    found = search.gradient_search(rows, steps=3, refine=2, folds=4, sigma=1.5, classes=classes).filter("accepted").orderBy("error").first()
+    half = search.Whole(rows).half(0)
+    own = [found["widths"][c] for c in classes]
+    error, _ = widths.error_gradient(rows.filter(half), rows.filter(~half), "gaussian", own, found["ridge"])
+    return spark.createDataFrame([(k, round(w, 4), round(error, 4)) for k, w in enumerate(found["widths"])], "class int, width double, error double")
+
+
+WIDE = VECTORS + """, e AS (SELECT id, label, unnest(range(1, len(x) + 1)) AS c, unnest(x) AS v FROM v),
+d AS (SELECT a.id AS i, b.id AS j, a.label AS l, a.c, pow((a.v - b.v) / (1 + a.c / 10.0::DOUBLE), 2) AS q FROM e a JOIN e b USING (c)),
+k AS (SELECT i, j, exp(-sum(q) / 2) AS k FROM d GROUP BY 1, 2)"""
+
+
+def _widths(rows):
+    return [1 + (c + 1) / 10 for c in range(rows.select(F.size("x")).first()[0])]
+
+
+@query(f"""WITH {WIDE} SELECT i, j, round(k, 6) AS k, round(k * sum(q / (1 + c / 10.0::DOUBLE)) FILTER (WHERE c % 2 = 1), 6) AS odd, round(k * sum(q / (1 + c / 10.0::DOUBLE)) FILTER (WHERE c % 2 = 0), 6) AS even
+FROM d JOIN k USING (i, j) WHERE i <= j GROUP BY i, j, k""")
+def class_kernel_slopes(spark, sf_dir):
+    """Gaussians with a width for each component, and their slopes by the widths of odd and even components."""
+    rows = vector_rows(spark, sf_dir)
+    own = _widths(rows)
+    found = widths.kernel_slopes(rows, "gaussian", own, blocks(rows), [c % 2 for c in range(len(own))])
+    return found.select("i", "j", r6("k").alias("k"), r6(F.col("dk")[0]).alias("odd"), r6(F.col("dk")[1]).alias("even"))
+
+
+@query(f"WITH {WIDE} SELECT CAST(c AS INTEGER) AS component, round(sum((1 + l) * k * q / (1 + c / 10.0::DOUBLE)), 3) AS slope FROM d JOIN k USING (i, j) GROUP BY 1")
+def component_slope_sums(spark, sf_dir):
+    """For each component the sum of all kernels' slopes by its width, weighted by labels."""
+    rows = vector_rows(spark, sf_dir)
+    left = rows.select(F.col("id").alias("i"), F.col("x").alias("a"), (1.0 + F.col("label")).alias("u"))
+    right = rows.select(F.col("id").alias("j"), F.col("x").alias("b"), F.lit(1.0).alias("c"))
+    n = blocks(rows)
+    found = widths.weighted_slopes(left, right, "gaussian", _widths(rows), (n, n))
+    return spark.createDataFrame([(k + 1, round(float(v), 3)) for k, v in enumerate(found)], "component int, slope double")
+
+
 @query()
 def pivoted_rows(spark, sf_dir):
     """Eight rows, each the one that those before it explain least."""
