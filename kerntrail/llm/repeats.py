@@ -28,6 +28,8 @@ ROWS = 1 << 16
 #: Bytes of one key's different segments up to which they are compared in one suffix array (which takes about 60 times as much
 #: memory); beyond that they meet by longer grams, of which there are more the nearer these come to whole windows.
 HOT = 4 << 20
+#: Most segments that meet by longer grams whose places (28 bytes each) go to all workers, so that texts need not move for them.
+BROADCAST_ROWS = 200_000
 
 
 def loads(text: np.ndarray, order: str, n: int) -> np.ndarray:
@@ -396,7 +398,9 @@ def spans_of(docs: DataFrame, hot: int | None = None, rows: int | None = None, g
         found = found.unionAll(cold.repartition("key").sortWithinPartitions("key", "row_key", "start", "kind").mapInArrow(compared, "row_key long, span long"))
         if not more:
             break
-        pieces = contents(asked.join(common, "key", "left_semi")).select("row_key", "start", "content")
+        again = staged(asked.join(common, "key", "left_semi"), "common-segments")
+        few = again.count() <= BROADCAST_ROWS
+        pieces = contents(F.broadcast(again) if few else again).select("row_key", "start", "content")
     return found
 
 

@@ -164,11 +164,12 @@ def planted_repeats(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize(("hot", "most"), [(repeats.HOT, repeats.ROWS), (repeats.HOT, 1), (1, repeats.ROWS), (1, 1), (1000, 3)])
-def test_repeats(spark, hot, most, monkeypatch):
+@pytest.mark.parametrize(("hot", "most", "few"), [(repeats.HOT, repeats.ROWS, 9), (repeats.HOT, 1, 9), (1, repeats.ROWS, 10**6), (1, 1, 0), (1000, 3, 10**6)])
+def test_repeats(spark, hot, most, few, monkeypatch):
     rows, docs = planted_repeats(spark)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "ROWS", most)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", few)
     got = repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h")).collect()
     want = brute_repeats([(t or "").encode() for _, t in rows])
     key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
