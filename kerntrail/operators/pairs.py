@@ -255,7 +255,13 @@ def within(left: DataFrame, right: DataFrame, high: float, low: float = 0.0, piv
     Distances to a pivot differ by `high` at most in such pairs, so rows meet only in the same or neighbouring bands of distances to
     each of some far pivots. A band may hold all rows (where `high` is wide), so inside bands rows meet in blocks, of which
     a band has as many as its rows need: no task holds more than two blocks of about `block` rows, or BLOCK where there are many.
+    Equal rows alone, for a radius of 0, are met by their values.
     """
+    if high < 0:
+        raise ValueError("a distance can't be negative")
+    if high == 0:
+        same = left.filter("a IS NOT NULL").select("i", "a").join(right.filter("b IS NOT NULL").select("j", "b"), F.col("a") == F.col("b"))
+        return same.filter(F.lit(low <= 0)).select("i", "j", F.lit(0.0).alias("d"))
     chosen = pivots_of(right, "b", pivots)
     bands = [f"band{k}" for k in range(len(chosen))]
     at = lambda x, p: F.floor(F.sqrt(V.sqdist(F.col(x), F.array(*map(F.lit, p)))) / high)

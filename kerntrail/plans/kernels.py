@@ -220,11 +220,24 @@ def hyperparameter_search(spark, sf_dir):
     return found.select("sigma", "ridge", F.round("mae", 4).alias("mae"), F.round("mse", 4).alias("mse")).orderBy("mae", "sigma", "ridge")
 
 
-@query()
+GREEDY = """, n AS (SELECT sqrt(d2) AS d, i, j FROM p WHERE i < j),
+gone AS (SELECT list_reduce(list_concat([CAST([] AS BIGINT[])], list([i, j] ORDER BY d, i, j)),
+  lambda dead, p: CASE WHEN list_contains(dead, p[1]) OR list_contains(dead, p[2]) THEN dead ELSE list_append(dead, p[2]) END) AS dead FROM n WHERE d <= 0.9)"""
+
+
+@query(f"WITH {PAIRS}{GREEDY} SELECT id, NOT list_contains(dead, id) AS kept FROM v, gone")
 def prune_nearest(spark, sf_dir):
     return selection.prune_nearest(vector_rows(spark, sf_dir), 0.9)
 
 
+@query(f"""WITH {PAIRS}{GREEDY.replace("WHERE d <= 0.9", "")}, c AS (SELECT dead[1:CAST((SELECT count(*) FROM v) - (SELECT count(*) FROM v) * 9 // 10 AS BIGINT)] AS dead FROM gone)
+SELECT id, NOT list_contains(dead, id) AS kept FROM v, c""")
+def prune_to_count(spark, sf_dir):
+    """Nine tenths of the rows, without a threshold."""
+    rows = vector_rows(spark, sf_dir)
+    return selection.prune_nearest(rows, least=rows.count() * 9 // 10)
+
+
 @query()
 def linear_independence(spark, sf_dir):
     return selection.linear_independence(vector_rows(spark, sf_dir))
