@@ -13,6 +13,7 @@ from ..operators import molecules as M
 from ..operators import orbitals as O
 from ..operators import records as R
 from ..operators import resonance as Z
+from ..operators import rewriting as Y
 from .molecules import _both, _parts
 from .registry import blocks, query, r6
 from .tables import ATOMS, atom_rows, bond_rows, load
@@ -205,6 +206,51 @@ def move_kinds(spark, sf_dir):
     return M.moves(*_sulphur(spark, sf_dir), ELEMENTS).groupBy("graph", "kind").agg(F.count(F.lit(1)).alias("moves"))
 
 
+@query(f"""WITH {SULPHUR}{FILLED}, s AS (SELECT * REPLACE (coalesce(hydrogens, 0) AS hydrogens) FROM h), o AS (SELECT unnest([6, 7, 8]) AS e, unnest([4, 3, 2]) AS most),
+near AS (SELECT graph, a AS atom, b, "order" FROM b UNION ALL SELECT graph, b, a, "order" FROM b),
+k AS (
+  SELECT graph, 'add' AS kind, 1 AS da, most - 2 AS dh FROM s, o WHERE hydrogens > 0
+  UNION ALL SELECT s.graph, 'remove', -1, -s.hydrogens + CASE WHEN y.valence IS NULL THEN 3 - y.used + near."order" ELSE near."order" END FROM s JOIN near USING (graph, atom) JOIN s y ON y.graph = s.graph AND y.atom = near.b WHERE s.neighbours = 1
+  UNION ALL SELECT graph, 'replace', 0, most - used - hydrogens FROM s, o WHERE e <> z AND most >= used
+  UNION ALL SELECT graph, 'valence', 0, 2 FROM s WHERE z = 16 AND valence < 6
+  UNION ALL SELECT graph, 'valence', 0, -2 FROM s WHERE z = 16 AND valence > 2 AND hydrogens >= 2
+  UNION ALL SELECT graph, 'valence_add', 1, most - 2 FROM s, o WHERE z = 16 AND valence < 6 AND most >= 2
+  UNION ALL SELECT x.graph, 'bond', 0, -2 FROM s x JOIN s y ON x.graph = y.graph AND x.atom < y.atom AND x.hydrogens > 0 AND y.hydrogens > 0
+    LEFT JOIN b ON b.graph = x.graph AND b.a = x.atom AND b.b = y.atom WHERE b."order" IS NULL OR b."order" < 3
+  UNION ALL SELECT b.graph, 'bond', 0, (x.valence IS NOT NULL)::INT + (y.valence IS NOT NULL)::INT FROM b JOIN s x ON x.graph = b.graph AND x.atom = b.a JOIN s y ON y.graph = b.graph AND y.atom = b.b WHERE "order" > 1
+  UNION ALL SELECT s.graph, 'valence_remove', -1, -y.hydrogens FROM s JOIN near USING (graph, atom) JOIN s y ON y.graph = s.graph AND y.atom = near.b WHERE s.z = 16 AND s.valence > 2 AND y.neighbours = 1 AND near."order" = 2
+  UNION ALL SELECT s.graph, 'valence_bond', 0, -2 FROM s JOIN near USING (graph, atom) JOIN s y ON y.graph = s.graph AND y.atom = near.b WHERE s.z = 16 AND s.valence < 6 AND y.hydrogens >= 2 AND near."order" + 2 <= 3),
+t AS (SELECT graph, count(*) AS n, sum(hydrogens) AS hydrogens FROM s GROUP BY graph)
+SELECT graph, kind, CAST(sum(n + da) AS BIGINT) AS atoms, CAST(sum(hydrogens + dh) AS BIGINT) AS hydrogens FROM k JOIN t USING (graph) GROUP BY graph, kind""")
+def applied_moves(spark, sf_dir):
+    """All graphs that one move makes of every molecule, by kind of move: their atoms and hydrogens."""
+    atoms, bonds = _sulphur(spark, sf_dir)
+    moves = Y.numbered(M.moves(atoms, bonds, ELEMENTS))
+    made, _ = Y.applied(atoms, bonds, moves)
+    sizes = made.groupBy("graph").agg(F.count(F.lit(1)).alias("atoms"), F.sum(F.coalesce("hydrogens", F.lit(0))).alias("hydrogens"))
+    named = moves.select(F.col("graph").alias("of"), "kind", F.col("id").alias("graph"))
+    found = named.join(sizes, "graph", "left").groupBy(F.col("of").alias("graph"), "kind")
+    return found.agg(F.sum(F.coalesce("atoms", F.lit(0))).alias("atoms"), F.sum(F.coalesce("hydrogens", F.lit(0))).alias("hydrogens"))
+
+
+@query(f"""WITH {ATOMS}, n AS (SELECT graph, CAST(count(*) AS INTEGER) AS n FROM m GROUP BY graph), r AS (SELECT graph, n, atom AS c, greatest(atom - 1, 1) AS low, least(atom + 1, n) AS high FROM m JOIN n USING (graph)),
+f AS (SELECT graph, n, low, high, high - low + 1 AS size FROM r WHERE high - low + 1 < n GROUP BY ALL),
+cut AS (SELECT f.graph, low, high, size, n, list_sort(list("order")) AS orders FROM f JOIN b ON b.graph = f.graph AND (b.b = low OR b.a = high) GROUP BY ALL),
+o AS (SELECT o_orderkey AS l, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+SELECT o.l AS "left", o.r AS "right", CAST(sum(CASE WHEN len(x.orders) = 2 AND x.orders[1] = x.orders[2] THEN 2 ELSE 1 END) AS BIGINT) AS children,
+  CAST(sum((x.size + y.n - y.size) * CASE WHEN len(x.orders) = 2 AND x.orders[1] = x.orders[2] THEN 2 ELSE 1 END) AS BIGINT) AS atoms,
+  CAST(sum((x.size - 1 + len(x.orders) + y.n - 1 - (y.size - 1) - len(y.orders)) * CASE WHEN len(x.orders) = 2 AND x.orders[1] = x.orders[2] THEN 2 ELSE 1 END) AS BIGINT) AS bonds
+FROM o JOIN cut x ON x.graph = o.l JOIN cut y ON y.graph = o.r AND x.orders = y.orders WHERE o.r IS NOT NULL GROUP BY 1, 2""")
+def ball_crossings(spark, sf_dir):
+    """Each customer's consecutive orders as molecules, balls of one bond exchanged in all ways: children, their atoms and bonds."""
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    couples = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("left"), following.alias("right")).filter("right IS NOT NULL")
+    children, atoms, bonds = Y.crossed(couples, *_both(spark, sf_dir), 1)
+    sizes = atoms.groupBy("graph").agg(F.count(F.lit(1)).alias("atoms")).join(bonds.groupBy("graph").agg(F.count(F.lit(1)).alias("bonds")), "graph", "left")
+    found = children.join(sizes, "graph").groupBy("left", "right")
+    return found.agg(F.count(F.lit(1)).alias("children"), F.sum("atoms").alias("atoms"), F.sum(F.coalesce("bonds", F.lit(0))).alias("bonds"))
+
+
 @query(f"""WITH {ATOMS}, f AS (SELECT graph AS id, list_sort(list("order")) AS orders FROM b GROUP BY graph),
 o AS (SELECT o_orderkey AS l, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
 SELECT o.l AS "left", o.r AS "right", CAST(factorial(CAST(len(list_filter(x.orders, lambda k: k = 1)) AS INTEGER)) * factorial(CAST(len(list_filter(x.orders, lambda k: k = 2)) AS INTEGER)) AS BIGINT) AS ways
