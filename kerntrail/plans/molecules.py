@@ -138,5 +138,18 @@ s AS (SELECT a.id, a.part, sqrt(sum(a.rho * b.rho * exp(-(pow(a.level - b.level,
 n AS (SELECT c.id, c.part, level, rho, rho / own AS w FROM c JOIN s USING (id, part))
 SELECT a.id AS i, b.id AS j, round(sum(a.w * b.w * exp(-(pow(a.level - b.level, 2) + pow(a.rho / 10 - b.rho / 10, 2)) / 4)), 4) AS k FROM n a JOIN n b ON a.id <= b.id GROUP BY 1, 2""")
 def orbital_kernel(spark, sf_dir):
-    parts = O.normalised(_parts(spark, sf_dir), 1.0)
-    return O.molecule_kernel(parts, 1.0, blocks(parts)).select("i", "j", F.round("k", 4).alias("k"))
+    parts = _parts(spark, sf_dir)
+    return O.molecule_kernel(parts, 1.0, blocks(parts), normalise=True).select("i", "j", F.round("k", 4).alias("k"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS id, c_nationkey AS part, CAST(floor(c_acctbal / 2500) AS DOUBLE) AS level, CAST(count(*) AS DOUBLE) AS rho FROM customer GROUP BY 1, 2, 3),
+p AS (SELECT a.id AS i, a.part AS p, b.id AS j, b.part AS q, a.rho * b.rho AS w, pow(a.level - b.level, 2) + pow(a.rho / 10 - b.rho / 10, 2) AS d FROM c a JOIN c b ON a.id <= b.id),
+k AS (SELECT i, p, j, q, sum(w * exp(-d / 4)) AS k, sum(w * exp(-d / 4) * d / 2) AS dk FROM p GROUP BY ALL),
+n AS (SELECT k.i, k.j, k.k / sqrt(x.k * y.k) AS c, k.dk / sqrt(x.k * y.k) - k.k / sqrt(x.k * y.k) / 2 * (x.dk / x.k + y.dk / y.k) AS dc
+  FROM k JOIN k x ON x.i = k.i AND x.j = k.i AND x.p = k.p AND x.q = k.p JOIN k y ON y.i = k.j AND y.j = k.j AND y.p = k.q AND y.q = k.q)
+SELECT i, j, round(sum(exp(-(1 - c) / 0.25)), 4) AS k, round(sum(exp(-(1 - c) / 0.25) * dc / 0.25), 4) AS dk, round(sum(exp(-(1 - c) / 0.25) * 2 * (1 - c) / 0.125), 4) AS dwidth FROM n GROUP BY 1, 2""")
+def orbital_kernel_slopes(spark, sf_dir):
+    """Gaussians of normalised part kernels, with their slopes by the width of the components, through the normalisation, and by their own."""
+    parts = _parts(spark, sf_dir)
+    found = O.molecule_kernel(parts, 1.0, blocks(parts), width=0.5, slope=True, normalise=True)
+    return found.select("i", "j", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("k", "dk", "dwidth")])
