@@ -89,10 +89,49 @@ def discovery_curve(rows: DataFrame, shuffles: int, bins: int) -> DataFrame:
     return counts.select("bin", (upto / shuffles).alias("found"))
 
 
-def saturation(curve: DataFrame) -> DataFrame:
-    """(a, b) of y = a x / (b + x) by least squares on 1/y over 1/x; curve(x, y), both above 0."""
-    sums = curve.filter("x > 0 AND y > 0").select((1 / F.col("x")).alias("u"), (1 / F.col("y")).alias("v")).agg(F.regr_slope("v", "u").alias("slope"), F.regr_intercept("v", "u").alias("start"))
-    return sums.select((1 / F.col("start")).alias("a"), (F.col("slope") / F.col("start")).alias("b"))
+def saturation(curve: DataFrame, steps: int = 100, tolerance: float = 1e-12) -> DataFrame:
+    """(a, b) of y = a x / (b + x) by least squares on y, over curve(x, y) with x above 0; NULLs don't count, no rows give NULLs.
+
+    Gauss-Newton steps, damped until the sum of squares falls. Rows of one x are summed first, so a step is one pass over a row for
+    each x, and only its five sums reach the driver. It starts at the greatest y and the middle x.
+    """
+    spark = curve.sparkSession
+    known = curve.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x > 0 AND y IS NOT NULL")
+    points = staged(known.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")), "curve")
+    start = points.agg(F.max(F.col("sy") / F.col("n")).alias("a"), F.percentile_approx("x", 0.5).alias("b")).first()
+    schema = "a double, b double"
+    if start["a"] is None:
+        return spark.createDataFrame([(None, None)], schema)
+
+    def sums(a: float, b: float):
+        """What both parameters' slopes and the residuals sum to."""
+        x, n = F.col("x"), F.col("n")
+        by_a, by_b = x / (b + x), -a * x / ((b + x) * (b + x))
+        rest = F.col("sy") - n * a * x / (b + x)  # of all rows of one x
+        left = F.col("syy") - 2 * F.col("sy") * a * x / (b + x) + n * F.pow(a * x / (b + x), F.lit(2))
+        return points.agg(F.sum(n * by_a * by_a), F.sum(n * by_a * by_b), F.sum(n * by_b * by_b), F.sum(by_a * rest), F.sum(by_b * rest), F.sum(left)).first()
+
+    a, b, damping = float(start["a"]), float(start["b"]), 0.0
+    own = sums(a, b)
+    for _ in range(steps):
+        aa, ab, bb, ra, rb, square = own
+        det = aa * (1 + damping) * bb * (1 + damping) - ab * ab
+        if det <= 0:
+            if damping > 1e12:
+                break
+            damping = max(10 * damping, 1e-6)
+            continue
+        da, db = (bb * (1 + damping) * ra - ab * rb) / det, (aa * (1 + damping) * rb - ab * ra) / det
+        there = sums(a + da, b + db) if b + db > 0 else None
+        if there is None or there[5] > square * (1 + 1e-12):
+            if damping > 1e12:
+                break
+            damping = max(10 * damping, 1e-6)
+            continue
+        a, b, own, damping = a + da, b + db, there, damping / 10 if damping > 1e-9 else 0.0
+        if abs(da) <= tolerance * abs(a) and abs(db) <= tolerance * abs(b):
+            break
+    return spark.createDataFrame([(a, b)], schema)
 
 
 def neighbours(states: DataFrame, elements: list[int], most: int) -> DataFrame:

@@ -74,9 +74,15 @@ def dipole_norm(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(V.norm(x)).alias("dipole"))
 
 
-@query(f"""WITH {VISITS}, n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY replica, key ORDER BY step) = 1 THEN 1 ELSE 0 END AS new FROM t),
+@query(f"""WITH RECURSIVE {VISITS}, n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY replica, key ORDER BY step) = 1 THEN 1 ELSE 0 END AS new FROM t),
 c AS (SELECT step AS x, sum(new) OVER (PARTITION BY replica ORDER BY step ROWS UNBOUNDED PRECEDING) AS y FROM n),
-r AS (SELECT regr_slope(1.0::DOUBLE / y, 1.0::DOUBLE / x) AS s, regr_intercept(1.0::DOUBLE / y, 1.0::DOUBLE / x) AS i FROM c) SELECT round(1 / i, 4) AS a, round(s / i, 4) AS b FROM r""")
+s AS (SELECT CAST(x AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS sy FROM c GROUP BY x),
+g AS (SELECT (SELECT max(sy / n) FROM s) AS a, (SELECT median(x) FROM s) AS b, 0 AS k UNION ALL
+  SELECT a + (w * p - v * q) / (u * w - v * v), b + (u * q - v * p) / (u * w - v * v), k + 1 FROM (
+    SELECT a, b, k, sum(n * x * x / pow(b + x, 2)) AS u, sum(-n * a * x * x / pow(b + x, 3)) AS v, sum(n * a * a * x * x / pow(b + x, 4)) AS w,
+      sum(x / (b + x) * (sy - n * a * x / (b + x))) AS p, sum(-a * x / pow(b + x, 2) * (sy - n * a * x / (b + x))) AS q
+    FROM g, s WHERE k < 60 GROUP BY a, b, k))
+SELECT round(a, 4) AS a, round(b, 4) AS b FROM g WHERE k = 60""")
 def discovery_saturation(spark, sf_dir):
     from ..operators import trajectories as T
 

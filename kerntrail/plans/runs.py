@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import weights
 from ..operators import trajectories as T
+from ..streaming import best as B
 from ..streaming import visits as S
 from .registry import query, r6
 from .tables import VISITS, load, visit_rows
@@ -217,3 +218,10 @@ def stream_visit_counts(spark, sf_dir):
 def stream_daily_counts(spark, sf_dir):
     stream = S.windowed_counts(_stream(spark, sf_dir), "ts", "1 day", "2 days")
     return S.run_once(spark, stream, "daily-counts", keys=["start", "key"])
+
+
+@query(f"WITH {VISITS} SELECT key, min(f) AS f FROM t WHERE f IS NOT NULL GROUP BY key ORDER BY f, key LIMIT 20")
+def stream_best_candidates(spark, sf_dir):
+    """The best 20 states of a stream, kept by a stateful operator whose lists are bounded."""
+    key = F.concat_ws(":", "event_type", F.floor(F.col("value") / 10).cast("string"))
+    return B.best_candidates(spark, _stream(spark, sf_dir).withColumn("key", key), 20)

@@ -33,6 +33,21 @@ def test_saturation_finds_its_curve(spark):
     assert abs(row.a - 7) < 1e-9 and abs(row.b - 3) < 1e-9
 
 
+def test_saturation_equals_least_squares_on_noisy_curves(spark):
+    """Against Gauss-Newton in numpy on all rows, from another start."""
+    rng = np.random.default_rng(51)
+    for a, b, noise in ((7.0, 3.0, 0.3), (120.0, 40.0, 5.0), (2.0, 0.5, 0.05)):
+        x = rng.integers(1, 60, 400).astype(float)
+        y = a * x / (b + x) + noise * rng.normal(size=400)
+        p = np.array([a, b])
+        for _ in range(100):
+            j = np.stack([x / (p[1] + x), -p[0] * x / (p[1] + x) ** 2], axis=1)
+            p = p + np.linalg.lstsq(j, y - p[0] * x / (p[1] + x), rcond=None)[0]
+        row = records.saturation(spark.createDataFrame([(float(u), float(v)) for u, v in zip(x, y, strict=True)] + [(0.0, 1.0), (3.0, None)], "x double, y double")).first()
+        assert abs(row.a - p[0]) < 1e-6 * a and abs(row.b - p[1]) < 1e-6 * b
+    assert tuple(records.saturation(spark.createDataFrame([], "x double, y double")).first()) == (None, None)
+
+
 def test_prefix_diversity_equals_singular_values(spark):
     x = np.random.default_rng(2).normal(size=(40, 4))
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
