@@ -1,13 +1,14 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model in sorted hash arrays that workers memory-map."""
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model in sorted hash arrays that workers memory-map."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 600_000
 #: Most shards that a block is sent to at once; where there are more, blocks go to groups of shards first, so that the rows sent
 #: grow with the tokens, and each group is sent on in as many tasks as PARTS.
 FAN, PARTS = 1024, 16
+#: Tokens of an n-gram unless asked otherwise.
+ORDER = 2
 #: Contexts with so great a share of the tokens are spread over all shards; rows of the sample that finds them (expected).
 HOT_SHARE, HOT_ROWS = 0.005, 2_000
 #: Marks in front of and behind a text. Words never hold white space, so these hash apart from all words.
@@ -60,10 +63,34 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def pair_shards(u: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    """By context; pairs of hot contexts by the word."""
-    spread = np.isin(u, hot)
-    return np.where(spread, shard_of(w * np.uint64(0x9E3779B97F4A7C15), shards), shard_of(u, shards)).astype(np.int64)
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key for each row of words; a single word is its own key."""
+    keys = columns[0]
+    for w in columns[1:]:
+        keys = pair_keys(keys, w)
+    return keys
+
+
+def gram_shards(context: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    """By the context's key; grams of hot contexts by the word."""
+    spread = np.isin(context, hot)
+    return np.where(spread, shard_of(w * np.uint64(0x9E3779B97F4A7C15), shards), shard_of(context, shards)).astype(np.int64)
+
+
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts behind each other, and how many tokens of its text stand in front of each token."""
+    sizes = np.array([len(t) for t in texts])
+    return np.concatenate(texts), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def grams_at(flat: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k words that end at each of the places."""
+    return [flat[at - j] for j in range(k - 1, -1, -1)]
+
+
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Counts as 32 bits where all fit."""
+    return c.astype(np.uint32 if not len(c) or c.max() < 1 << 32 else np.uint64)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,14 +105,24 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")
 
 
-def hot_contexts(docs: DataFrame) -> np.ndarray:
-    """Hashes of words with a great share of all, found on a bounded sample; they only decide where pairs are counted."""
+def hot_contexts(docs: DataFrame, order: int) -> dict[int, np.ndarray]:
+    """For each length of grams, keys of contexts with a great share of all, found on a bounded sample; they only decide where grams are counted."""
     parts = docs.count() // HOT_ROWS + 1
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(parts)) == 0)
-    found = sample.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = found.agg(F.sum("n")).first()[0] or 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for text in batch["text"]:
+                t = tokens(text.as_py(), hashes)
+                for k in range(2, order + 1):
+                    key, n = np.unique(gram_keys(grams_at(t, np.arange(k - 2, len(t) - 1), k - 1)), return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "key", "n"])
+
+    found = sample.select("text").mapInArrow(work, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    total = found.filter("k = 2").agg(F.sum("n")).first()[0] or 0
     rows = found.filter(F.col("n") >= max(1, HOT_SHARE * total)).collect()
-    return np.array(sorted({FRONT, *(xxhash.xxh3_64_intdigest(r["word"].encode().lower()) for r in rows)}), np.uint64)
+    return {k: np.array(sorted({*([FRONT] if k == 2 else []), *(r["key"] & (1 << 64) - 1 for r in rows if r["k"] == k)}), np.uint64) for k in range(2, order + 1)}
 
 
 def write_arrays(path: str, *arrays: np.ndarray) -> None:
@@ -99,13 +136,19 @@ def write_arrays(path: str, *arrays: np.ndarray) -> None:
 
 
 def map_arrays(path: str, *kinds: str) -> list[np.ndarray]:
+    """The arrays of a file; the last one's width follows from the file's size."""
     raw = np.memmap(path, np.uint8, "r")
-    sizes, at, out = raw[: 8 * len(kinds)].view(np.int64), 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+    sizes, at, out = raw[: 8 * len(kinds) + 8].view(np.int64), 8 * len(kinds) + 8, []
+    for n, kind in zip(sizes.tolist(), kinds, strict=False):
         width = np.dtype(kind).itemsize * n
         out.append(raw[at : at + width].view(kind))
         at += width
-    return out
+    return [*out, counts_in(raw[at:], int(sizes[-1]))]
+
+
+def counts_in(data: np.ndarray, n: int) -> np.ndarray:
+    """What narrow() wrote."""
+    return data.view(np.uint64 if n and len(data) == 8 * n else np.uint32)
 
 
 STATS = "kind string, key long, block binary, a long, b long, c long, d long"
@@ -129,34 +172,37 @@ def ends_of(to: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(to[a]), slice(int(a), int(b))
 
 
-def pair_blocks(u: np.ndarray, w: np.ndarray, c: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs with their counts as one block for each destination: contexts once, each with the number of its words."""
-    order = np.lexsort((u, to))
-    u, w, c, to = u[order], w[order], c[order].astype(np.uint32), to[order]
-    names, data = [], []
+def gram_blocks(columns: list[np.ndarray], c: np.ndarray, to: np.ndarray) -> list[tuple]:
+    """Distinct grams with their counts as rows of STATS, one for each destination: its distinct words once, grams by their numbers."""
+    order = np.lexsort((columns[0], to))
+    columns, c, to, out = [x[order] for x in columns], c[order], to[order], []
     for s, own in ends_of(to):
-        starts = np.flatnonzero(np.append(True, u[own][1:] != u[own][:-1]))
-        n = own.stop - own.start
-        runs = np.diff(np.append(starts, n)).astype(np.uint32)
-        names.append(s)
-        data.append(np.array([len(starts), n], np.int64).tobytes() + u[own][starts].tobytes() + w[own].tobytes() + runs.tobytes() + c[own].tobytes())
-    return pa.record_batch([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["shard", "block"])
+        words, at = np.unique(np.concatenate([x[own] for x in columns]), return_inverse=True)
+        data = np.array([len(words), own.stop - own.start], np.int64).tobytes() + words.tobytes() + at.astype(np.uint32).tobytes() + narrow(c[own]).tobytes()
+        out.append((grams(len(columns)), s, data, 0, 0, 0, 0))
+    return out
+
+
+def grams(k: int) -> str:
+    return f"grams of {k}"
 
 
-def pairs_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    contexts, n = np.frombuffer(block, np.int64, 2).tolist()
-    u, w = np.frombuffer(block, np.uint64, contexts, 16), np.frombuffer(block, np.uint64, n, 16 + 8 * contexts)
-    runs = np.frombuffer(block, np.uint32, contexts, 16 + 8 * (contexts + n))
-    return np.repeat(u, runs), w, np.frombuffer(block, np.uint32, n, 16 + 8 * (contexts + n) + 4 * contexts).astype(np.int64)
+def grams_of(block: bytes, k: int) -> tuple[np.ndarray, ...]:
+    """The words of a block's grams, a column for each place, and their counts."""
+    known, n = np.frombuffer(block, np.int64, 2).tolist()
+    words, at = np.frombuffer(block, np.uint64, known, 16), np.frombuffer(block, np.uint32, k * n, 16 + 8 * known)
+    c = counts_in(np.frombuffer(block, np.uint8, -1, 16 + 8 * known + 4 * k * n), n)
+    return *words[at].reshape(k, n), c.astype(np.int64)
 
 
-def added_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs in the order of their keys: keys, both words, summed counts."""
-    keys = pair_keys(u, w)
+def added_grams(*found: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns of words and counts as distinct grams in the order of their keys: keys, columns, summed counts."""
+    *columns, c = found
+    keys = gram_keys(columns)
     order = np.argsort(keys)
-    keys, u, w, c = keys[order], u[order], w[order], c[order]
+    keys, c = keys[order], c[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], u[starts], w[starts], np.add.reduceat(c, starts) if len(starts) else c
+    return keys[starts], *(x[order[starts]] for x in columns), np.add.reduceat(c, starts) if len(starts) else c
 
 
 def word_blocks(word: np.ndarray, contexts: np.ndarray, n: np.ndarray, to: np.ndarray) -> list[tuple]:
@@ -173,44 +219,75 @@ def words_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(block, np.uint64, n, 8), np.frombuffer(block, np.uint32, n, 8 + 8 * n).astype(np.int64), np.frombuffer(block, np.uint64, n, 8 + 12 * n).astype(np.int64)
 
 
-def portions(batches: Iterator[pa.RecordBatch], key: str, most: int, decode) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows sorted by key as arrays of about `most` entries of one key."""
-    now, held, n = None, [], 0
-    for batch in batches:
-        for group, block in zip(batch[key].to_pylist(), batch["block"], strict=True):
-            if held and (group != now or n >= most):
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, n = [], 0
-            now = group
-            held.append(decode(block.as_py()))
-            n += len(held[-1][0])
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
-def fit(docs: DataFrame, learn: Column) -> dict:
-    """Counts the pairs of the rows of docs(doc_id, text) where learn holds, and writes the model to the shared folder.
-
-    Tasks sum pairs of their tokens and send them in blocks, one for each shard of contexts (by way of groups of shards where
-    there are many). A shard's task merges them into sorted arrays (pair hashes, counts; contexts with their totals and
-    numbers of followers seen once, twice, more often) and sends on, by shards of words, how many contexts and tokens each
-    word has. What comes back to the driver are sums: counts of counts and the totals of hot contexts. Nothing of the
-    corpus is left out; the files grow with it.
+def merging(kind: str, decode: Callable, work: Callable, most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over rows of STATS sorted by kind and key: all blocks of a key together (or about `most` entries at once) go to
+    work(key, arrays), whose rows go out; rows of other kinds pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+        for batch in batches:
+            mine = pc.equal(batch["kind"], kind)
+            others = batch.filter(pc.invert(mine))
+            if others.num_rows:
+                yield others
+            own = batch.filter(mine)
+            for key, block in zip(own["key"].to_pylist(), own["block"], strict=True):
+                if held and (key != now or (most and n >= most)):
+                    parts, held, n = held, [], 0
+                    yield stats_batch(work(now, [np.concatenate(x) for x in zip(*parts, strict=True)]))
+                    del parts
+                now = key
+                held.append(decode(block.as_py()))
+                n += len(held[-1][0])
+        if held:
+            yield stats_batch(work(now, [np.concatenate(x) for x in zip(*held, strict=True)]))
+
+    return run
+
+
+def fit(docs: DataFrame, learn: Column, order: int = ORDER) -> dict:
+    """Counts the n-grams of the rows of docs(doc_id, text) where learn holds, and writes the model to the shared folder.
+
+    Tasks sum grams of `order` of their tokens and send them in blocks, one for each shard of contexts (by way of groups of
+    shards where there are many). A shard's task merges them into sorted arrays (keys of grams, counts; contexts with their
+    totals and numbers of followers seen once, twice, more often) and sends on the grams without their first words: a shorter
+    gram counts the different words seen in front of it, and one at a text's front, which has none, its occurrences. The last
+    such step says in how many contexts each word stands. What comes back to the driver are sums: counts of counts and the
+    totals of hot contexts. Nothing of the corpus is left out; the files grow with it, and with the order. An order under 2
+    is refused. Contexts are the words of the text in front, as many as there are: a text shorter than the order has shorter ones.
     """
+    if order < 2:
+        raise ValueError("an n-gram has two tokens at least")
     spark = docs.sparkSession
     rows = docs.filter(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(text_bytes(F.col("text"))).first()["bytes"]
-    shards, folder, hot = int(size) // SHARD_BYTES + 4, new_folder(spark, "bigrams"), hot_contexts(rows)
+    shards, folder, hot = int(size) // SHARD_BYTES + 4, new_folder(spark, "grams"), hot_contexts(rows, order)
     per, most = -(-shards // FAN), COUNT_TOKENS  # shards of a group
     groups = -(-shards // per)
 
+    def to_shards(columns: list[np.ndarray]) -> np.ndarray:
+        return gram_shards(gram_keys(columns[:-1]), columns[-1], shards, hot[len(columns)])
+
+    def word_shards(word: np.ndarray) -> np.ndarray:
+        return shard_of(word, shards).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = Hashes(), [], 0
 
         def blocks() -> pa.RecordBatch:
-            u, w = np.concatenate([t[:-1] for t in held]), np.concatenate([t[1:] for t in held])
-            _, first, c = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
-            return pair_blocks(u[first], w[first], c, pair_shards(u[first], w[first], shards, hot) // per)
+            flat, depth = joined(held)
+            columns = grams_at(flat, np.flatnonzero(depth >= order - 1), order)
+            _, first, c = np.unique(gram_keys(columns), return_index=True, return_counts=True)
+            columns = [x[first] for x in columns]
+            out = gram_blocks(columns, c, to_shards(columns) // per)
+            for k in range(2, order):
+                at = np.flatnonzero(depth == k - 1)
+                _, *columns, c = added_grams(*grams_at(flat, at, k), np.ones(len(at), np.int64))
+                out += gram_blocks(columns, c, to_shards(columns) // per)
+            if order > 2:  # pairs count contexts then, not tokens
+                word, c = np.unique(flat[depth > 0], return_counts=True)
+                out += word_blocks(word, np.zeros(len(word), np.int64), c, word_shards(word) // per)
+            return stats_batch(out)
 
         for batch in batches:
             for text in batch["text"]:
@@ -223,89 +300,58 @@ def fit(docs: DataFrame, learn: Column) -> dict:
         if held:
             yield blocks()
 
-    def sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in portions(batches, "shard", most, pairs_of):
-            _, u, w, c = added_pairs(*found)
-            yield pair_blocks(u, w, c, pair_shards(u, w, shards, hot))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, blocks in by_shard(batches, "shard"):
-            parts = [pairs_of(block) for block in blocks]
-            keys, u, w, c = added_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            del parts, blocks
-            own, total, *seen = summed(u, c, *[(c == k).astype(np.int64) for k in (1, 2)], (c > 2).astype(np.int64))
-            spread = np.isin(own, hot)
-            write_arrays(f"{folder}/pairs-{shard}", keys, own[~spread], *[x[~spread] for x in (total, *seen)], c.astype(np.uint32))
-            out = [("pairs", 0, None, *of_counts(c))]
-            out += [("hot", int(h.view(np.int64)), None, *(int(x) for x in row)) for h, *row in zip(own[spread], *[x[spread] for x in (total, *seen)], strict=True)]
-            word, contexts, n = summed(w, np.ones(len(w), np.int64), c)
-            yield stats_batch(out + word_blocks(word, contexts, n, shard_of(word, shards).astype(np.int64) // per))
-
-    def of_words(batches: Iterator[pa.RecordBatch], passed: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mine = np.array(batch["kind"].to_pylist()) == "words"
-            for row in batch.filter(pa.array(~mine)).to_pylist():
-                passed.append(tuple(row[k] for k in NAMES))
-            if mine.any():
-                yield batch.filter(pa.array(mine))
-
-    def words_sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[tuple] = []
-        for found in portions(of_words(batches, passed), "key", most, words_of):
-            word, contexts, n = summed(*found)
-            yield stats_batch(word_blocks(word, contexts, n, shard_of(word, shards).astype(np.int64)))
-        if passed:
-            yield stats_batch(passed)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[tuple] = []
-        for shard, blocks in by_shard(of_words(batches, passed), "key"):
-            word, contexts, n = summed(*(np.concatenate(x) for x in zip(*map(words_of, blocks), strict=True)))
-            write_arrays(f"{folder}/words-{shard}", word, n, contexts.astype(np.uint32))
-            passed.append(("contexts", 0, None, *of_counts(contexts)))
-            passed.append(("totals", 0, None, len(word), int(n.sum()), int(contexts.sum()), 0))
-        if passed:
-            yield stats_batch(passed)
-
-    def by_group(df: DataFrame, *key: str) -> DataFrame:
-        part = F.spark_partition_id() % PARTS
-        return df.withColumn("part", part).repartition(groups, *key, "part").sortWithinPartitions(*key).drop("part")
-
-    counted = rows.mapInArrow(count, "shard int, block binary")
-    if per > 1:
-        counted = by_group(counted, "shard").mapInArrow(sent_on, "shard int, block binary")
-    merged = counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, STATS)
-    if per > 1:
-        merged = by_group(merged, "kind", "key").mapInArrow(words_sent_on, STATS)
-    gathered = merged.repartition(shards, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(gather, STATS)
-    sums = gathered.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
-    one = {r["kind"]: [r[x] for x in "abcd"] for r in sums if r["kind"] != "hot"}
-    stats = {r["key"]: [r[x] for x in "abcd"] for r in sums if r["kind"] == "hot"}
-    kept = sorted(stats, key=lambda k: k & (1 << 64) - 1)
+    def sent_on(_: int, found: list[np.ndarray]) -> list[tuple]:
+        _, *columns, c = added_grams(*found)
+        return gram_blocks(columns, c, to_shards(columns))
+
+    def merge(shard: int, found: list[np.ndarray]) -> list[tuple]:
+        keys, *columns, c = added_grams(*found)
+        k, context, w = len(columns), gram_keys(columns[:-1]), columns[-1]
+        own, total, *seen = summed(context, c, *[(c == x).astype(np.int64) for x in (1, 2)], (c > 2).astype(np.int64))
+        spread = np.isin(own, hot[k])
+        write_arrays(f"{folder}/{k}-{shard}", keys, own[~spread], *[x[~spread] for x in (total, *seen)], narrow(c))
+        out = [(f"counts of {k}", 0, None, *of_counts(c))]
+        out += [(f"hot of {k}", int(h.view(np.int64)), None, *(int(x) for x in row)) for h, *row in zip(own[spread], *[x[spread] for x in (total, *seen)], strict=True)]
+        if k > 2:
+            _, *columns, n = added_grams(*columns[1:], np.ones(len(w), np.int64))
+            return out + gram_blocks(columns, n, to_shards(columns) // per)
+        word, contexts, n = summed(w, np.ones(len(w), np.int64), c if order == 2 else np.zeros(len(w), np.int64))
+        return out + word_blocks(word, contexts, n, word_shards(word) // per)
+
+    def words_sent_on(_: int, found: list[np.ndarray]) -> list[tuple]:
+        word, contexts, n = summed(*found)
+        return word_blocks(word, contexts, n, word_shards(word))
+
+    def gather(shard: int, found: list[np.ndarray]) -> list[tuple]:
+        word, contexts, n = summed(*found)
+        write_arrays(f"{folder}/words-{shard}", word, n, narrow(contexts))
+        return [("contexts", 0, None, *of_counts(contexts)), ("totals", 0, None, len(word), int(n.sum()), int(contexts.sum()), 0)]
+
+    def sent(df: DataFrame, kind: str, decode: Callable, group: Callable, shard: Callable) -> DataFrame:
+        """Blocks of a kind to their shards' tasks, by way of groups where there are many shards."""
+        if per > 1:
+            dealt = df.withColumn("part", F.spark_partition_id() % PARTS).repartition(groups, "kind", "key", "part")
+            df = dealt.sortWithinPartitions("kind", "key").drop("part").mapInArrow(merging(kind, decode, group, most), STATS)
+        return df.repartition(shards, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(merging(kind, decode, shard), STATS)
+
+    counted = rows.mapInArrow(count, STATS)
+    for k in range(order, 1, -1):
+        counted = sent(counted, grams(k), lambda block, k=k: grams_of(block, k), sent_on, merge)
+    sums = sent(counted, "words", words_of, words_sent_on, gather).groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
+    one = {r["kind"]: [r[x] for x in "abcd"] for r in sums if not r["kind"].startswith("hot")}
+    stats = {k: {r["key"] & (1 << 64) - 1: [r[x] for x in "abcd"] for r in sums if r["kind"] == f"hot of {k}"} for k in hot}
     words, train_tokens, pairs, _ = one.get("totals", [0, 0, 0, 0])
     once, twice, *_ = found = one.get("contexts", [0] * 4)
     word_discounts = discounts(found)
     left = word_discounts[0] * once + word_discounts[1] * twice + word_discounts[2] * (words - once - twice)
     return {
-        "folder": folder, "shards": shards, "hot": hot, "hot_keys": np.array([k & (1 << 64) - 1 for k in kept], np.uint64), "hot_stats": np.array([stats[k] for k in kept], np.int64).reshape(-1, 4),
-        "pair_discounts": discounts(one.get("pairs", [0] * 4)), "word_discounts": word_discounts, "word_left": left, "words": words, "tokens": train_tokens, "pairs": pairs,
+        "folder": folder, "shards": shards, "order": order, "hot": hot, "hot_keys": {k: np.array(sorted(x), np.uint64) for k, x in stats.items()},
+        "hot_stats": {k: np.array([x[key] for key in sorted(x)], np.int64).reshape(-1, 4) for k, x in stats.items()},
+        "discounts": {k: discounts(one.get(f"counts of {k}", [0] * 4)) for k in hot}, "word_discounts": word_discounts, "word_left": left,
+        "words": words, "tokens": train_tokens, "pairs": pairs,
     }
 
 
-def by_shard(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows sorted by shard as (shard, all of its blocks)."""
-    now, held = None, []
-    for batch in batches:
-        for shard, block in zip(batch[key].to_pylist(), batch["block"], strict=True):
-            if shard != now and held:
-                yield now, held
-                held = []
-            now = shard
-            held.append(block.as_py())
-    if held:
-        yield now, held
-
-
 def discounts(n: list[int]) -> list[float]:
     """Chen and Goodman's three discounts from counts of counts 1 to 4; a half each where one of the counts is missing.
 
@@ -331,11 +377,11 @@ class Scorer:
         # what the discounts leave goes to the uniform distribution over the words and one unknown
         self.back = m["word_left"] / max(m["pairs"], 1) / (m["words"] + 1)
 
-    def open(self, kind: str, shard: int) -> list[np.ndarray]:
+    def open(self, kind: str | int, shard: int) -> list[np.ndarray]:
         path = f"{self.m['folder']}/{kind}-{shard}"
         if not os.path.exists(path):
             return []
-        return map_arrays(path, "<u8", "<i8", "<u4") if kind == "words" else map_arrays(path, "<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<u4")
+        return map_arrays(path, "<u8", "<i8") if kind == "words" else map_arrays(path, "<u8", "<u8", "<i8", "<i8", "<i8", "<i8")
 
     @staticmethod
     def find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,26 +398,26 @@ class Scorer:
                 out[0, a:b], out[1, a:b] = np.where(there, arrays[1][at], 0), np.where(there, arrays[2][at], 0)
         return out[0], out[1]
 
-    def context_counts(self, contexts: np.ndarray) -> np.ndarray:
-        """Of sorted contexts: tokens behind them, and followers seen once, twice, more often."""
+    def context_counts(self, k: int, contexts: np.ndarray) -> np.ndarray:
+        """Of sorted contexts of grams of k: what they count in all, and followers that count one, two, more."""
         out = np.zeros((4, len(contexts)), np.int64)
         for shard, a, b in slices(shard_of(contexts, self.m["shards"])):
-            if arrays := self.mapped("pairs", shard):
+            if arrays := self.mapped(k, shard):
                 at, there = self.find(arrays[1], contexts[a:b])
                 if there.any():
-                    for k in range(4):
-                        out[k, a:b] = np.where(there, arrays[2 + k][at], 0)
-        at, there = self.find(self.m["hot_keys"], contexts)
+                    for j in range(4):
+                        out[j, a:b] = np.where(there, arrays[2 + j][at], 0)
+        at, there = self.find(self.m["hot_keys"][k], contexts)
         if there.any():
-            out[:, there] = self.m["hot_stats"][at[there]].T
+            out[:, there] = self.m["hot_stats"][k][at[there]].T
         return out
 
-    def pair_counts(self, keys: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of pairs whose keys are sorted."""
-        to = pair_shards(u, w, self.m["shards"], self.m["hot"])
+    def gram_counts(self, k: int, keys: np.ndarray, context: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of grams of k whose keys are sorted."""
+        to = gram_shards(context, w, self.m["shards"], self.m["hot"][k])
         order, out = np.argsort(to, kind="stable"), np.zeros(len(keys), np.int64)
         for shard, a, b in slices(to[order]):
-            if arrays := self.mapped("pairs", shard):
+            if arrays := self.mapped(k, shard):
                 own = order[a:b]
                 at, there = self.find(arrays[0], keys[own])
                 out[own] = np.where(there, arrays[6][at], 0)
@@ -380,26 +426,30 @@ class Scorer:
     def __call__(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text (hashes): known tokens, base score, score."""
         m = self.m
-        u, w = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
-        starts = np.cumsum([0, *(len(t) - 1 for t in texts[:-1])])
-        words, word_at = np.unique(w, return_inverse=True)
-        contexts, context_at = np.unique(u, return_inverse=True)
-        keys, first, pair_at = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+        flat, depth = joined(texts)
+        at = np.flatnonzero(depth > 0)
+        starts = np.flatnonzero(depth[at] == 1)
+        words, word_at = np.unique(flat[at], return_inverse=True)
         n, in_contexts = self.word_counts(words)
         base = np.log10((n + 1) / (m["tokens"] + m["words"] + 1))
         if not m["pairs"]:  # nothing was learned: one unknown word
             low = np.ones(len(words))
         else:
             low = discounted(in_contexts, self.d) / m["pairs"] + self.back
-        total, once, twice, more = self.context_counts(contexts)
-        d = m["pair_discounts"]
-        seen = np.maximum(total, 1)
-        left = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * more) / seen, 1.0)
-        c = self.pair_counts(keys, u[first], w[first])
-        of_u = context_at[first]
-        p = discounted(c, d) / seen[of_u] + left[of_u] * low[word_at[first]]
+        p = low[word_at]
+        for k in range(2, m["order"] + 1):
+            own = np.flatnonzero(depth[at] >= k - 1)
+            *context, w = grams_at(flat, at[own], k)
+            context = gram_keys(context)
+            keys, first, gram_at = np.unique(pair_keys(context, w), return_index=True, return_inverse=True)
+            contexts, context_at = np.unique(context[first], return_inverse=True)
+            total, once, twice, more = self.context_counts(k, contexts)
+            d, seen = m["discounts"][k], np.maximum(total, 1)
+            left = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * more) / seen, 1.0)
+            found = discounted(self.gram_counts(k, keys, context[first], w[first]), d) / seen[context_at]
+            p[own] = found[gram_at] + left[context_at][gram_at] * p[own]
         known = np.add.reduceat((n > 0)[word_at].astype(np.int64), starts)
-        return known, np.add.reduceat(base[word_at], starts), np.add.reduceat(np.log10(p)[pair_at], starts)
+        return known, np.add.reduceat(base[word_at], starts), np.add.reduceat(np.log10(p), starts)
 
 
 def slices(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:

@@ -292,6 +292,68 @@ def test_scores_with_many_shards_and_hot_contexts(edge_docs, monkeypatch, fan):
     assert all(abs(want[r.doc_id, r.n_tokens] - r.score) < 1e-6 for r in got)
 
 
+def brute_ngram_scores(texts, order):
+    """Interpolated modified Kneser-Ney of any order, by plain counting of grams as tuples."""
+    seqs = [[None, *(t or "").encode().lower().split(), 0] for t in texts]
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for seq in seqs:
+        counts[order].update(tuple(seq[i : i + order]) for i in range(len(seq) - order + 1))
+        for k in range(2, order):
+            if len(seq) >= k:
+                counts[k][tuple(seq[:k])] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k].update(gram[1:] for gram in counts[k + 1])
+    d = {k: [0, *scoring.discounts([sum(c == j for c in x.values()) for j in (1, 2, 3, 4)])] for k, x in counts.items()}
+    behind = defaultdict(list)
+    for k in counts:
+        for gram, c in counts[k].items():
+            behind[k, gram[:-1]].append(c)
+
+    def probability(gram):
+        k = len(gram)
+        lower = probability(gram[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        found = behind.get((k, gram[:-1]))
+        if not found:
+            return lower
+        c = counts[k][gram]
+        return (c - d[k][min(c, 3)] + sum(d[k][min(x, 3)] for x in found) * lower) / sum(found)
+
+    context = next(seq for seq in seqs if len(seq) > 20)[5 : 4 + order]
+    vocabulary = [w for (w,) in counts[1]] + ["unknown"]
+    assert abs(sum(probability((*context, w)) for w in vocabulary) - 1) < 1e-9
+    for seq in seqs:
+        yield len(seq) - 1, round(sum(math.log10(probability(tuple(seq[max(0, i - order + 1) : i + 1]))) for i in range(1, len(seq))), 6)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("many", [False, True])
+def test_scores_of_any_order(edge_docs, edge_rows, monkeypatch, order, many):
+    """Also in many shards, by way of groups, with contexts spread over shards and blocks of few tokens."""
+    if many:
+        for name, value in {"SHARD_BYTES": 40_000, "FAN": 4, "HOT_SHARE": 0.001, "COUNT_TOKENS": 2_000}.items():
+            monkeypatch.setattr(scoring, name, value)
+    docs = edge_docs.select("doc_id", "text")
+    got = scoring.score(docs, scoring.fit(docs, F.lit(True), order)).collect()
+    want = sorted(brute_ngram_scores([r[1] for r in edge_rows], order))
+    assert np.allclose(sorted((r.n_tokens, r.score) for r in got), want, atol=1e-5)
+    assert {r.n_known for r in got if r.n_tokens == 1} == {1}
+
+
+def test_order_under_two_is_refused(edge_docs):
+    with pytest.raises(ValueError):
+        scoring.fit(edge_docs.select("doc_id", "text"), F.lit(True), 1)
+
+
+def test_wide_counts_are_whole():
+    c = np.array([1, 1 << 33, 7])
+    assert (scoring.counts_in(scoring.narrow(c).view(np.uint8), 3) == c).all() and scoring.narrow(c[:1]).dtype == np.uint32
+    columns = [np.array([3, 1, 3], np.uint64), np.array([5, 5, 9], np.uint64), np.array([2, 2, 2], np.uint64)]
+    (_, to, data, *_), *rest = scoring.gram_blocks(columns, c, np.zeros(3, np.int64))
+    assert not rest and to == 0
+    got = scoring.grams_of(data, 3)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(*(x.tolist() for x in (*columns, c)), strict=True))
+
+
 def test_scores_of_nothing(no_docs):
     docs = no_docs.select("doc_id", "text")
     assert scoring.score(docs, scoring.fit(docs, F.lit(True))).count() == 0
