@@ -178,7 +178,8 @@ def gram_blocks(columns: list[np.ndarray], c: np.ndarray, to: np.ndarray) -> lis
     columns, c, to, out = [x[order] for x in columns], c[order], to[order], []
     for s, own in ends_of(to):
         words, at = np.unique(np.concatenate([x[own] for x in columns]), return_inverse=True)
-        data = np.array([len(words), own.stop - own.start], np.int64).tobytes() + words.tobytes() + at.astype(np.uint32).tobytes() + narrow(c[own]).tobytes()
+        planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one rank together: the high ones are zeros, which the shuffle compresses
+        data = np.array([len(words), own.stop - own.start], np.int64).tobytes() + words.tobytes() + planes.tobytes() + narrow(c[own]).tobytes()
         out.append((grams(len(columns)), s, data, 0, 0, 0, 0))
     return out
 
@@ -190,7 +191,8 @@ def grams(k: int) -> str:
 def grams_of(block: bytes, k: int) -> tuple[np.ndarray, ...]:
     """The words of a block's grams, a column for each place, and their counts."""
     known, n = np.frombuffer(block, np.int64, 2).tolist()
-    words, at = np.frombuffer(block, np.uint64, known, 16), np.frombuffer(block, np.uint32, k * n, 16 + 8 * known)
+    words, planes = np.frombuffer(block, np.uint64, known, 16), np.frombuffer(block, np.uint8, 4 * k * n, 16 + 8 * known)
+    at = np.ascontiguousarray(planes.reshape(4, k * n).T).view("<u4")
     c = counts_in(np.frombuffer(block, np.uint8, -1, 16 + 8 * known + 4 * k * n), n)
     return *words[at].reshape(k, n), c.astype(np.int64)
 
@@ -332,7 +334,8 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER) -> dict:
         if per > 1:
             dealt = df.withColumn("part", F.spark_partition_id() % PARTS).repartition(groups, "kind", "key", "part")
             df = dealt.sortWithinPartitions("kind", "key").drop("part").mapInArrow(merging(kind, decode, group, most), STATS)
-        return df.repartition(shards, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(merging(kind, decode, shard), STATS)
+        own = F.pmod("key", F.lit(shards)).cast("int")  # a shard a task: hashes of shards would meet
+        return df.repartitionById(shards, own).sortWithinPartitions("kind", "key").mapInArrow(merging(kind, decode, shard), STATS)
 
     counted = rows.mapInArrow(count, STATS)
     for k in range(order, 1, -1):
