@@ -29,6 +29,12 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd).select(F.col("vec_id").cast("long"), F.transform(whole, lambda v: F.floor(v * float(scale)).cast("double")).alias("x"))
 
 
+def comparable(vectors: DataFrame) -> DataFrame:
+    """vec_id and x of the rows whose id and components are all there and finite."""
+    odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~odd).select(F.col("vec_id").cast("long"), F.col("x").cast("array<double>"))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix."""
     width = len(column[0]) if len(column) else 0
@@ -115,10 +121,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     Only vectors of one length are compared. A query's own row is any with its id; a query given repeatedly counts once
     (by the least vector); repeated candidates are candidates each; no candidates, no rows. Candidates' distances to the
     pivots are written once, then scanned for each block of queries, at most QUERY_BLOCK at a time in a broadcast;
-    a task emits its own k best of each query. Components are integers; scores are exact up to 64 bits. Null or empty vectors
-    and other columns must be taken out before (see quantised()).
+    a task emits its own k best of each query. Components are integers; scores are exact up to 64 bits. Rows with a null id,
+    a null vector or a null or non-finite component take no part, as candidates or as queries; empty vectors meet each other
+    alone, with score 0; no queries, no rows; other columns, whatever their names, are left out.
     """
-    spark = vectors.sparkSession
+    spark, vectors, queries = vectors.sparkSession, comparable(vectors), comparable(queries)
     sample: dict[int, list[list[float]]] = {}
     for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect():
         sample.setdefault(len(r["x"]), []).append(r["x"])

@@ -304,10 +304,11 @@ def brute_ngram_scores(texts, order):
     for k in range(order - 1, 0, -1):
         counts[k].update(gram[1:] for gram in counts[k + 1])
     d = {k: [0, *scoring.discounts([sum(c == j for c in x.values()) for j in (1, 2, 3, 4)])] for k, x in counts.items()}
-    behind = defaultdict(list)
+    behind = defaultdict(lambda: [0, 0.0])  # what a context counts, and what its discounts take
     for k in counts:
         for gram, c in counts[k].items():
-            behind[k, gram[:-1]].append(c)
+            behind[k, gram[:-1]][0] += c
+            behind[k, gram[:-1]][1] += d[k][min(c, 3)]
 
     def probability(gram):
         k = len(gram)
@@ -316,7 +317,7 @@ def brute_ngram_scores(texts, order):
         if not found:
             return lower
         c = counts[k][gram]
-        return (c - d[k][min(c, 3)] + sum(d[k][min(x, 3)] for x in found) * lower) / sum(found)
+        return (c - d[k][min(c, 3)] + found[1] * lower) / found[0]
 
     context = next(seq for seq in seqs if len(seq) > 20)[5 : 4 + order]
     vocabulary = [w for (w,) in counts[1]] + ["unknown"]
@@ -339,6 +340,19 @@ def test_scores_of_any_order(edge_docs, edge_rows, monkeypatch, order, many):
     assert {r.n_known for r in got if r.n_tokens == 1} == {1}
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_a_text_of_two_megabytes(spark, monkeypatch, order):
+    """A text beyond what a task counts and scores at once, a word of a megabyte, and a short text beside them."""
+    monkeypatch.setattr(scoring, "COUNT_TOKENS", 50_000)
+    monkeypatch.setattr(scoring, "SCORE_TOKENS", 50_000)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 300_000) % 5_000), "z" * (1 << 20), "w1 w2 w3"]
+    assert len(texts[0]) > 1 << 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = scoring.score(docs, scoring.fit(docs, F.lit(True), order)).collect()
+    assert np.allclose(sorted((r.n_tokens, r.score) for r in got), sorted(brute_ngram_scores(texts, order)), rtol=1e-9, atol=1e-5)
+
+
 def test_order_under_two_is_refused(edge_docs):
     with pytest.raises(ValueError):
         scoring.fit(edge_docs.select("doc_id", "text"), F.lit(True), 1)
@@ -376,7 +390,17 @@ def test_top_k(spark, monkeypatch):
             best = sorted((-int(x @ y), i) for i, y in good if i != q and len(x) == len(y))[:5]
             want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
     assert got == sorted(want)
-    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    for some, asked in [(vectors.limit(0), vectors.limit(0)), (vectors, vectors.limit(0)), (vectors.limit(0), vectors)]:
+        assert topk.top_k(some, asked).count() == 0
+
+
+def test_top_k_of_awkward_rows(spark):
+    """Null, empty, non-finite and repeated vectors, ties, and columns named as its own."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (3, [1.0, 2.0]), (None, [9.0, 9.0]), (4, None), (5, [None, 9.0]), (6, [nan, 9.0]), (8, [inf, 9.0]), (9, []), (100, []), (150, None), (200, [nan, 1.0])]
+    vectors = spark.createDataFrame([(*r, "mine") for r in rows], "vec_id long, x array<double>, d string").withColumns({c: F.lit("mine") for c in ("score", "rank", "query_id")})
+    got = sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 50 = 0")).collect()))
+    assert got == [(50, 1, 3, 5), (50, 2, 7, 5), (50, 3, 7, 5), (100, 1, 9, 0)]
 
 
 def test_top_k_of_great_numbers(spark):
@@ -537,6 +561,20 @@ def test_whole_blocks_move_few_bytes_more_than_the_flow(spark, data):
     assert least - rows[names["size"]].max() <= moved <= 1.05 * least
 
 
+def test_rewriting_nulls_ties_and_repeated_rows(spark, tmp_path):
+    """Null ids and texts, equal texts and equal rows, and a column named shard: every row is there once after it, and after it again."""
+    rows = [(None, None, "a"), (None, None, "a"), (1, None, "b"), (1, "same", None), (1, "same", None), (2, "same", "c"), (3, "", "c"), *((10 + k, f"text {k} " * 9, "d") for k in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string")
+    path, ordered = str(tmp_path / "out"), lambda found: sorted(found, key=str)
+    docs.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int")).write.partitionBy("shard").parquet(path)
+    placed, names = sharding.reshard(docs, shards=3, old_shards=5, blocks=64)
+    want = ordered((r.doc_id, r.text, r.slot, r[names["shard"]]) for r in placed.collect())
+    assert ordered(w[:3] for w in want) == ordered(rows)
+    for _ in range(2):
+        sharding.rewrite(placed, names, path)
+        assert ordered((r.doc_id, r.text, r.slot, r.shard) for r in spark.read.parquet(path).collect()) == want
+
+
 def test_rewriting_leaves_what_the_plan_says(spark, tmp_path):
     """Files written by their old shards, then rewritten for fewer and for more: each row stands once, where it was put."""
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("t"), F.col("id").cast("string")), 20).alias("text"))
