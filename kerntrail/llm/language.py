@@ -106,26 +106,41 @@ class Predictor:
         self.memo = Memo(self)
         self.rows = np.vstack([self.scores, np.zeros((1024, len(self.langs)), np.float32)]) if self.langs else None
         self.used = len(self.scores)
+        self.waiting, self.known = [], []
 
     def unseen(self, word: bytes) -> int:
-        framed = f" {word.decode('utf-8', 'replace')} "
-        row = 0.0
+        """The number of the word's row, which settle() fills with the mean row of its longest known n-grams."""
+        get, framed = self.table.get, b" " + word + b" "
+        text = None if word.isascii() else framed.decode("utf-8", "replace")  # n-grams are of characters
         for k in range(LONGEST, 0, -1) if word else ():
-            known = [g for i in range(len(framed) - k + 1) if (g := self.table.get(b"\0" + framed[i : i + k].encode())) is not None]
+            if text is None:
+                known = [g for i in range(len(framed) - k + 1) if (g := get(b"\0" + framed[i : i + k])) is not None]
+            else:
+                known = [g for i in range(len(text) - k + 1) if (g := get(b"\0" + text[i : i + k].encode())) is not None]
             if known:
-                row = self.scores[known].mean(axis=0)
+                self.waiting.append((self.used, len(known)))
+                self.known += known
                 break
-        if self.used == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = row
         self.used += 1
+        if len(self.known) > self.MEMO:
+            self.settle()
         return self.used - 1
 
+    def settle(self) -> None:
+        """Fills the rows of words that came since the last time, all at once; words without known n-grams have zeros."""
+        while self.used > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        if self.waiting:
+            at, sizes = np.array(self.waiting).T
+            self.rows[at] = np.add.reduceat(self.scores[self.known], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+        self.waiting, self.known = [], []
+
     def of(self, words: list[bytes]) -> np.ndarray:
         """The words' rows of scores by language."""
         if self.used > len(self.scores) + self.MEMO:
             self.clear()
         at = list(map(self.memo.__getitem__, words))
+        self.settle()
         return self.rows[at]
 
     def __call__(self, text: str | None) -> tuple[str, float]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import fold, load, staged
+from .common import REMEMBERED, fold, load, staged
 
 #: Labelled rows that the classifier is fitted on, for each label (expected; a hash of the id draws them).
 TRAIN_ROWS = {1: 2_500, 0: 5_000}
@@ -19,6 +19,9 @@ TRAIN_ROWS = {1: 2_500, 0: 5_000}
 TRAIN_BYTES = {1: 24 << 20, 0: 48 << 20}
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 12, 12, (1, 2, 3)
 PARTS = (3, 4, 5)
+#: Where the second checksum of a word starts, and the checksums of single bytes.
+SECOND = 0x5BD1E995
+CRC = np.array([zlib.crc32(bytes([k]), 0xFFFFFFFF) ^ 0xFFFFFFFF for k in range(256)], np.uint32)
 EPOCHS, BATCH, RATE, ACC = 6, 32, 0.08, 1e-3
 CHUNK = 60_000
 #: Bins of a logit's unit in which labelled rows are counted for thresholds; logits beyond LOGITS count as that.
@@ -46,16 +49,34 @@ def ids_of(texts: list[str | None], seen: Numbers) -> tuple[np.ndarray, np.ndarr
     return np.array(out, np.int64), np.array(starts, np.int64)
 
 
+def crcs(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """zlib.crc32 of many pieces of letters, longest first: a byte of every piece at a time."""
+    state = np.full(len(starts), seed ^ 0xFFFFFFFF, np.uint32)
+    for k in range(sizes[0] if len(sizes) else 0):
+        own = state[: np.searchsorted(-sizes, -k)]  # of pieces longer than k
+        own[:] = CRC[(own ^ letters[starts[: len(own)] + k]) & 0xFF] ^ (own >> 8)
+    return ~state
+
+
 def buckets(words: list[bytes]) -> np.ndarray:
     """The buckets of each word: two of the word itself and one of each beginning of PARTS bytes; its embedding is their sum.
 
     The pad has none: bucket 0 stays zero.
     """
-    crc = zlib.crc32
-    out = np.array([[crc(w), crc(w, 0x5BD1E995), *(crc(w[:k], k) if len(w) > k else 0 for k in PARTS)] for w in words], np.int64).reshape(-1, 2 + len(PARTS))
-    out = np.where(out, out % (BUCKETS - 1) + 1, 0)
-    out[[i for i, w in enumerate(words) if not w]] = 0
-    return out
+    crc, sizes = zlib.crc32, np.fromiter(map(len, words), np.int64, len(words))
+    out, order = np.zeros((len(words), 2 + len(PARTS)), np.int64), np.argsort(-sizes, kind="stable")
+    sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    # a few long words aren't worth a step for each of their bytes
+    n = np.searchsorted(-sizes, -REMEMBERED)
+    for i in order[:n]:
+        out[i] = [crc(words[i]), crc(words[i], SECOND), *(crc(words[i][:k], k) for k in PARTS)]
+    letters, order, sizes, starts = np.frombuffer(b"".join(words), np.uint8), order[n:], sizes[n:], starts[n:]
+    out[order, 0], out[order, 1] = crcs(letters, starts, sizes), crcs(letters, starts, sizes, SECOND)
+    for i, k in enumerate(PARTS):
+        n = np.searchsorted(-sizes, -k)  # words longer than k
+        out[order[:n], 2 + i] = crcs(letters, starts[:n], np.full(n, k), k)
+    out[order[np.searchsorted(-sizes, 0) :]] = 0
+    return np.where(out, out % (BUCKETS - 1) + 1, 0)
 
 
 class Network:
