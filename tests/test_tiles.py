@@ -58,3 +58,12 @@ def test_slopes_of_classes_by_either_kernel(spark):
         for r in widths.kernel_slopes(vectors(spark, x), name, own, 2, classes).collect():
             want = [k[r.i, r.j] * sum(q[r.i, r.j, c] / own[c] for c in range(4) if classes[c] == g) for g in (0, 1)]
             assert np.allclose(r.dk, want, atol=1e-12)
+
+
+def test_ordered_pairs_are_those_of_the_smaller_id(spark):
+    v = vectors(spark, np.append(np.random.default_rng(8).normal(size=(50, 3)), np.ones((2, 3)), axis=0))
+    left, right = v.toDF("i", "a"), v.toDF("j", "b")
+    for high in (1.5, 0):
+        every = {(r.i, r.j) for r in pairs.within(left, right, high).collect()}
+        half = {(r.i, r.j) for r in pairs.within(left, right, high, ordered=True).collect()}
+        assert half and half == {(i, j) for i, j in every if i < j}
